@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding, suffix_dedup, url_filters
+from . import packing, sharding, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The file of ranks is the same vocabulary as byte_bpe_50k.json and gives the same ids; tests hold the two together.
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), path, 2048, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.range_shards(_read(spark, sf_dir, "documents"), 8)
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +52,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
     "op10_url_filters": op10_url_filters,
 }
