@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding, suffix_dedup, url_filters
+from . import ngram_join, packing, sharding, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_read(spark, sf_dir, "documents"), 75, 5).withColumnRenamed("id", "doc_id")
+
+
 def list_changes(pages: DataFrame) -> DataFrame:
     """Dated list changes derived from the hosts of the pages: three lists, of which each takes up some hosts or their parent domains and drops and readds part of them."""
     hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
+    "op7_ngram_join": op7_ngram_join,
     "op10_url_filters": op10_url_filters,
 }
 
