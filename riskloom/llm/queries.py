@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_join, packing, sharding, suffix_dedup, url_filters
+from . import ngram_join, packing, quality, sharding, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_read(spark, sf_dir, "documents"), 75, 5).withColumnRenamed("id", "doc_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit(quality.rated(docs, _read(spark, sf_dir, "labels")), quality.GRADES)
+    return quality.score(docs.select("doc_id", "text"), model, keep_from=2).drop("text")
+
+
 def list_changes(pages: DataFrame) -> DataFrame:
     """Dated list changes derived from the hosts of the pages: three lists, of which each takes up some hosts or their parent domains and drops and readds part of them."""
     hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
     "op7_ngram_join": op7_ngram_join,
+    "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
 }
 
