@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_join, packing, quality, sharding, suffix_dedup, url_filters
+from . import cover_tree, ngram_join, packing, prefix_forest, quality, sharding, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(_read(spark, sf_dir, "embeddings"), 5, 50)
+
+
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_groups(_read(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_read(spark, sf_dir, "documents"), 75, 5).withColumnRenamed("id", "doc_id")
 
@@ -64,7 +72,9 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
+    "op6_prefix_forest": op6_prefix_forest,
     "op7_ngram_join": op7_ngram_join,
+    "op8_cover_tree": op8_cover_tree,
     "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
 }
