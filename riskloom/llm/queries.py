@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cover_tree, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, url_filters
+from . import cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), path, 2048, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     out = pieces.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
@@ -77,6 +81,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
+    "op3_main_text": op3_main_text,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_prefix_forest": op6_prefix_forest,
