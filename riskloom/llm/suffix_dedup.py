@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytehash import _U, lowest, names, pair
-from .common import keyed
+from .common import keyed, stage
 
 Q = 24
 #: Bytes hashed at a time; longer documents are taken in overlapping pieces of PIECE bytes.
@@ -31,7 +31,8 @@ CHUNK, PIECE = 1 << 17, 1 << 22
 #: Contexts of one bucket in a batch from which the bucket is dealt out by context.
 MANY = 64
 _PLAIN, _MIXED, _WITNESS, _REPEAT = 0, 1, 2, 3
-_ANCHORS = "sb long, ctx long, key long, lo long, n int, rel int, how int"
+#: Of a run: its first offset, state, anchor and number of strings, in one number that sorts by offset.
+_AT = {"lo": "shiftright(at, 26)", "how": "cast(shiftright(at, 24) & 3 as int)", "rel": "cast(shiftright(at, 12) & 4095 as int)", "n": "cast(at & 4095 as int)"}
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,20 +42,23 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     kept: the other bytes, joined. Null or empty text gives empty results; a text shorter than `length` is kept whole. Rows with equal or
     null ids are ordered by text, nulls last. An empty table gives no rows. Columns besides id and text are not read.
     """
-    if length < Q:
-        raise ValueError(f"length must be {Q} at least")
+    if not Q <= length <= 4096:
+        raise ValueError(f"length must be from {Q} to 4096")
     docs = keyed(docs, id_col, text_col)
     packed = docs.select("key", "id", "text").mapInArrow(_packed, f"key long, id {dict(docs.dtypes)['id']}, z binary")
-    anchors = docs.select("key", "text").mapInArrow(_anchors(length), _ANCHORS)
+    anchors = docs.select("key", "text").mapInArrow(_anchors(length), "sb long, ctx long, key long, at long")
 
     bucket = Window.partitionBy("sb")
-    placed = anchors.withColumn("before", F.lag("ctx").over(bucket.orderBy("ctx", "key", "lo")))
-    placed = placed.withColumn("mixed", (F.min("ctx").over(bucket) != F.max("ctx").over(bucket)) | (F.max(F.col("how") == _MIXED).over(bucket)))
-    placed = placed.where(F.col("how") != _WITNESS).withColumn("repeat", (F.col("how") == _REPEAT) | F.coalesce(F.col("before") == F.col("ctx"), F.lit(False)))
-    whole = placed.where("repeat").select("key", "lo", "n")
-    firsts = placed.where("not repeat and mixed").groupBy("key").agg(F.collect_list(F.struct("sb", "lo", "n", "rel", "how")).alias("runs"))
-
-    contexts = packed.join(firsts, "key").select("key", "z", "runs").mapInArrow(_contexts(length), "sb long, key long, lo long, rel int, how int, bytes binary")
+    how = F.expr(_AT["how"])
+    placed = anchors.withColumn("before", F.lag("ctx").over(bucket.orderBy("ctx", "key", "at")))
+    placed = placed.withColumn("mixed", (F.min("ctx").over(bucket) != F.max("ctx").over(bucket)) | F.max(how == _MIXED).over(bucket))
+    placed = placed.where(how != _WITNESS).withColumn("repeat", (how == _REPEAT) | F.coalesce(F.col("before") == F.col("ctx"), F.lit(False)))
+    placed = placed.where("repeat or mixed").select(F.when(~F.col("repeat"), F.col("sb")).alias("sb"), "key", *(F.expr(x).alias(k) for k, x in _AT.items()))
+    placed = stage(placed, "runs")
+    whole = placed.where("sb is null").select("key", "lo", "n")
+    firsts = placed.where("sb is not null").groupBy("key").agg(F.collect_list(F.struct("sb", "lo", "n", "rel", "how")).alias("runs"))
+
+    contexts = packed.join(firsts, "key").select("key", "id", "z", "runs").mapInArrow(_contexts(length), "sb long, key long, lo long, rel int, how int, bytes binary")
     refined = contexts.repartition("sb").sortWithinPartitions("sb").mapInArrow(_refined(length), "h long, g long, key long, lo long, n int, repeat boolean")
     met = F.lag("key").over(Window.partitionBy("h", "g").orderBy("key", "lo")).isNotNull()
     single = refined.withColumn("repeat", F.col("repeat") | met).where("repeat").select("key", "lo", "n")
@@ -129,10 +133,10 @@ def _anchors(length: int):
             dealt = ~first | many
             sb[dealt] = pair(pair(b[dealt].view(_U), c[dealt].view(_U)), np.where(first, 0, key + lo)[dealt].astype(_U)).view(np.int64)
             seen = np.flatnonzero(many & new_b)
-            rows = [np.concatenate([x, y]) for x, y in ((sb, b[seen]), (c, c[seen]), (key, key[seen]), (lo, lo[seen]), (n, n[seen]), (rel, rel[seen]), (how, np.full(len(seen), _WITNESS)))]
+            at = lo << 26 | how << 24 | rel << 12 | n
             # a witness differs in its context from any other row of the bucket
-            rows[1][len(sb) :] ^= 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:4]] + [pa.array(x.astype(np.int32)) for x in rows[4:]], ["sb", "ctx", "key", "lo", "n", "rel", "how"])
+            rows = (sb, b[seen]), (c, c[seen] ^ 1), (key, key[seen]), (at, np.full(len(seen), _WITNESS << 24))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], ["sb", "ctx", "key", "at"])
 
     return anchors
 
@@ -142,7 +146,7 @@ def _contexts(length: int):
         names_ = ["sb", "key", "lo", "rel", "how", "bytes"]
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            runs = batch.column(2)
+            runs = batch.column(3)
             flat, ends = runs.flatten(), np.cumsum(runs.value_lengths().to_numpy())
             sb, lo, n, rel, how = (flat.field(i) for i in range(5))
             owner = np.searchsorted(ends, np.arange(len(flat)), "right")
@@ -150,7 +154,7 @@ def _contexts(length: int):
             was = -1
             for i, (o, a, m) in enumerate(zip(owner.tolist(), lows.tolist(), sizes.tolist(), strict=True)):
                 if o != was:
-                    text, was = unpack.decompress(batch.column(1)[o].as_buffer()), o
+                    text, was = unpack.decompress(batch.column(2)[o].as_buffer()), o
                 out.append(text[a : a + m - 1 + length])
                 if len(out) == 20000 or i == len(flat) - 1:
                     at = slice(i + 1 - len(out), i + 1)
@@ -181,11 +185,23 @@ def _refined(length: int):
             order = np.lexsort((at[1], at[0], g, h))
             h, g, row, k, p = h[order], g[order], row[order], at[0][order], at[1][order]
             repeat = np.concatenate([[False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
-            # a repeat found here needs no meeting, and gets a key of its own
-            h = np.where(repeat, pair(k.astype(_U), p.astype(_U)), h)
-            keep = repeat | open_[row]
-            cols = [h[keep].view(np.int64), np.where(repeat, p, g.view(np.int64))[keep], k[keep], p[keep]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.ones(keep.sum(), np.int32)), pa.array(repeat[keep])], ["h", "g", "key", "lo", "n", "repeat"])
+            # repeats found here need no meeting: neighbours go as one run, under a key of their own
+            r, q = row[repeat], p[repeat]
+            order = np.lexsort((q, r))
+            r, q = r[order], q[order]
+            new = np.flatnonzero(np.concatenate([[True] * bool(len(r)), (r[1:] != r[:-1]) | (q[1:] != q[:-1] + 1)]))
+            n = np.diff(np.append(new, len(r)))
+            r, q = r[new], q[new]
+            meet = ~repeat & open_[row]
+            cols = [
+                np.concatenate([pair(key[r].astype(_U), q.astype(_U)), h[meet]]).view(np.int64),
+                np.concatenate([q, g[meet].view(np.int64)]),
+                np.concatenate([key[r], k[meet]]),
+                np.concatenate([q, p[meet]]),
+                np.concatenate([n, np.ones(meet.sum(), np.int64)]).astype(np.int32),
+                np.arange(len(r) + meet.sum()) < len(r),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "g", "key", "lo", "n", "repeat"])
 
     return refined
 
