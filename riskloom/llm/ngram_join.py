@@ -9,49 +9,92 @@ other's group, and lists and pairs inside one group are never visited again. Wha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bytehash import pair
+from .bytehash import names, pair
 from .common import components, keyed, stage
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER = np.array([*range(65), *range(97, 123), *range(91, 256)], np.uint8)
+_LETTERS = names(_LOWER, 1)[0]
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]).astype(np.int8)
 #: One document in so many is read to find frequent shingles; so many of them are told to every task. They only shape the order.
 SAMPLE, FREQUENT = 32, 1 << 17
 #: Ids that may be broadcast, about 8 bytes each; beyond, the join shuffles.
 FEW = 500_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
+_CHUNK = 1 << 18
+_ROOT = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 
 
-def shingle_sets(texts: list[bytes], words: int, cache: _Words) -> list[np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    ones = np.full(n, 1, np.uint64)
+    up, down = ones.copy(), ones.copy()
+    up[1:], down[1:] = _ROOT, _BACK
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words in data (bytes that begin and end with white space) and the names of their bytes, A-Z in lower case."""
+    edge = np.flatnonzero(np.diff(_SPACE[data]))
+    starts, ends = edge[::2] + 1, edge[1::2] + 1
+    up, down = _powers(1 << max(18, int(len(data)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * up[: len(data)])])
+    return starts, pair((sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(np.uint64))
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle names of each text; a text of fewer words than a shingle has its whole sequence as its one shingle, one without words none."""
-    out = []
-    for text in texts:
-        parts = text.translate(_LOWER).split()
-        if not parts:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        w = np.fromiter(map(cache.__getitem__, parts), np.uint64, len(parts))
-        size = min(words, len(w))
-        name = w[: len(w) - size + 1]
-        for k in range(1, size):
-            name = pair(name, w[k : len(w) - size + 1 + k])
-        if size < words:
-            name = pair(name, np.array([size], np.uint64))
-        out.append(np.unique(name))
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (not size or size + len(texts[end]) < _CHUNK):
+            size += len(texts[end]) + 1
+            end += 1
+        some = texts[at:end]
+        bounds = np.cumsum([0, *(len(x) + 1 for x in some)])
+        starts, w = _word_names(np.frombuffer(b" " + b" ".join(some) + b" ", np.uint8))
+        cuts = np.searchsorted(starts, bounds + 1)
+        name = w[: max(len(w) - words + 1, 0)]
+        for k in range(1, words):
+            name = pair(name, w[k : k + len(name)])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a >= words:
+                out.append(np.unique(name[a : b - words + 1]))
+            else:
+                whole = w[a : min(a + 1, b)]
+                for k in range(a + 1, b):
+                    whole = pair(whole, w[k : k + 1])
+                out.append(pair(whole, np.array([b - a], np.uint64)) if b > a else whole)
+        at = end
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each of at least as many classes of shingles as the set has, in a power of two, whether it holds an odd number: an eighth of a byte a shingle, about."""
+    classes = 1 << max(10, len(s).bit_length())
+    odd = np.bincount((s >> np.uint64(24)).astype(np.int64) & (classes - 1), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """A number of shingles that two sets differ in at least."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) per document.
 
@@ -59,14 +102,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     Null or empty text has no shingles and links with nothing. Rows equal in text have equal sets and so one group; repeated ids stay repeated rows, null ids sort last. No rows come of an empty table; other columns are not read.
     """
     docs = keyed(docs, id_col, text_col)
-    sets = stage(docs.mapInArrow(_described(words), f"key long, id {dict(docs.dtypes)['id']}, n long, print binary"), "sets")
-    kinds = stage(sets.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "kinds")
+    sets = stage(docs.mapInArrow(_described(words), f"key long, id {dict(docs.dtypes)['id']}, n long, print binary, odd binary"), "sets")
+    kinds = stage(sets.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")), "kinds")
     index = _index(docs, kinds, percent, words)
     links = None
     for turn in (1, 2):
-        found = _linked(docs, _leading(index, links, turn, percent), percent, words)
+        found = _linked(docs, kinds, _leading(index, links, turn, percent), percent, words)
         links = found if links is None else stage(links.unionByName(found), "links")
-    rest = _linked(docs, _across(index, links, percent), percent, words)
+    rest = _linked(docs, kinds, _across(index, links, percent), percent, words)
     groups = components(links.unionByName(rest))
     roots = kinds.join(groups, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("root", "rep").alias("root"))
     named = sets.join(roots, "print", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
@@ -76,20 +119,18 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
 
 def _described(words: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words()
         for batch in batches:
-            sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(2)], words, cache)
+            sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(2)], words)
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary())], ["key", "id", "n", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary()), pa.array(map(parity, sets), pa.binary())], ["key", "id", "n", "print", "odd"])
 
     return described
 
 
 def _shingles(words: int):
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words()
         for batch in batches:
-            sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(1)], words, cache)
+            sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(1)], words)
             token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
@@ -100,12 +141,11 @@ def _prefixes(percent: int, words: int, tokens: np.ndarray, counts: np.ndarray):
     """Prefix rows; a shingle that a batch holds more than once is known to be shared, and only its first row waits at the shingle's own place for other batches."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words()
         for batch in batches:
             got: list[tuple] = []
             least: dict[bytes, int] = {}
             keys = batch.column(0).to_pylist()
-            sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(1)], words, cache)
+            sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(1)], words)
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             for key, mark in zip(keys, prints, strict=True):
                 least[mark] = min(key, least.get(mark, key))
@@ -125,8 +165,8 @@ def _prefixes(percent: int, words: int, tokens: np.ndarray, counts: np.ndarray):
             new = np.concatenate([[True], token[1:] != token[:-1]])
             shared = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
             slot = np.where(new, token, pair(token, key.astype(np.uint64)))
-            cols = [slot.view(np.int64), token.view(np.int64), key, n.astype(np.int32), pos.astype(np.int32), shared]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["slot", "token", "key", "n", "pos", "shared"])
+            cols = [slot.view(np.int64), token.view(np.int64), key, n << 33 | pos << 1 | shared]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["slot", "token", "key", "at"])
 
     return prefixes
 
@@ -138,8 +178,9 @@ def _index(docs: DataFrame, kinds: DataFrame, percent: int, words: int) -> DataF
     top = often.where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().to_numpy(np.int64)
     tokens = top[:, 0].view(np.uint64) if len(top) else np.zeros(0, np.uint64)
     order = np.argsort(tokens)
-    rows = text.mapInArrow(_prefixes(percent, words, tokens[order], top[order, 1] if len(top) else np.zeros(0, np.int64)), "slot long, token long, key long, n int, pos int, shared boolean")
-    met = rows.withColumn("shared", F.col("shared") | (F.count("*").over(Window.partitionBy("slot")) > 1)).where("shared").select("token", "key", "n", "pos")
+    rows = text.mapInArrow(_prefixes(percent, words, tokens[order], top[order, 1] if len(top) else np.zeros(0, np.int64)), "slot long, token long, key long, at long")
+    shared = (F.expr("at & 1") == 1) | (F.count("*").over(Window.partitionBy("slot")) > 1)
+    met = rows.withColumn("shared", shared).where("shared").select("token", "key", F.expr("cast(shiftright(at, 33) as int)").alias("n"), F.expr("cast(shiftright(at, 1) & 4294967295 as int)").alias("pos"))
     met = stage(met, "met").join(kinds.select(F.col("rep").alias("key")), "key", "left_semi")
     lists = met.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
@@ -188,19 +229,27 @@ def _across(index: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return visits.join(other, on).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their whole sets."""
-    pairs = stage(pairs, "pairs")
+def _linked(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by their whole sets. Pairs whose parities alone show too many differences go first, without their sets."""
+    pairs = pairs.join(kinds.select(F.col("rep").alias("a"), F.col("n").alias("nx"), F.col("odd").alias("x")), "a")
+    pairs = pairs.join(kinds.select(F.col("rep").alias("b"), F.col("n").alias("ny"), F.col("odd").alias("y")), "b").select("a", "b", "nx", "ny", "x", "y")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.array([apart(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= sizes * (100 - percent)))
+
+    pairs = stage(pairs.mapInArrow(near, "a long, b long"), "pairs")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sets = shingle_sets([x.as_buffer().to_pybytes() for x in some.column(1)], words, cache)
+                sets = shingle_sets([x.as_buffer().to_pybytes() for x in some.column(1)], words)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
     sets = docs.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(whole, "key long, shingles array<long>")
