@@ -46,7 +46,8 @@ def title(page: Column) -> Column:
 
 
 def shingles(text: Column, size: int = 5) -> Column:
-    """Distinct runs of `size` characters of the text without white space, in lower case."""
-    packed = F.lower(F.regexp_replace(text, r"\s+", ""))
-    runs = F.transform(F.sequence(F.lit(1), F.length(packed) - (size - 1)), lambda i: F.substring(packed, i, size))
-    return F.when(F.length(packed) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of `size` characters of the text without white space, in lower case. Characters are parted once and then found by their place."""
+    packed = F.split(F.lower(F.regexp_replace(text, r"\s+", "")), "")
+    run = lambda ch, i: F.concat(*(F.get(ch, i + k) for k in range(size)))
+    runs = lambda ch: F.when(F.size(ch) >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ch) - size), lambda i: run(ch, i)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(packed), runs)[0]

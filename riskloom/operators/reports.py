@@ -69,7 +69,7 @@ def voted(rows: DataFrame, numeric: GBTClassificationModel, text: GBTClassificat
 
 def summary(test: DataFrame, label_col: str) -> DataFrame:
     """One row of stats a model on the test rows."""
-    out = None
+    test, out = stage(test.select(label_col, "p_numeric", "p_text", "p_final"), "test"), None
     for name, score in (("numeric", "p_numeric"), ("text", "p_text"), ("blend", "p_final")):
         one = metrics.model_stats(test, label_col, score).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
 from ..operators import dedup, explain, html_features, metrics, models, reports, splits
+from ..operators.stages import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,7 +173,7 @@ def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_HREFS}, kept AS (SELECT page_id, trim(href) AS h FROM hrefs WHERE trim(href) <> '' AND NOT starts_with(trim(href), '#') AND NOT starts_with(trim(href), 'javascript'))
-SELECT p.page_id, coalesce(e, 0) AS count_external_links, coalesce(i, 0) AS count_internal_links FROM pages p LEFT JOIN (
+SELECT p.page_id, coalesce(e, 0)::BIGINT AS count_external_links, coalesce(i, 0)::BIGINT AS count_internal_links FROM pages p LEFT JOIN (
   SELECT page_id, count_if(starts_with(h, 'http://') OR starts_with(h, 'https://')) AS e, count_if(NOT (starts_with(h, 'http://') OR starts_with(h, 'https://'))) AS i FROM kept GROUP BY 1) k ON p.page_id = k.page_id"""
 )
 def html_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +311,7 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- metrics ----
 
 
-@query("SELECT count(*) AS n, count_if(quality = 1) AS positives, count_if(quality = 0) AS negatives, count_if(quality = 0)::DOUBLE / greatest(count_if(quality = 1), 1) AS scale_pos_weight FROM labels")
+@query("SELECT count(*) AS n, count_if(quality = 1)::BIGINT AS positives, count_if(quality = 0)::BIGINT AS negatives, count_if(quality = 0)::DOUBLE / greatest(count_if(quality = 1), 1) AS scale_pos_weight FROM labels")
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.class_stats(read(spark, sf_dir, "labels"), "quality")
 
@@ -324,7 +325,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT quality AS y, ({_SCORE}) >= 0.5 AS p FROM labels), c AS (SELECT count_if(y = 1 AND p) AS tp, count_if(y = 0 AND p) AS fp, count_if(y = 1 AND NOT p) AS fn, count_if(y = 0 AND NOT p) AS tn FROM s)
+    f"""WITH s AS (SELECT quality AS y, ({_SCORE}) >= 0.5 AS p FROM labels), c AS (SELECT count_if(y = 1 AND p)::BIGINT AS tp, count_if(y = 0 AND p)::BIGINT AS fp, count_if(y = 1 AND NOT p)::BIGINT AS fn, count_if(y = 0 AND NOT p)::BIGINT AS tn FROM s)
 SELECT tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1 FROM c"""
 )
 def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,8 +383,6 @@ def gbt_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tuned_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two draws of the search, three folds, then the winner on all rows."""
-    from ..operators.stages import stage
-
     rows = stage(_numeric(spark, sf_dir).select("doc_id", "label", "features"), "numeric")
     params, trees, auc = models.tuned(rows, "label", "doc_id", models.drawn(2), metrics.curves, trees=5, folds=3)
     model = models.boosted(rows, "label", trees=max(trees, 1), params=params)
@@ -418,7 +417,7 @@ def platt_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loo_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _two_scores(spark, sf_dir)
     left = models.left_out(rows, models.logistic(rows, "quality", ["a", "b"]), "quality", ["a", "b"])
-    return metrics.curves(left, "quality", "loo_score").withColumnRenamed("roc_auc", "loo_auc")
+    return metrics.curves(stage(left, "loo"), "quality", "loo_score").withColumnRenamed("roc_auc", "loo_auc")
 
 
 @query()
