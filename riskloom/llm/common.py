@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..operators.graph import components
+from ..operators.stages import shared_dir, stage
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the shared folder and read it back: lineage ends here, and any executor can reread it. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "keyed", "shared_dir", "stage"]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,25 +22,3 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if clash is not None and clash.isEmpty():
         return rows.select(F.col("id").cast("long").alias("key"), "id", "text")
     return stage(rows.orderBy(F.col("id").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
-    """(node, root) for every node of an undirected edge list: root is the smallest node that links reach.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014). Every step is a partial aggregate and an equi-join,
-    so that a node with very many links is pre-aggregated and its join can be split; each round is written.
-    """
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    links, seen = stage(links, name), None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stage(low.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), name)
-        mark = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if mark == seen:
-            break
-        seen = mark
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
