@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, L
 MARK = "▁"
 #: Segments up to so many bytes go through the trie side by side; longer ones alone.
 SIDE_BY_SIDE = 64
-_CACHED = 1 << 19
+_CACHED = 1 << 18
 
 
 @dataclass
@@ -270,8 +270,11 @@ def decode(rows: DataFrame, vocabulary: Pieces, ids_col: str = "ids", out_col: s
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(given)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else decode_ids(v, x) for x in ids.to_pylist()], pa.string())], [*batch.schema.names, out_col])
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                # one text's numbers at a time are Python objects
+                texts = [decode_ids(v, x.values.to_pylist()) if x.is_valid else None for x in some.column(some.schema.get_field_index(ids_col))]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], [*some.schema.names, out_col])
 
     return rows.mapInArrow(decoded, StructType([*rows.schema.fields]).add(out_col, StringType()))
 
