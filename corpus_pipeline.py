@@ -20,10 +20,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without shingles are groups of their own."""
+    """Of each group of near copies the document with the smallest id; documents without shingles are groups of their own. Of rows equal in id and text one stays."""
     groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"), 75, 5)
     first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
