@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
 MARK = "▁"
@@ -80,9 +80,9 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
         ends[at] = i
     size = 8 * len(tree) + 4096
     base, check, value = (np.full(size, x, np.int64) for x in (size - 256, -1, -1))  # the last 256 places stay empty
-    used = bytearray(size)
-    used[0] = 1
-    single, several = 1, 1  # where to look for room: one child fits any hole, more children find none in the full part
+    used = np.zeros(size, bool)
+    used[0] = True
+    single, several = 256, 256  # where to look for room: one child fits any hole, more children find none in the full part
     todo = [(0, 0)]
     for node, slot in todo:
         steps = sorted(tree[node])
@@ -92,22 +92,23 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
             while used[single]:
                 single += 1
             at = single - steps[0]
-            if at < 0:
-                at = next(x for x in range(1, size) if not used[x + steps[0]])
         else:
-            at, tries = max(several - steps[0], 1), 0
-            while any(used[at + b] for b in steps):
-                at += 1
-                tries += 1
-            if tries > 16:
-                several = at + steps[0]
+            offsets, start = np.array(steps), several - steps[0]
+            while True:
+                fits = np.flatnonzero(~used[np.arange(start, start + 64)[:, None] + offsets].any(1))
+                if len(fits):
+                    break
+                start += 64
+            at = start + int(fits[0])
+            if at + steps[0] - several > 256:
+                several = at + steps[0] - 64
         base[slot] = at
         for b in steps:
-            used[at + b], check[at + b] = 1, slot
+            used[at + b], check[at + b] = True, slot
             child = tree[node][b]
             value[at + b] = ends.get(child, -1)
             todo.append((child, at + b))
-    if used[size - 256 :].count(1):
+    if used[size - 256 :].any():
         raise ValueError("the double array is full")
     return base, check, value
 
@@ -224,21 +225,32 @@ def decode_ids(v: Pieces, ids: list[int]) -> str:
 
 
 _WORKER: dict[int, Pieces] = {}
+_COUNTS = (("n_tokens", LongType()), ("n_byte_tokens", LongType()), ("ids_crc32", LongType()), ("path_score", DoubleType()))
 
 
 def _shared(given) -> Pieces:
     return _WORKER.setdefault(given.value.base.size ^ id(given.value), given.value)
 
 
+def _counted(v: Pieces, got: list[tuple[bytes, float]]) -> list[pa.Array]:
+    ids = [np.frombuffer(x, "<u4") for x, _ in got]
+    low, high = int(v.byte_ids.min()), int(v.byte_ids.max())
+    return [
+        pa.array(map(len, ids), pa.int64()),
+        pa.array([int(((x >= low) & (x <= high)).sum()) for x in ids], pa.int64()),
+        pa.array([zlib.crc32(x) for x, _ in got], pa.int64()),
+        pa.array([x for _, x in got], pa.float64()),
+    ]
+
+
 def encode(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
     """docs with ids array<int>, n_tokens, n_byte_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers) and path_score.
 
     The whole text is encoded; null text is empty and has no ids. A marker in a text counts as a space. Columns of these names are replaced.
     """
-    names = ["ids", "n_tokens", "n_byte_tokens", "ids_crc32", "path_score"]
+    names = ["ids", *(n for n, _ in _COUNTS)]
     docs = docs.drop(*names)
     given = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    low, high = int(vocabulary.byte_ids.min()), int(vocabulary.byte_ids.max())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(given)
@@ -247,17 +259,11 @@ def encode(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataF
                 some = batch.slice(at, 500)
                 got = encode_texts(v, [x or "" for x in some.column(some.schema.get_field_index(text_col)).to_pylist()])
                 ids = [np.frombuffer(x, "<u4") for x, _ in got]
-                cols = [
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([int(((x >= low) & (x <= high)).sum()) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x, _ in got], pa.int64()),
-                    pa.array([x for _, x in got], pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays([*some.columns, *cols], [*some.schema.names, *names])
-
-    schema = StructType([*docs.schema.fields])
-    for name, kind in zip(names, (ArrayType(IntegerType()), LongType(), LongType(), LongType(), DoubleType()), strict=True):
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*some.columns, listed, *_counted(v, got)], [*some.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType()))
+    for name, kind in _COUNTS:
         schema = schema.add(name, kind)
     return docs.mapInArrow(encoded, schema)
 
@@ -280,6 +286,23 @@ def decode(rows: DataFrame, vocabulary: Pieces, ids_col: str = "ids", out_col: s
 
 
 def round_trip(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
-    """docs, encoded and decoded again: with `same`, whether the text came back but for its markers."""
-    back = decode(encode(docs, vocabulary, text_col), vocabulary)
-    return back.withColumn("same", (F.col("decoded") == F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(" "))).cast(BooleanType()))
+    """docs without the text, encoded and decoded again in one pass that keeps no ids: the counts of encode(), and `same`, whether the text came back but for its markers."""
+    names = [*(n for n, _ in _COUNTS), "same"]
+    docs = docs.drop(*names)
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [c for c in docs.columns if c != text_col]
+
+    def gone_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _shared(given)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                texts = [x or "" for x in some.column(some.schema.get_field_index(text_col)).to_pylist()]
+                got = encode_texts(v, texts)
+                same = [decode_ids(v, np.frombuffer(x, "<u4").tolist()) == t.replace(MARK, " ") for (x, _), t in zip(got, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *_counted(v, got), pa.array(same)], [*kept, *names])
+
+    schema = StructType([docs.schema[c] for c in kept])
+    for name, kind in (*_COUNTS, ("same", BooleanType())):
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(gone_through, schema)

@@ -71,3 +71,15 @@ def test_nulls_clashing_columns_and_empty_tables(spark, vocabulary):
     got = sorted(map(tuple, pieces.round_trip(rows, vocabulary).select("doc_id", "n_tokens", "same").collect()))
     assert got == [(1, 2, True), (1, 2, True), (2, 0, True), (3, 0, True)]
     assert pieces.round_trip(rows.limit(0), vocabulary).count() == 0
+
+
+def test_both_ways_in_spark(spark, vocabulary):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(99, None)], "doc_id long, text string")
+    coded = pieces.encode(rows, vocabulary)
+    back = {r.doc_id: r for r in pieces.decode(coded, vocabulary).collect()}
+    trip = {r.doc_id: r for r in pieces.round_trip(rows, vocabulary).collect()}
+    for i, t in [*enumerate(TEXTS), (99, "")]:
+        assert back[i].decoded == t
+        assert (back[i].n_tokens, back[i].ids_crc32, back[i].path_score) == (trip[i].n_tokens, trip[i].ids_crc32, trip[i].path_score)
+        assert len(back[i].ids) == back[i].n_tokens
+        assert trip[i].same
