@@ -30,7 +30,7 @@ class _Features(dict):
         return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) & self.mask
 
     def __missing__(self, token: str) -> tuple[tuple[int, ...], int]:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         before, word, after = _EDGE.match(token).groups()
         low = word.lower()
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep_from: int, least_chance: fl
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Features(bits)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             z = np.array([weights[features(x or "", cache)].sum(dtype=np.float64) for x in texts])
             above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - z[:, None], -700, 700)))
