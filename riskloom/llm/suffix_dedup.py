@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,8 +29,10 @@ from .common import keyed, stage
 Q = 24
 #: Bytes hashed at a time; longer documents are taken in overlapping pieces of PIECE bytes.
 CHUNK, PIECE = 1 << 17, 1 << 22
-#: Contexts of one bucket in a batch from which the bucket is dealt out by context.
-MANY = 64
+#: Bytes of text whose anchors are held and sorted together.
+HELD = 1 << 23
+#: Contexts of one bucket among these from which the bucket is dealt out by context.
+MANY = 16
 _PLAIN, _MIXED, _WITNESS, _REPEAT = 0, 1, 2, 3
 #: Of a run: its first offset, state, anchor and number of strings, in one number that sorts by offset.
 _AT = {"lo": "shiftright(at, 26)", "how": "cast(shiftright(at, 24) & 3 as int)", "rel": "cast(shiftright(at, 12) & 4095 as int)", "n": "cast(at & 4095 as int)"}
@@ -75,6 +78,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["key", "id", "z"])
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows with about `most` bytes in a column at a time."""
+    part = (np.cumsum(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) - 1) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column]
 
@@ -113,7 +124,7 @@ def _runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
 
 def _anchors(length: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1, HELD)):
             got = []
             for data, keys, starts, bases in _chunks(batch.column(0).to_pylist(), _texts(batch.column(1)), length):
                 lo, hi, x, b, c = _runs(data, starts, length)
