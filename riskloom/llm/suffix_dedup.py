@@ -7,7 +7,7 @@ and a run of neighbouring strings shares one anchor.
 
 1. Anchors (bucket, refined identifier of the run's whole context) meet by bucket. Equal contexts: all but the first are repeats.
 2. First contexts in a bucket that holds several are refined to single strings, batch by sorted batch.
-3. Strings of a bucket that reaches over a batch's end meet by identifier.
+3. Strings of a bucket that reaches over a batch's end, or of which any slice dealt out its contexts, meet by identifier.
 
 A key that is frequent within a batch is aggregated there, and a bucket with many contexts is dealt out by context, with one
 witness left behind, so that no task receives a frequent bucket whole.
@@ -55,8 +55,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     how = F.expr(_AT["how"])
     placed = anchors.withColumn("before", F.lag("ctx").over(bucket.orderBy("ctx", "key", "at")))
     placed = placed.withColumn("mixed", (F.min("ctx").over(bucket) != F.max("ctx").over(bucket)) | F.max(how == _MIXED).over(bucket))
+    # slices that hold few contexts of a bucket that others dealt out left theirs behind: these meet the dealt ones by identifier
+    placed = placed.withColumn("dealt", F.max(how == _WITNESS).over(bucket))
     placed = placed.where(how != _WITNESS).withColumn("repeat", (how == _REPEAT) | F.coalesce(F.col("before") == F.col("ctx"), F.lit(False)))
-    placed = placed.where("repeat or mixed").select(F.when(~F.col("repeat"), F.col("sb")).alias("sb"), "key", *(F.expr(x).alias(k) for k, x in _AT.items()))
+    state = {"how": F.when(F.col("dealt"), F.lit(_MIXED)).otherwise(how)}
+    placed = placed.where("repeat or mixed").select(F.when(~F.col("repeat"), F.col("sb")).alias("sb"), "key", *(state.get(k, F.expr(x)).alias(k) for k, x in _AT.items()))
     placed = stage(placed, "runs")
     whole = placed.where("sb is null").select("key", "lo", "n")
     firsts = placed.where("sb is not null").groupBy("key").agg(F.collect_list(F.struct("sb", "lo", "n", "rel", "how")).alias("runs"))

@@ -59,6 +59,23 @@ def test_repeats_in_a_bucket_with_many_contexts(spark, monkeypatch):
     assert plain(suffix_dedup.remove_repeats(table)) == plain_repeats(rows)
 
 
+def test_repeats_of_a_dense_bucket_meet_those_of_slices_with_few_contexts(spark):
+    rng = random.Random(11)
+    noise = lambda: "".join(rng.choice("stuvwxyz") for _ in range(150))
+    said = ["".join(rng.choice("abcdefgh") for _ in range(130)) for _ in range(40)]
+    dense = [(i, noise() + said[i // 20] + noise()) for i in range(40 * 20)]
+    few = [(1000 + i, noise() + s + noise()) for i, s in enumerate(said)]
+    one, two = (spark.createDataFrame(rows, "doc_id long, text string").coalesce(1) for rows in (dense, few))
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, 20)  # a batch of documents holds one dense bucket; a batch of runs holds few of any bucket
+    try:
+        got = plain(suffix_dedup.remove_repeats(one.unionByName(two)))
+    finally:
+        spark.conf.set(limit, was)
+    assert got == plain_repeats(dense + few)
+
+
 def test_repeats_of_repeated_ids_and_no_rows(spark):
     text = "".join(map(str, range(200)))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text + "!")], "doc_id long, text string")
