@@ -60,7 +60,8 @@ def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, thr
     """(id, group_id): exact copies join across labels, near copies of `threshold` or more within a label; all rows are kept, numbered densely from 0 by their smallest id.
 
     Work is per distinct text and label. In a band's bucket each text is compared with the bucket's first, and those left apart with the first of the
-    rest, until none is left apart: a bucket of copies costs one comparison a text.
+    rest, until none is left apart: a bucket of copies costs one comparison a text. This forms groups; the pairs of a bucket that it left out are compared
+    where they are of different groups, so that no link between groups is lost.
     """
     exact = exact_groups(rows, id_col, text_col)
     kinds = stage(rows.join(exact, id_col).groupBy("md5", label_col).agg(F.min(id_col).alias("rep"), F.first(text_col).alias("text")), "kinds")
@@ -68,19 +69,21 @@ def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, thr
     signed = signatures(hashed, "rep", label_col)
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND_ROWS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * BAND_ROWS + 1, BAND_ROWS)).alias("bucket")))
     placed = stage(signed.select("rep", label_col, F.explode(bands).alias("b")).select("rep", label_col, "b.band", "b.bucket"), "bands")
-    left, links = placed, None
+    left, links, seen = placed, None, None
     key = [label_col, "band", "bucket"]
     while True:
         pairs = left.join(left.groupBy(*key).agg(F.min("rep").alias("first")), key).where("rep <> first")
         tried = stage(pairs.select("rep", "first", *key), "pairs")
         if tried.isEmpty():
             break
-        one, two = hashed.select("rep", F.col("hashes").alias("x")), hashed.select(F.col("rep").alias("first"), F.col("hashes").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        alike = (both >= F.lit(threshold) * (F.size("x") + F.size("y") - both))
-        found = stage(tried.select("rep", "first").distinct().join(one, "rep").join(two, "first").where(alike).select(F.col("rep").alias("a"), F.col("first").alias("b")), "links")
+        found = stage(_alike(hashed, tried.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), threshold), "links")
+        seen = tried if seen is None else seen.unionByName(tried)
         links = found if links is None else links.unionByName(found)
         left = stage(tried.join(found, (tried["rep"] == found["a"]) & (tried["first"] == found["b"]), "left_anti").select("rep", *key), "left")
+    if links is not None:
+        done = seen.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+        rest = _across(placed, links, hashed, key, threshold).join(done, ["a", "b"], "left_anti")
+        links = links.unionByName(stage(_alike(hashed, rest, threshold), "links"))
     across = rows.join(exact, id_col).select(F.col(id_col).alias("a"), F.col("group_id").alias("b")).where("a <> b")
     to_rep = rows.join(exact, id_col).join(kinds.select("md5", label_col, "rep"), ["md5", label_col]).select(F.col(id_col).alias("a"), F.col("rep").alias("b")).where("a <> b")
     edges = across.unionByName(to_rep) if links is None else across.unionByName(to_rep).unionByName(links)
@@ -88,6 +91,25 @@ def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, thr
     return groups.join(dense(groups.select("root").distinct(), "root", "group_id"), "root").select(id_col, "group_id")
 
 
+def _alike(hashed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of `threshold` or more, by their whole sets."""
+    one, two = hashed.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), hashed.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)
+    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
+
+
+def _across(placed: DataFrame, links: DataFrame, hashed: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """All pairs (a, b), a the larger, that share a bucket but no group, and whose sizes allow a link."""
+    sizes = hashed.select("rep", F.size("hashes").alias("n"))
+    rows = placed.join(sizes, "rep").join(components(links), F.col("rep") == F.col("node"), "left").select(*key, "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    mixed = rows.groupBy(*key).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select(*key)
+    rows = stage(rows.join(mixed, key), "mixed")
+    other = rows.select(*key, F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+    met = rows.withColumnRenamed("rep", "a").join(other, key).where((F.col("a") > F.col("b")) & (F.col("comp") != F.col("comp2")))
+    return met.where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")).select("a", "b").distinct()
+
+
 def dense(rows: DataFrame, order_col: str, out: str) -> DataFrame:
     """Numbers from 0 by a unique column, in parallel ranges."""
     ranged = stage(rows.repartitionByRange(F.col(order_col)).withColumn("_part", F.spark_partition_id()), "ranged")

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -25,6 +26,17 @@ def test_near_copies_of_other_labels_stay_apart(spark):
     assert got[0] != got[1]
 
 
+def test_a_chain_of_near_copies_is_one_group(spark):
+    rng = random.Random(3)
+    said = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1022))
+    rows = [(0, said[:1000], 0), (1, said[:1011], 0), (2, said, 0)]
+    runs = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t, _ in rows]
+    near = lambda a, b: len(runs[a] & runs[b]) >= 0.98 * len(runs[a] | runs[b])
+    assert near(0, 1) and near(1, 2) and not near(0, 2)
+    got = dedup.near_groups(spark.createDataFrame(rows, "id long, text string, label int"), "id", "text", "label").collect()
+    assert {r.group_id for r in got} == {0}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
