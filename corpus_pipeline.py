@@ -19,20 +19,30 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs, model, keep_from=2).where("kept").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique, non-null _key that rises with (doc_id, text), nulls last: the id itself where that will do, else written once, so that it can't change."""
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint") and docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.coalesce("text", F.lit("")))
+    return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; documents without shingles are groups of their own. Of rows equal in id and text one stays."""
-    groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"), 75, 5)
-    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = _numbered(docs)
+    groups = ngram_join.jaccard_groups(rows.select("_key", "text"), 75, 5, id_col="_key")
+    first = groups.where("id = component_id").select(F.col("id").alias("_key"))
+    return rows.join(first, "_key", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that stand earlier in the corpus; bytes left over of a cut character go too. Texts of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), 100)
+    rows = _numbered(docs)
+    cut = suffix_dedup.remove_repeats(rows.select("_key", "text"), 100, id_col="_key")
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     clean = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    rest = cut.select("id", clean.alias("rest"), "n_removed")
-    joined = docs.join(rest, F.col("doc_id").eqNullSafe(F.col("id")))
+    rest = cut.select(F.col("id").alias("_key"), clean.alias("rest"), "n_removed")
+    joined = rows.join(rest, "_key")
     kept = F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col("text"))
     out = {"text": kept, "n_chars": F.when(F.col("text").isNotNull(), F.length(kept)).cast("long")}
     return joined.where("n_removed = 0 or rest <> ''").select(*(out.get(c, F.col(c)).alias(c) for c in docs.columns))

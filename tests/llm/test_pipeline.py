@@ -55,6 +55,19 @@ def test_cut_characters_go(spark):
     assert got == {i: t for i, t in kept.items() if t}
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rng = random.Random(5)
+    said = [" ".join("w" + str(rng.randrange(10**6)) for _ in range(40)) for _ in range(6)]
+    texts = [(1, said[0]), (1, said[0] + " end"), (1, said[1]), (2, said[1] + " end"), (None, said[2]), (None, said[2] + " end"), (None, said[3]), (None, said[4] + said[0][:150]), (3, said[5])]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    ranked = sorted(texts, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    keyed = [(k, t) for k, (_, t) in enumerate(ranked)]
+    want = Counter(ranked[k] for k, _, c in plain_groups(keyed) if k == c)
+    assert Counter((r.doc_id, r.text) for r in pipeline.one_of_each_group(spark, rows, "").collect()) == want
+    want = Counter((ranked[k][0], kept.decode()) for k, _, _, kept in plain_repeats(keyed) if kept)
+    assert Counter((r.doc_id, r.text) for r in pipeline.without_repeats(spark, rows, "").collect()) == want
+
+
 def test_whole_run(spark, sf001):
     got = pipeline.run(spark, sf001).collect()
     assert {"doc_id", "piece", "ids", "sequence_id", "offset"} <= set(got[0].asDict())
