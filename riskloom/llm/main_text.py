@@ -74,7 +74,7 @@ def _dropped(tag: str, attributes: str, level: int) -> bool:
 
 
 def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
-    """The blocks of main text of a page: those inside articles, else inside main, else all but blocks that are mostly links.
+    """The blocks of main text of a page: those of main with the articles in it, of other articles, or of the rest but those that are mostly links; of these what has most text.
 
     template is asked with each closed element's hash, if text is in it, whether to delete it.
     """
@@ -82,7 +82,6 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
     text: list[str] = []
     linked = 0
     stack = [_Open("", False, 0, 0, False)]
-    levels = set()
 
     def flush() -> None:
         nonlocal linked
@@ -169,15 +168,17 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
             flush()
         if attributes.endswith("/") and tag not in _CLOSES_P:
             continue
-        level = 2 if tag == "article" else max(top.level, 1 if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes) else 0)
+        level = top.level or (2 if tag == "article" else 1 if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes) else 0)
         gone = top.out or _dropped(tag, attributes, top.level)
-        if not gone:
-            levels.add(level)
         stack.append(_Open(tag, gone, level, len(out), False))
     close(1)
     flush()
-    best = max(levels, default=0)
-    return [said for said, level, share in out if level == best] if best else [said for said, _, share in out if share <= 0.5]
+    amount: Counter[int] = Counter()
+    for said, level, share in out:
+        if level or share <= 0.5:
+            amount[level] += len(said)
+    best = max(amount, key=lambda x: (amount[x], x), default=0)
+    return [said for said, level, share in out if level == best and (best or share <= 0.5)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages_from: int = PAGES, share: float = SHARE) -> DataFrame:

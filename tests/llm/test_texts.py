@@ -213,6 +213,19 @@ def test_main_text(page, want):
     assert main_text.blocks(page, keep_all) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><h1>T</h1><p>a long text of the page</p></main><article><p>teaser</article>", ["T", "a long text of the page"]),
+        ("<main><h1>T</h1><article><p>a</article><p>z</main>", ["T", "a", "z"]),
+        ("<div><p>a long text of the page</div><article><p>teaser</article>", ["a long text of the page"]),
+        ("<div><p>a text</div><article><nav>n</nav></article>", ["a text"]),
+    ],
+)
+def test_main_text_is_where_most_text_is(page, want):
+    assert main_text.blocks(page, keep_all) == want
+
+
 def test_templates_of_a_site_go(spark):
     page = lambda i: f"<body><div><p>About us and our site</p></div><div><p>Story {i} of many</p></div></body>"
     rows = [(i, "http://s.com/" + str(i), page(i), "t") for i in range(8)] + [(20, "http://other.com", page(0), "t"), (21, None, page(0), "t"), (22, "http://s.com/n", None, "t"), (0, "http://s.com/0", page(0), "t")]
