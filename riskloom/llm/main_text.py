@@ -1,7 +1,7 @@
 """HTML extraction with site template removal.
 
-Every element's subtree is hashed, its words and structure; Spark counts each hash over the pages of a host, and subtrees that recur on most of a host's pages
-are deleted. What elements and their names tell of menus, notices, adverts and the like goes as well.
+Every element's subtree is hashed, its words and structure; Spark counts each hash over the distinct contents of a host's pages, and subtrees that recur in most of
+them are deleted; copies of a page are no evidence of a template. What elements and their names tell of menus, notices, adverts and the like goes as well.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stage
 from .url_filters import host_of
 
-#: A subtree is the site's, not the page's, from so many pages of a host on that are also more than this share of its pages.
+#: A subtree is the site's, not the page's, from so many pages of a host on that are also more than this share of its pages. Pages that differ in no text but what the rules drop are one.
 PAGES, SHARE = 5, 0.5
 #: Hosts and hashes that may be broadcast together; beyond, the join shuffles.
 FEW = 500_000
@@ -185,14 +185,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) per page: blocks of the main text in page order, joined by line ends.
 
     Null html is empty and gives empty text, as does a page without main text. Pages without a host in their URL have no site, so that no template is cut from them. Character references are decoded, white space
-    in a block is one space. Repeated pages stay repeated and count each. An empty table gives no rows; other columns are not read.
+    in a block is one space. Repeated pages stay repeated, and count once for templates. An empty table gives no rows; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
     rows = rows.withColumn("host", F.when(host != "", F.xxhash64(host)))
     sited = rows.where("host is not null")
-    seen = sited.select("host", "html").mapInArrow(_subtrees, "host long, tree long, n long").groupBy("host", "tree").agg(F.sum("n").alias("n")).where(F.col("n") >= pages_from)
-    sizes = sited.groupBy("host").agg(F.count("*").alias("pages"))
+    # the null tree stands for the page itself
+    trees = sited.select("host", "html").mapInArrow(_subtrees, "host long, tree long, content long").groupBy("host", "tree").agg(F.countDistinct("content").alias("n"))
+    trees = stage(trees.where((F.col("n") >= pages_from) | F.col("tree").isNull()), "trees")
+    seen = trees.where("tree is not null")
+    sizes = trees.where("tree is null").select("host", F.col("n").alias("pages"))
     recurring = seen.join(sizes, "host").where(F.col("n") > F.col("pages") * share).groupBy("host").agg(F.collect_list("tree").alias("trees"))
     recurring = stage(recurring, "templates")
     held = recurring.agg(F.count("*"), F.coalesce(F.sum(F.size("trees")), F.lit(0))).first()
@@ -202,14 +205,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, tree, content): the subtrees of each distinct content, and a null tree for the content itself: what the rules leave of a page, or its html where that is nothing."""
+    signed = lambda h: h - (h >> 63 << 64)
     for batch in batches:
-        seen: Counter[tuple[int, int]] = Counter()
+        seen: set[tuple[int, int | None, int]] = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found: set[int] = set()
-            blocks(page, lambda h: found.add(h))  # noqa: B023
-            seen.update((host, h - (h >> 63 << 64)) for h in found)
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "tree", "n"])
+            said = blocks(page, lambda h: found.add(h))  # noqa: B023
+            whole = "\n".join([*map(str, sorted(found)), *said]) or page
+            content = signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
+            seen.add((host, None, content))
+            seen.update((host, signed(h), content) for h in found)
+        host, tree, content = zip(*seen, strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (host, tree, content)], ["host", "tree", "content"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

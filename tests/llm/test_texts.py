@@ -236,6 +236,13 @@ def test_templates_of_a_site_go(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda i: f"<body><div><p>About us and our site</p></div><article><p>Story {i} of many</p></article></body>"
+    rows = [(i, f"http://s.com/{i}", page(0)) for i in range(8)] + [(10 + i, f"http://s.com/n{i}", page(i)) for i in range(1, 5)]
+    got = {r.id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Story 0 of many" for i in range(8)} | {10 + i: f"Story {i} of many" for i in range(1, 5)}
+
+
 @pytest.fixture(scope="module")
 def rated(spark, sf001):
     sf = sf001.replace("0.001", "0.1")
