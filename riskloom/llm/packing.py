@@ -2,57 +2,91 @@
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import public_tokenizers
-import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
-from .common import stage
+from .common import slices, stage
 
 #: Rows of one length that are numbered in one task, about.
 NUMBERED = 200_000
+#: Bytes of text whose words are looked up together; words that are remembered, and the longest of them.
+HELD, WORDS, LONGEST = 1 << 20, 1 << 18, 48
+_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str) -> tiktoken.Encoding:
-    """The encoder of a file of ranks; once per worker."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+class Encoder:
+    """Ids of texts by a byte-level tokenizer file, each frequent word encoded once.
+
+    A single space between two other characters begins a token of its own word, and a single line end there is a token by itself, so that a text may be cut at both
+    without changing its ids; special tokens hold neither. The ids of the parts come from the tokenizer and are remembered.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are as many as the cores
+        self.model, self.known = Tokenizer.from_file(path), {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit numbers, little-endian."""
+        if len(self.known) > WORDS:
+            self.known.clear()
+        known, heads, rests, long = self.known, [], [], {}
+        for text in texts:
+            words = text.replace("\n", " ")
+            even = " ".join(words.split()) == words  # every white space stands alone, inside, and is a space or a line end
+            head, *rest = text.replace("\n", " \n").split(" ") if even else _SPLIT.split(text)
+            heads.append(head), rests.append(rest)
+        new = list(set().union(*rests).difference(known))
+        # a part that begins with a line end had no space before it
+        for part, ids in zip(new, self._encode([x if x[0] == "\n" else " " + x for x in new]), strict=True):
+            (known if len(part) <= LONGEST else long)[part] = ids
+        found = (known | long).__getitem__ if long else known.__getitem__
+        return [head + b"".join(map(found, rest)) for head, rest in zip(self._encode(heads), rests, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """Once per worker."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each text's tokens and end_id, cut only if longer than capacity.
 
-    All pieces but the first are then exactly full; piece counts from 0 and start is the number of the document's ids before it. Special tokens' strings in a text are ordinary text;
-    null text is empty, so that it gives end_id alone.
+    All pieces but the first are then exactly full; piece counts from 0 and start is the number of the document's ids before it. The tokenizer adds no special tokens, and reads their strings in a text as the file says;
+    null text is empty, so that it gives end_id alone. Repeated and null ids stay rows of their own; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    last = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding(path)
-        for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 1000):
-                owner, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, text in enumerate(batch.column(1)[at : at + 1000].to_pylist()):
-                    tokens = np.append(encoder.encode_to_numpy(text, disallowed_special=()), end_id).astype("<u4")
-                    cuts = [0, *range(len(tokens) % capacity or capacity, len(tokens) + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        part = tokens[a:b]
-                        owner.append(at + i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(part.tobytes()))
-                        if with_ids:
-                            ids.append(part.astype(np.int32))
-                cols = [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+        for some in (part for batch in batches for part in slices(batch, 1, HELD)):
+            owner, piece, start, length, crc, ids = [], [], [], [], [], []
+            for i, tokens in enumerate(encoder(path).ids(some.column(1).to_pylist())):
+                tokens += last
+                n = len(tokens) // 4
+                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    part = tokens[4 * a : 4 * b]
+                    owner.append(i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(part)), ids.append(part)
+            cols = [some.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

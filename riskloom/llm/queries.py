@@ -18,8 +18,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The file of ranks is the same vocabulary as byte_bpe_50k.json and gives the same ids; tests hold the two together.
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(_read(spark, sf_dir, "documents"), path, 2048, with_ids=False).withColumnRenamed("id", "doc_id")
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from riskloom.llm import main_text, packing, quality, sharding, suffix_dedup, url_filters
 
-PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain_repeats(rows, length=100):
@@ -94,10 +94,9 @@ def test_a_very_long_text_is_taken_in_pieces(spark, monkeypatch):
 
 
 def test_pieces_and_places(spark, documents_sf001):
-    rows = [(i, t) for i, t in enumerate(documents_sf001)] + [(1000, None), (1001, ""), (1002, "<|endoftext|> é\x00"), (1003, "word " * 9000)]
+    rows = [(i, t) for i, t in enumerate(documents_sf001)] + [(1000, None), (1001, ""), (1002, "<|endoftext|> é\x00<|endoftext|>x"), (1003, "word " * 9000), (1004, " " * 2_000_000 + "x"), (1005, "a\tb \n c\u00a0d \u3000 e\r\nf\n\ng"), (1006, " lead"), (1007, "tail "), (1008, "汉字" * 3000)]
     got = packing.pack_documents(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, piece string"), PATH).collect()
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.id, []).append(r)
@@ -121,6 +120,15 @@ def test_pieces_and_places(spark, documents_sf001):
     assert len(by_sequence) <= -(-total // 2048) + 1
 
 
+def test_ids_are_the_tokenizer_s_over_whole_tables(documents_sf001):
+    model = Tokenizer.from_file(PATH)
+    texts = [t or "" for t in documents_sf001] + ["\n", "", " a", "a\nb", "a \n b", "\x1c a b", "it's 'tis don't 12 ab3", "x" * 100 + " " + "y" * 100, "<|endo ftext|>", "a <|endoftext|> b"]
+    own = packing.Encoder(PATH)
+    own.ids(texts)
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)]
+    assert got == [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(5)
     for _ in range(60):
