@@ -118,7 +118,7 @@ def test_forest_finds_the_nearest(spark, sf001):
     x, ids = np.stack(table["embedding"].to_numpy()).astype(float), table["vec_id"].to_numpy()
     frame = spark.createDataFrame([(int(i), v.tolist(), "x") for i, v in zip(ids, x, strict=True)] + [(100000, None, "x"), (100050, [0.0] * 64, "x"), (None, x[0].tolist(), "x"), (100100, [float("inf")] * 64, "x")], "vec_id long, embedding array<double>, score string")
     got = {}
-    for r in prefix_forest.nearest(frame, part_rows=64).collect():
+    for r in prefix_forest.nearest(frame, block_rows=64).collect():
         got.setdefault(r.query_id, []).append(r)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
     hits = 0
@@ -142,6 +142,39 @@ def test_forest_with_few_equal_and_no_rows(spark):
     assert prefix_forest.nearest(frame.limit(0)).count() == 0
 
 
+def test_forest_takes_huge_and_tiny_components(spark):
+    frame = spark.createDataFrame([(50, [1e200, 1e200]), (1, [2e200, 2e200]), (2, [1e-200, 1e-200]), (3, [-1e200, 1e200])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in prefix_forest.nearest(frame).collect())
+    assert got == [(50, 1, 1, 1.0), (50, 2, 2, 1.0), (50, 3, 3, 0.0)]
+
+
+def test_forest_with_a_crowd_of_near_and_equal_rows(spark):
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(16)
+    rows = [(i, (center + 0.01 * rng.standard_normal(16)).tolist()) for i in range(400)] + [(400 + i, center.tolist()) for i in range(300)] + [(700 + i, rng.standard_normal(16).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    got = {}
+    for r in prefix_forest.nearest(frame, block_rows=32, target=64).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in range(0, 1000, 50):
+        cos = np.round(unit @ unit[q], 12)
+        cos[q] = -9
+        assert len(got[q]) == 5
+        hits += len(set(got[q]) & set(np.lexsort((np.arange(1000), -cos))[:5].tolist()))
+    assert hits >= 90
+    assert all(got[q] == [i for i in range(400, 406) if i != q][:5] for q in range(400, 700, 50))
+
+
+def test_prefix_lengths_at_which_trees_hold_enough():
+    ordered = np.sort(np.array([[0b1011, 0b1010, 0b0001], [0b1000, 0b1001, 0b1100]], np.int64) << (prefix_forest.BITS - 4), 1)
+    bits = np.array([[0b1011, 0b1001]], np.int64) << (prefix_forest.BITS - 4)
+    assert [prefix_forest.ascend(ordered, bits, n)[0] for n in (2, 3, 4, 5, 6)] == [prefix_forest.BITS, 3, 3, 1, 0]
+    assert (prefix_forest.enough(np.array([-1.0, 0.0, 0.5, 1.0]), 64, 0.05) == [0, 4, 7, prefix_forest.BITS]).all()
+
+
 def test_keys_rise_with_ids(spark):
     rows = keyed(spark.createDataFrame([(3, "b"), (3, "a"), (None, "c"), (1, None)], "doc_id long, text string")).orderBy("key").collect()
     assert [(r.id, r.text) for r in rows] == [(1, ""), (3, "a"), (3, "b"), (None, "c")]
