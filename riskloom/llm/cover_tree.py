@@ -1,8 +1,8 @@
 """Embedding near-dedup: exact pairs over a cosine threshold, by dual traversal of cover trees.
 
-Unit vectors whose cosine is c lie sqrt(2 - 2c) apart. Rows are dealt to cells, the balls around pivots of their label; a row visits another cell only if the
-cell's covering radius lets it hold a partner. In a cell, a cover tree of nested levels with halving radii is walked against itself: a pair of nodes is pruned when its
-covering radii rule a link out, and taken whole, without its pairs, when they rule one in.
+Unit vectors whose cosine is c lie sqrt(2 - 2c) apart. The tree's upper level is in Spark: the balls around pivots of a label are its nodes, kept to blocks of bounded size. A pair of nodes is pruned
+when its covering radii rule a link out, and taken whole, without moving a row, when they rule one in; of the pairs left, a row goes to those whose other node can hold a partner of its own.
+In a pair of blocks, two cover trees of nested levels with halving radii are walked against each other in the same way. Counts and links of the pairs are put together at the end.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, stage
 from .vectors import vectors
 
-#: Rows a cell is meant to hold, and how many pivots there are at most; cells grow beyond that.
-CELL, PIVOTS = 4096, 1 << 14
+#: Rows a block is meant to hold, and how many pivots there are at most; beyond that, as wherever a node is overfull, a node is dealt out to blocks by a hash.
+BLOCK, PIVOTS = 8192, 1 << 14
 _LEAF, _SLACK = 48, 1e-7
+#: Rows whose distances to all pivots are at hand together.
+_ROWS = 256
 
 
 def near_groups(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -28,58 +30,135 @@ def near_groups(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     n_links counts other rows linked directly, equal vectors among them; component_id is the smallest id that links reach; kept marks a component's smallest id. Rows with null labels,
     and null, zero or not wholly finite vectors link with nothing, and so do vectors of different lengths. Rows of one id are one node of the groups. A null id has no group, and is kept. An empty table gives no rows.
     """
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     able = vectors(rows.where("label is not null"), "id", "v", "label")
-    kinds = stage(able.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "kinds")
-    found = stage(_cells(kinds, threshold).groupBy("label", "dim", "cell").applyInPandas(_walked(threshold), "label string, v array<double>, rep long, links long, root long"), "walked")
-    own = found.where("links is not null").select("label", "v", "rep", "links")
-    copies = able.join(kinds, ["label", "v"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    kinds = able.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    kinds = stage(kinds.select("label", F.size("v").alias("dim"), "v", "rep", "copies", F.monotonically_increasing_id().alias("kid")), "kinds")
+    found = stage(_found(kinds, threshold), "found")
+    copies = able.join(kinds.select("label", "v", "rep"), ["label", "v"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     groups = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(copies))
-    named = rows.withColumn("label", F.col("label").cast("string")).join(own.drop("rep"), ["label", "v"], "left").join(groups, F.col("id") == F.col("node"), "left")
+    own = kinds.join(found.groupBy("kid").agg(F.sum("links").alias("links")), "kid", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    named = rows.join(own, ["label", "v"], "left").join(groups, F.col("id") == F.col("node"), "left")
     component = F.coalesce("root", F.col("id").cast("long"))
     return named.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _cells(kinds: DataFrame, threshold: float) -> DataFrame:
-    """(label, dim, cell, rep, v, copies, own): each vector in its own cell, and as a visitor in those that can hold a partner."""
-    kinds = kinds.withColumn("label", F.col("label").cast("string")).withColumn("dim", F.size("v"))
-    total = kinds.count()
-    room = max(CELL, -(-total // PIVOTS))
+class _Nodes:
+    """The upper nodes of one label and dimension: pivots, covering radii, blocks each is dealt out to, copies in it, smallest id."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, n = pivots, len(pivots)
+        self.radius, self.blocks, self.copies, self.first = np.full(n, -9.0), np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def far(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * x @ self.pivots.T, 0))
+
+    def between(self, home: np.ndarray) -> np.ndarray:
+        """Distances of the pivots of home and all pivots; exactly 0 of a pivot and itself."""
+        far = self.far(self.pivots[home])
+        far[np.arange(len(home)), home] = 0
+        return far
+
+
+def _found(kinds: DataFrame, threshold: float) -> DataFrame:
+    """(kid, rep, links, root): for each vector, in parts, copies of others that it links with, and a smallest id that links reach."""
+    total, reach = kinds.count(), float(np.sqrt(2 - 2 * threshold))
+    room = max(BLOCK, -(-total // PIVOTS))
     large = kinds.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * room)
     chance = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30) < F.lit(1.0 / room)
     drawn = kinds.where(chance).join(large, ["label", "dim"], "left_semi").select("label", "dim", "v").toPandas()
-    pivots = {k: _unit(np.stack(g["v"].to_numpy())) for k, g in drawn.groupby(["label", "dim"])}
-    reach = float(np.sqrt(2 - 2 * threshold)) + _SLACK
-
-    def dealt(radii: dict | None):
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = pd.DataFrame({"label": batch.column(0).to_pylist(), "dim": batch.column(4).to_pylist()})
-                for key, at in keys.groupby(["label", "dim"]).indices.items():
-                    some = batch.take(pa.array(at))
-                    if key in pivots:
-                        x = _unit(some.column(1).flatten().to_numpy().reshape(-1, key[1]))
-                        far = np.sqrt(np.maximum(2 - 2 * x @ pivots[key].T, 0))
-                    else:
-                        far = np.zeros((len(at), 1))
-                    home = far.argmin(1)
-                    if radii is None:
-                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(4), pa.array(home.astype(np.int32)), pa.array(far.min(1))], ["label", "dim", "cell", "far"])
-                        continue
-                    goes = far <= np.array([radii.get((*key, c), -1.0) for c in range(far.shape[1])]) + reach
-                    goes[np.arange(len(at)), home] = True
-                    i, cell = np.nonzero(goes)
-                    took = some.take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell.astype(np.int32)), pa.array(cell == home[i])], [*took.schema.names, "cell", "own"])
-
-        return deal
-
-    kinds = kinds.select("label", "v", "rep", "copies", "dim")
-    radii = {}
-    if pivots:
-        around = kinds.mapInArrow(dealt(None), "label string, dim int, cell int, far double").groupBy("label", "dim", "cell").agg(F.max("far").alias("far"))
-        radii = {(r["label"], r["dim"], r["cell"]): r["far"] + _SLACK for r in around.collect()}
-    return kinds.mapInArrow(dealt(radii), "label string, v array<double>, rep long, copies long, dim int, cell int, own boolean")
+    nodes = {k: _Nodes(_unit(np.stack(g["v"].to_numpy()))) for k, g in drawn.groupby(["label", "dim"])}
+    whole = False
+    if nodes:
+        homes = kinds.mapInArrow(_homes(nodes), "label string, dim int, node int, far double, rep long, copies long")
+        about = homes.groupBy("label", "dim", "node").agg(F.max("far").alias("far"), F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("rep").alias("first"))
+        for r in about.collect():  # a row a pivot
+            of, i = nodes[r["label"], r["dim"]], r["node"]
+            of.radius[i], of.blocks[i], of.copies[i], of.first[i] = r["far"] + _SLACK, -(-r["n"] // (2 * BLOCK)), r["copies"], r["first"]
+            whole |= r["far"] < reach / 2
+    dealt = kinds.mapInArrow(_dealt(nodes, reach), "label string, dim int, pair string, side int, v array<double>, rep long, copies long, kid long")
+    found = dealt.groupBy("label", "dim", "pair").applyInArrow(_walked(threshold), "kid long, rep long, links long, root long")
+    return found.unionByName(kinds.mapInArrow(_whole(nodes, reach), "kid long, rep long, links long, root long")) if whole else found
+
+
+def _by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    for batch in batches:
+        keys = pd.DataFrame({"label": batch.column("label").to_pylist(), "dim": batch.column("dim").to_pylist()})
+        for key, at in keys.groupby(["label", "dim"]).indices.items():
+            yield key, batch.take(pa.array(at))
+
+
+def _near_pivots(batches: Iterator[pa.RecordBatch], nodes: dict) -> Iterator[tuple[pa.RecordBatch, _Nodes, np.ndarray, np.ndarray]]:
+    """Rows of labels that have nodes, a few at a time: (rows, nodes, distances to pivots, nearest pivot)."""
+    for key, some in _by_label(batches):
+        for at in range(0, some.num_rows if key in nodes else 0, _ROWS):
+            few = some.slice(at, _ROWS)
+            far = nodes[key].far(_unit(_matrix(few.column("v"))))
+            yield few, nodes[key], far, far.argmin(1)
+
+
+def _homes(nodes: dict):
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few, _, far, home in _near_pivots(batches, nodes):
+            cols = [few.column("label"), few.column("dim"), pa.array(home.astype(np.int32)), pa.array(far.min(1)), few.column("rep"), few.column("copies")]
+            yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "node", "far", "rep", "copies"])
+
+    return homes
+
+
+def _dealt(nodes: dict, reach: float):
+    """Rows with the pairs of blocks that they go to, and on which side of the pair they stand."""
+    names = ["label", "dim", "pair", "side", "v", "rep", "copies", "kid"]
+
+    def given(some: pa.RecordBatch, row: np.ndarray, pairs: list[str], side: np.ndarray) -> pa.RecordBatch:
+        took = some.take(pa.array(row))
+        return pa.RecordBatch.from_arrays([took.column("label"), took.column("dim"), pa.array(pairs, pa.string()), pa.array(side.astype(np.int32)), *(took.column(c) for c in names[4:])], names)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, some in _by_label([batch]):
+                if key not in nodes:
+                    yield given(some, np.arange(some.num_rows), ["0.0-0.0"] * some.num_rows, np.zeros(some.num_rows))
+            for few, of, far, home in _near_pivots([batch], nodes):
+                apart = of.between(home) - of.radius[home][:, None] - of.radius
+                within = of.between(home) + of.radius[home][:, None] + of.radius
+                goes = (apart <= reach + _SLACK) & (far <= of.radius + reach + _SLACK) & (within >= reach - 1e-6) & (of.radius >= 0)
+                row, node = np.nonzero(goes)
+                times = of.blocks[node]
+                row, node = np.repeat(row, times), np.repeat(node, times)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                own = few.column("kid").to_numpy()[row] % of.blocks[home[row]]
+                mine, other = np.stack([home[row], own], 1), np.stack([node, block], 1)
+                left = (mine[:, 0] < other[:, 0]) | (mine[:, 0] == other[:, 0]) & (mine[:, 1] <= other[:, 1])
+                one, two = np.where(left[:, None], mine, other).tolist(), np.where(left[:, None], other, mine).tolist()
+                yield given(few, row, [f"{a}.{b}-{c}.{d}" for (a, b), (c, d) in zip(one, two, strict=True)], ~left)
+
+    return dealt
+
+
+def _whole(nodes: dict, reach: float):
+    """What node pairs taken whole give their rows: all copies of the other node's rows, and its smallest id."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few, of, _, home in _near_pivots(batches, nodes):
+            taken = (of.between(home) + of.radius[home][:, None] + of.radius < reach - 1e-6) & (of.radius >= 0)
+            at, rep = np.arange(len(home)), few.column("rep").to_numpy()
+            inside = taken[at, home]
+            links = taken @ of.copies - np.where(inside, few.column("copies").to_numpy(), 0)
+            # the node's smallest id is joined to the other nodes; other rows to the smallest id of their own, or else of one other node
+            heads = taken & (rep == of.first[home])[:, None]
+            heads[at, np.where(inside, home, taken.argmax(1))] |= taken.any(1)
+            row, node = np.nonzero(heads)
+            new = np.concatenate([[True] * bool(len(row)), row[1:] != row[:-1]])
+            kid = few.column("kid").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kid[row], rep[row], np.where(new, links[row], 0), of.first[node])], ["kid", "rep", "links", "root"])
+
+    return whole
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -117,8 +196,8 @@ def _far(x: np.ndarray, members: np.ndarray, center: int) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * x[members] @ x[center], 0))
 
 
-def links(raw: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector the copies of other vectors that it links with, and the smallest index that links reach."""
+def links(raw: np.ndarray, copies: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the copies of other vectors that it links with, and the smallest index that links reach; with sides, of the other side's vectors alone."""
     x, n = _unit(raw), len(raw)
     counts, label = np.zeros(n, np.int64), np.arange(n)
     reach = float(np.sqrt(2 - 2 * threshold))
@@ -149,8 +228,11 @@ def links(raw: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.nda
             if len(i):
                 join(p[i], b[j])
 
-    root = Node(x, np.arange(n), 2.0, reach / 16)
-    stack = [(root, root)]
+    if side is None:
+        root = Node(x, np.arange(n), 2.0, reach / 16)
+        stack = [(root, root)]
+    else:
+        stack = [tuple(Node(x, np.flatnonzero(side == k), 2.0, reach / 16) for k in (0, 1))]
     while stack:
         a, b = stack.pop()
         d = float(np.sqrt(max(2 - 2 * x[a.center] @ x[b.center], 0))) if a is not b else 0.0
@@ -174,13 +256,16 @@ def links(raw: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.nda
 
 
 def _walked(threshold: float):
-    def walked(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("rep", kind="stable")
-        copies = cell["copies"].to_numpy()
-        counts, label = links(np.stack(cell["v"].to_numpy()), copies, threshold)
-        rep = cell["rep"].to_numpy()
-        out = pd.DataFrame({"label": cell["label"], "v": cell["v"], "rep": rep, "links": pd.array(counts + copies - 1, "Int64"), "root": rep[label]})
-        out.loc[~cell["own"].to_numpy(), "links"] = pd.NA
-        return out
+    def walked(pair: pa.Table) -> pa.Table:
+        rep, side = pair["rep"].to_numpy(), pair["side"].to_numpy()
+        order = np.argsort(rep, kind="stable")
+        pair, rep, side = pair.take(pa.array(order)), rep[order], side[order]
+        one, two = pair["pair"][0].as_py().split("-")
+        if one != two and (side == side[0]).all():  # nobody came from the other side
+            counts, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        else:
+            counts, label = links(_matrix(pair["v"]), pair["copies"].to_numpy(), threshold, None if one == two else side)
+        met = np.flatnonzero((counts > 0) | (label != np.arange(len(rep))))
+        return pa.table([pair["kid"].take(pa.array(met)), pa.array(rep[met]), pa.array(counts[met]), pa.array(rep[label[met]])], ["kid", "rep", "links", "root"])
 
     return walked

@@ -28,12 +28,12 @@ class Encoder:
     """Ids of texts by a byte-level tokenizer file, each frequent word encoded once.
 
     A single space between two other characters begins a token of its own word, and a single line end there is a token by itself, so that a text may be cut at both
-    without changing its ids; special tokens hold neither. The ids of the parts come from the tokenizer and are remembered.
+    without changing its ids; special tokens hold neither. The ids of the parts come from the tokenizer and are remembered; when there are too many of them, those that came up once are forgotten.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are as many as the cores
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.known, self.often = Tokenizer.from_file(path), {}, set()
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
@@ -41,14 +41,18 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit numbers, little-endian."""
         if len(self.known) > WORDS:
-            self.known.clear()
+            if len(self.often) > WORDS // 2:
+                self.often.clear()
+            self.known = {x: self.known[x] for x in self.often if x in self.known}
         known, heads, rests, long = self.known, [], [], {}
         for text in texts:
             words = text.replace("\n", " ")
             even = " ".join(words.split()) == words  # every white space stands alone, inside, and is a space or a line end
             head, *rest = text.replace("\n", " \n").split(" ") if even else _SPLIT.split(text)
             heads.append(head), rests.append(rest)
-        new = list(set().union(*rests).difference(known))
+        words = set().union(*rests)
+        new = list(words.difference(known))
+        self.often.update(words.intersection(known))
         # a part that begins with a line end had no space before it
         for part, ids in zip(new, self._encode([x if x[0] == "\n" else " " + x for x in new]), strict=True):
             (known if len(part) <= LONGEST else long)[part] = ids

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from riskloom.llm import cover_tree, ngram_join, prefix_forest
@@ -105,7 +106,7 @@ def test_cover_tree_links_are_the_plain_ones(spark):
 
 
 def test_cover_tree_cells_and_visitors(spark, monkeypatch):
-    monkeypatch.setattr(cover_tree, "CELL", 30)
+    monkeypatch.setattr(cover_tree, "BLOCK", 30)
     rng = np.random.default_rng(4)
     rows = [(i, (rng.standard_normal(4)).tolist(), i % 2) for i in range(300)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
@@ -113,6 +114,45 @@ def test_cover_tree_cells_and_visitors(spark, monkeypatch):
     assert cover_tree.near_groups(table.limit(0)).count() == 0
 
 
+def test_cover_tree_nodes_taken_whole_and_overfull(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    centers = rng.standard_normal((3, 16))
+    rows = [(i, (centers[i % 3] + 0.003 * rng.standard_normal(16)).tolist(), 1) for i in range(300)] + [(300 + i, (centers[0] + 0.25 * rng.standard_normal(16)).tolist(), 1) for i in range(80)]
+    rows += [(500 + i, rows[i][1], 1) for i in range(0, 60, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, cover_tree.near_groups(table).collect())) == plain_links(rows)
+
+
+def test_cover_tree_of_a_label_of_many_blocks(spark):
+    rng = np.random.default_rng(9)
+    n = 3 * cover_tree.BLOCK
+    x = rng.standard_normal((n, 24))
+    x[n - 500 :] = x[:500] + 0.05 * rng.standard_normal((500, 24))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).selectExpr("vec_id", "embedding", "1 as label")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    n_links, edges = np.zeros(n, np.int64), []
+    for at in range(0, n, 2048):
+        hit = unit[at : at + 2048] @ unit.T >= 0.93
+        i, j = np.nonzero(hit)
+        n_links[at : at + 2048] = hit.sum(1) - 1
+        edges += [(a + at, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a + at < b]
+    root = list(range(n))
+    for a, b in edges:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    got = cover_tree.near_groups(table).toPandas().sort_values("id")
+    assert (got["n_links"].to_numpy() == n_links).all()
+    assert n_links.sum() >= 1000
+    for i, c in enumerate(got["component_id"].tolist()):
+        while root[i] != i:
+            i = root[i]
+        assert i == c
+
+
 def test_forest_finds_the_nearest(spark, sf001):
     table = spark.read.parquet(f"{sf001}/embeddings.parquet").toPandas()
     x, ids = np.stack(table["embedding"].to_numpy()).astype(float), table["vec_id"].to_numpy()
