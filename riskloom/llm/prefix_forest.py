@@ -5,7 +5,8 @@ then ascends in all trees together, one bit at a time, until the trees hold `tar
 together, as long as a vector as near as the k-th one found would have been missed with a chance above `miss`: two vectors at an angle a agree in a bit with a chance of 1 - a / pi.
 So the effort follows the data and not the size of the table: where the nearest are near, deep prefixes do; where all vectors are far from each other, much of the table has to be seen.
 
-In Spark vectors lie in blocks, by their string in the first tree, and move once; what the trees exchange is prefixes and numbers of blocks. A query visits the blocks that share its prefix in any tree.
+In Spark vectors lie in blocks, by their string in the first tree, and move once; what the trees exchange is prefixes and numbers of blocks. A query visits the blocks that share its prefix in any tree,
+which of a prefix so short that a block holds it anyway are all.
 """
 
 from __future__ import annotations
@@ -108,11 +109,12 @@ def nearest(
     forest = stage(hashed.join(parts, ["dim", "p0"]).select("rep", "ask", "dim", "v", "bits", block.alias("block")), "forest")
 
     asked = stage(forest.where("ask").select("rep", "dim", "bits").mapInArrow(_depths(forest, sizes, target), "rep long, depth int"), "asked")
-    hits = stage(_scored(forest, asked, k + 1), "hits")
+    routes = _routes(sizes, block_rows)
+    hits = stage(_scored(forest, asked, k + 1, routes), "hits")
     last = hits.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("score"))
     further = F.when(F.col("n") > k, _enough(trees, miss)("score")).otherwise(0)
     again = stage(asked.join(last, "rep").withColumn("to", further).where("to < depth").select("rep", F.col("to").alias("depth")), "again")
-    hits = hits.join(again, "rep", "left_anti").unionByName(_scored(forest, again, k + 1))
+    hits = hits.join(again, "rep", "left_anti").unionByName(_scored(forest, again, k + 1, routes))
 
     smallest = Window.partitionBy("rep").orderBy("id")
     few = copies.withColumn("i", F.row_number().over(smallest)).where(F.col("i") <= k + 1).select(F.col("rep").alias("hit"), F.col("id").alias("vec_id"))
@@ -176,25 +178,38 @@ def _enough(trees: int, miss: float):
     return told
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, dim, tree, depth, prefix) of each query."""
-    for dim, some in _by_dim(batches):
-        bits, depth = _matrix(some.column("bits"), np.int64), some.column("depth").to_numpy()
-        n, trees = bits.shape
-        row = np.repeat(np.arange(n), trees)
-        cols = [some.column("rep").take(pa.array(row)), pa.array(np.full(n * trees, dim, np.int32)), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(depth[row]), pa.array((bits >> (BITS - depth[:, None])).ravel())]
-        yield pa.RecordBatch.from_arrays(cols, ["rep", "dim", "tree", "depth", "prefix"])
+def _routes(sizes: dict[int, int], block_rows: int) -> dict[int, list[int]]:
+    """For each dimension the prefix lengths by which queries find their blocks: up to where a prefix is of a few vectors only, down to where every block holds all prefixes."""
+    least = int(np.ceil(np.log2(block_rows)))
+    return {d: list(range(max(least + 1, int(np.log2(n)) - 4), least, -4)) for d, n in sizes.items()}
 
 
-def _held(depths: list[int]):
-    """(dim, tree, depth, prefix, block): which prefixes of the depths in use a block holds, each once a batch."""
+def _prefixes(routes: dict[int, list[int]]):
+    """(rep, dim, tree, depth, prefix) of each query, by the longest route that is no longer than its own prefix; no rows of a query that is on no route."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, some in _by_dim(batches):
+            own = some.column("depth").to_numpy()
+            depth = np.max([np.where(own >= x, x, 0) for x in [0, *routes[dim]]], 0)
+            some, depth = some.filter(pa.array(depth > 0)), depth[depth > 0]
+            bits = _matrix(some.column("bits"), np.int64) if len(depth) else np.zeros((0, 1), np.int64)
+            n, trees = bits.shape
+            row = np.repeat(np.arange(n), trees)
+            cols = [some.column("rep").take(pa.array(row)), pa.array(np.full(n * trees, dim, np.int32)), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(depth[row].astype(np.int32)), pa.array((bits >> (BITS - depth[:, None])).ravel())]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "dim", "tree", "depth", "prefix"])
+
+    return prefixes
+
+
+def _held(depths: dict[int, list[int]]):
+    """(dim, tree, depth, prefix, block): which prefixes of the lengths in use a block holds, each once a batch."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, some in _by_dim(batches):
             names = some.column("block").dictionary_encode()
             block, bits = names.indices.to_numpy(), _matrix(some.column("bits"), np.int64)
             for tree, of in enumerate(bits.T):
-                for depth in depths:
+                for depth in depths.get(dim, ()):
                     prefix = of >> (BITS - depth)
                     order = np.lexsort((block, prefix))
                     new = np.concatenate([[True], (prefix[order][1:] != prefix[order][:-1]) | (block[order][1:] != block[order][:-1])])
@@ -205,13 +220,20 @@ def _held(depths: list[int]):
     return held
 
 
-def _scored(forest: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _scored(forest: DataFrame, asked: DataFrame, k: int, routes: dict[int, list[int]]) -> DataFrame:
     """(rep, hit, score): of all vectors that share a query's prefix of its depth in any tree, the k nearest."""
-    depths = [r["depth"] for r in asked.select("depth").distinct().collect()]
     queries = forest.join(asked, "rep").select("rep", "dim", "bits", "v", "depth")
-    wanted = queries.select("rep", "dim", "bits", "depth").mapInArrow(_prefixes, "rep long, dim int, tree int, depth int, prefix long")
-    held = forest.select("dim", "bits", "block").mapInArrow(_held(depths), "dim int, tree int, depth int, prefix long, block string").distinct()
-    visits = stage(wanted.join(held, ["dim", "tree", "depth", "prefix"]).select("rep", "block").distinct(), "visits")
+    shortest = F.create_map(*(F.lit(x) for d, r in routes.items() for x in (d, min(r, default=BITS + 1))))[F.col("dim")]
+    everywhere = queries.where(F.col("depth") < shortest).select("rep", "dim").join(forest.select("dim", "block").distinct(), "dim").select("rep", "block")
+    deep: dict[int, list[int]] = {}
+    for r in queries.where(F.col("depth") >= shortest).select("dim", "depth").distinct().collect():  # at most BITS numbers a dimension
+        deep.setdefault(r["dim"], []).append(max(x for x in routes[r["dim"]] if x <= r["depth"]))
+    visits = everywhere
+    if deep:
+        wanted = queries.select("rep", "dim", "bits", "depth").mapInArrow(_prefixes(routes), "rep long, dim int, tree int, depth int, prefix long")
+        held = forest.select("dim", "bits", "block").mapInArrow(_held({d: sorted(set(x)) for d, x in deep.items()}), "dim int, tree int, depth int, prefix long, block string").distinct()
+        visits = visits.unionByName(wanted.join(held, ["dim", "tree", "depth", "prefix"]).select("rep", "block").distinct())
+    visits = stage(visits, "visits")
     groups = visits.groupBy("block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
     going = visits.join(groups, "block").withColumn("group", F.pmod(F.xxhash64("rep"), "groups").cast("int")).join(queries, "rep").select(*(F.col(c).alias(f"q_{c}") for c in ("block", "group", "rep", "bits", "v", "depth")))
     there = forest.join(groups, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("block", "group", "rep", "bits", "v")
@@ -230,12 +252,18 @@ def _ranked(k: int):
             norm, norms = np.sqrt((x * x).sum(1)), np.sqrt((v * v).sum(1))
             order = np.argsort(bits, 0, kind="stable")
             ranges = [prefix_range(bits[order[:, t], t], of[:, t], free) for t in range(bits.shape[1])]
+            unit = x / norm[:, None]
             for q in range(len(own)):
+                if q % 64 == 0:
+                    near = (v[q : q + 64] / norms[q : q + 64, None]) @ unit.T
                 seen = np.zeros(len(ids), bool)
                 for t, (a, b) in enumerate(ranges):
                     if a[q] < b[q]:
                         seen[order[a[q] : b[q], t]] = True
                 at = np.flatnonzero(seen)
+                if len(at) > k:  # those that can be of the k nearest, by rounded cosines first
+                    rough = near[q % 64][at]
+                    at = at[rough >= np.partition(rough, -k)[-k] - 1e-9]
                 score = (x[at] * v[q]).sum(1) / (norm[at] * norms[q])
                 top = np.lexsort((ids[at], -score))[:k]
                 out.append((np.full(len(top), own[q]), ids[at][top], score[top]))
