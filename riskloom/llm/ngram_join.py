@@ -2,12 +2,14 @@
 
 Each distinct set enters the index with its prefix in a global order (rare shingles first): two sets over the threshold share a prefix shingle.
 An index list is cut into blocks by size, each block knows its lowest position, and a set skips the blocks whose positions or sizes rule out the overlap it needs.
-Answers are derived from similar sets' answers: sets are first checked against the leading set of their blocks, a set linked to another takes over the
-other's group, and lists and pairs inside one group are never visited again. What is left, pairs of different groups, is checked in full, so that no link between groups is lost.
+Answers are derived from similar sets' answers: sets are first checked against the leading set of their blocks; a set linked to another follows it, takes over its group, and lists and pairs inside one
+group are never visited again. What is left are pairs of different groups. Only the pairs of sets that they follow are computed; a follower's overlap differs from that of its leader by what
+the two sets differ in at most, on either side, which settles most pairs; the others are checked in full, so that no link between groups is lost.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytehash import names, pair
-from .common import components, keyed, stage
+from .common import components, keyed, slices, stage
 
 _LOWER = np.array([*range(65), *range(97, 123), *range(91, 256)], np.uint8)
 _LETTERS = names(_LOWER, 1)[0]
@@ -26,9 +28,11 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]).astype(np.int8)
 SAMPLE, FREQUENT = 32, 1 << 17
 #: Ids that may be broadcast, about 8 bytes each; beyond, the join shuffles.
 FEW = 500_000
-
+#: Bytes of text whose sets are held together.
+HELD = 1 << 22
 
 _CHUNK = 1 << 18
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 
@@ -50,11 +54,34 @@ def _word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, pair((sums[ends] - sums[starts]) * down[starts], (ends - starts).astype(np.uint64))
 
 
+def _words_of(text: bytes) -> np.ndarray:
+    """Names of the words of one long text, in pieces cut at white space."""
+    got, at = [], 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + _CHUNK)
+        end = cut.start() if cut else len(text)
+        got.append(_word_names(np.frombuffer(b" " + text[at:end] + b" ", np.uint8))[1])
+        at = end
+    return np.concatenate(got)
+
+
+def _shingled(w: np.ndarray, words: int) -> np.ndarray:
+    name = w[: max(len(w) - words + 1, 0)]
+    for k in range(1, words):
+        name = pair(name, w[k : k + len(name)])
+    return name
+
+
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle names of each text; a text of fewer words than a shingle has its whole sequence as its one shingle, one without words none."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):
+        if len(texts[at]) > _CHUNK:
+            w = _words_of(texts[at])
+            out.append(np.unique(_shingled(w, words)) if len(w) >= words else _few(w))
+            at += 1
+            continue
         end, size = at, 0
         while end < len(texts) and (not size or size + len(texts[end]) < _CHUNK):
             size += len(texts[end]) + 1
@@ -63,21 +90,21 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         bounds = np.cumsum([0, *(len(x) + 1 for x in some)])
         starts, w = _word_names(np.frombuffer(b" " + b" ".join(some) + b" ", np.uint8))
         cuts = np.searchsorted(starts, bounds + 1)
-        name = w[: max(len(w) - words + 1, 0)]
-        for k in range(1, words):
-            name = pair(name, w[k : k + len(name)])
+        name = _shingled(w, words)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a >= words:
-                out.append(np.unique(name[a : b - words + 1]))
-            else:
-                whole = w[a : min(a + 1, b)]
-                for k in range(a + 1, b):
-                    whole = pair(whole, w[k : k + 1])
-                out.append(pair(whole, np.array([b - a], np.uint64)) if b > a else whole)
+            out.append(np.unique(name[a : b - words + 1]) if b - a >= words else _few(w[a:b]))
         at = end
     return out
 
 
+def _few(w: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has, none of none."""
+    whole = w[:1]
+    for k in range(1, len(w)):
+        whole = pair(whole, w[k : k + 1])
+    return pair(whole, np.array([len(w)], np.uint64)) if len(w) else whole
+
+
 def parity(s: np.ndarray) -> bytes:
     """For each of at least as many classes of shingles as the set has, in a power of two, whether it holds an odd number: an eighth of a byte a shingle, about."""
     classes = 1 << max(10, len(s).bit_length())
@@ -108,9 +135,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     links = None
     for turn in (1, 2):
         found = _linked(docs, kinds, _leading(index, links, turn, percent), percent, words)
-        links = found if links is None else stage(links.unionByName(found), "links")
-    rest = _linked(docs, kinds, _across(index, links, percent), percent, words)
-    groups = components(links.unionByName(rest))
+        links = found if links is None else links.unionByName(found)
+    rest = _answered(docs, kinds, links, _across(index, links, percent), percent, words)
+    groups = components(links.select("a", "b").unionByName(rest))
     roots = kinds.join(groups, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("root", "rep").alias("root"))
     named = sets.join(roots, "print", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     first = sets.select(F.col("key").alias("root"), F.col("id").alias("component_id"))
@@ -119,7 +146,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
 
 def _described(words: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, HELD)):
             sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(2)], words)
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary()), pa.array(map(parity, sets), pa.binary())], ["key", "id", "n", "print", "odd"])
@@ -129,7 +156,7 @@ def _described(words: int):
 
 def _shingles(words: int):
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, HELD)):
             sets = shingle_sets([x.as_buffer().to_pybytes() for x in batch.column(1)], words)
             token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
@@ -141,7 +168,7 @@ def _prefixes(percent: int, words: int, tokens: np.ndarray, counts: np.ndarray):
     """Prefix rows; a shingle that a batch holds more than once is known to be shared, and only its first row waits at the shingle's own place for other batches."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 2 * HELD)):
             got: list[tuple] = []
             least: dict[bytes, int] = {}
             keys = batch.column(0).to_pylist()
@@ -198,7 +225,7 @@ def _grouped(index: DataFrame, links: DataFrame | None) -> DataFrame:
     """Index rows with their set's group, of the lists that more than one group is on."""
     if links is None:
         return index.withColumn("comp", F.col("key"))
-    groups = components(links)
+    groups = components(links.select("a", "b"))
     comp = index.join(groups, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
     mixed = comp.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     return stage(comp.join(mixed, "token"), "grouped")
@@ -229,30 +256,68 @@ def _across(index: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return visits.join(other, on).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
-def _linked(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by their whole sets. Pairs whose parities alone show too many differences go first, without their sets."""
+def _near(kinds: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, nx, ny, extra) of the pairs (a, b, extra), written, that parities leave: a link needs so few differences, or, with extra, a link of sets that differ from a and b in up to extra shingles."""
     pairs = pairs.join(kinds.select(F.col("rep").alias("a"), F.col("n").alias("nx"), F.col("odd").alias("x")), "a")
-    pairs = pairs.join(kinds.select(F.col("rep").alias("b"), F.col("n").alias("ny"), F.col("odd").alias("y")), "b").select("a", "b", "nx", "ny", "x", "y")
+    pairs = pairs.join(kinds.select(F.col("rep").alias("b"), F.col("n").alias("ny"), F.col("odd").alias("y")), "b").select("a", "b", "nx", "ny", "extra", "x", "y")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differ = np.array([apart(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
-            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= sizes * (100 - percent)))
+            differ = np.array([apart(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(5), batch.column(6), strict=True)], np.int64)
+            sizes, extra = batch.column(2).to_numpy() + batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            # with d differences between two sets of s shingles together, (s - d) / 2 are shared; sets that follow them share up to extra more, and hold up to extra less
+            yield batch.select(["a", "b", "nx", "ny", "extra"]).filter(pa.array((differ - 2 * extra) * (100 + percent) <= sizes * (100 - percent) + 2 * percent * extra))
 
-    pairs = stage(pairs.mapInArrow(near, "a long, b long"), "pairs")
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+    return stage(pairs.mapInArrow(near, "a long, b long, nx long, ny long, extra long"), "pairs")
+
+
+def _shared(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b, *more), a written table, with the number of shingles that the whole sets share (both)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                sets = shingle_sets([x.as_buffer().to_pybytes() for x in some.column(1)], words)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
+        for some in (part for batch in batches for part in slices(batch, 1, HELD)):
+            sets = shingle_sets([x.as_buffer().to_pybytes() for x in some.column(1)], words)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
     sets = docs.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(whole, "key long, shingles array<long>")
     one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return stage(pairs.join(one, "a").join(two, "b").where(both * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"), "links")
+    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
+
+
+def _links(n, m, both, percent: int):
+    return both * (100 + percent) >= (n + m) * percent
+
+
+def _linked(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(a, b, nx, ny, both) of the pairs (a, b) whose sets link, by their whole sets. Pairs whose parities alone show too many differences go first, without their sets."""
+    both = _shared(docs, _near(kinds, pairs.withColumn("extra", F.lit(0).cast("long")), percent), words)
+    return stage(both.where(_links(F.col("nx"), F.col("ny"), F.col("both"), percent)).drop("extra"), "links")
+
+
+def _answered(docs: DataFrame, kinds: DataFrame, links: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) that link, derived from the overlaps of the sets that a and b follow.
+
+    A set follows the one it shares most with, of those it is linked to with a smaller key, or itself. With x followed by a and y by b: what a shares with b is what x shares with y, and at most
+    what a and b have beyond x and y more, or what x and y have beyond a and b less. Where that doesn't tell, a and b are compared by their whole sets.
+    """
+    leads = links.groupBy(F.col("b").alias("s")).agg(F.max_by(F.struct("a", "nx", "ny", "both"), F.struct("both", -F.col("a"))).alias("to")).select("s", "to.*")
+    follows = leads.select("s", F.col("a").alias("head"), (F.col("ny") - F.col("both")).alias("beyond"), (F.col("nx") - F.col("both")).alias("lacks"))
+    for side in ("a", "b"):
+        of = follows.select(*(F.col(c).alias(f"{c}_{side}") for c in follows.columns))
+        pairs = pairs.join(of, F.col(side) == F.col(f"s_{side}"), "left").withColumns({f"head_{side}": F.coalesce(f"head_{side}", side), f"beyond_{side}": F.coalesce(f"beyond_{side}", F.lit(0)), f"lacks_{side}": F.coalesce(f"lacks_{side}", F.lit(0))})
+    size = kinds.select("rep", "n")
+    pairs = pairs.join(size.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
+    heads = {"x": F.least("head_a", "head_b"), "y": F.greatest("head_a", "head_b")}
+    pairs = stage(pairs.select("a", "b", "n_a", "n_b", (F.col("beyond_a") + F.col("beyond_b")).alias("beyond"), (F.col("lacks_a") + F.col("lacks_b")).alias("lacks"), *(c.alias(k) for k, c in heads.items())), "led")
+    asked = pairs.where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max(F.col("beyond") + F.col("lacks")).alias("extra"))
+    answers = stage(_shared(docs, _near(kinds, asked, percent), words).select(F.col("a").alias("x"), F.col("b").alias("y"), "both"), "answers")
+    # what one set shares with itself is all of it; head pairs that parities ruled out have no follower that links
+    own = kinds.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.col("n").alias("both"))
+    known = pairs.join(answers, ["x", "y"]).unionByName(pairs.where("x = y").join(own, ["x", "y"]))
+    n, m, both = F.col("n_a"), F.col("n_b"), F.col("both")
+    known = known.where(_links(n, m, both + F.col("beyond"), percent)).withColumn("sure", _links(n, m, both - F.col("lacks"), percent))
+    known = stage(known.select("a", "b", "sure"), "derived")
+    return known.where("sure").select("a", "b").unionByName(_linked(docs, kinds, known.where("not sure").select("a", "b"), percent, words).select("a", "b"))
