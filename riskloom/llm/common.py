@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.graph import components
 from ..operators.stages import shared_dir, stage
 
-__all__ = ["components", "keyed", "shared_dir", "slices", "stage"]
+__all__ = ["components", "keyed", "shared_dir", "slices", "stage", "unused"]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -26,6 +26,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         at = end
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with marks after it, that is no column of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, id, text) with a unique, non-null long key that rises with (id, text), nulls last.
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import slices, unused
 
 _EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 #: Document-level shares are told in so many steps.
 STEPS = 8
+#: Bytes of text that are Python strings together; words remembered in a worker, and the longest of them.
+HELD, WORDS, LONGEST = 1 << 21, 1 << 16, 64
 #: Each share counts as so many features, to stand beside many words.
 SHARES = 16
 
@@ -30,13 +35,15 @@ class _Features(dict):
         return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass")) & self.mask
 
     def __missing__(self, token: str) -> tuple[tuple[int, ...], int]:
-        if len(self) > 1 << 17:
+        if len(self) > WORDS:
             self.clear()
         before, word, after = _EDGE.match(token).groups()
         low = word.lower()
         found = [f"w{low}"] * bool(word) + [f"p{low[:5]}"] * (len(low) > 5)
         flags = (len(after) + len(before) > 1) | (len(word) > 1 and word.isupper()) << 1 | (not word) << 2 | any(map(str.isdigit, word)) << 3
-        got = self[token] = tuple(map(self.number, found)), flags
+        got = tuple(map(self.number, found)), flags
+        if len(token) <= LONGEST:
+            self[token] = got
         return got
 
 
@@ -77,8 +84,8 @@ def fit(rated: DataFrame, grades: int, bits: int = 18, max_rows: int = 20_000, p
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Features(bits)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(x, cache) for x in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["grade", "x"])
+        for some in (part for batch in batches for part in slices(batch, 0, HELD)):
+            yield pa.RecordBatch.from_arrays([some.column(1), pa.array([features(x, cache) for x in some.column(0).to_pylist()], pa.list_(pa.int32()))], ["grade", "x"])
 
     table = chosen.repartition(16, "order").mapInArrow(described, "grade int, x array<int>").toArrow()
     grade = table["grade"].to_numpy()
@@ -138,28 +145,39 @@ def _descend(grade: np.ndarray, x: np.ndarray, sizes: np.ndarray, grades: int, b
     return OrdinalModel(weights, theta_of(v[wide:]), bits)
 
 
-def score(docs: DataFrame, model: OrdinalModel, keep_from: int, least_chance: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with expected_grade, tail_probability (of a grade of keep_from or more) and kept (that it is least_chance or more).
+@lru_cache(maxsize=1)
+def _words(bits: int) -> _Features:
+    """Once per worker."""
+    return _Features(bits)
 
-    The whole text counts; null text is empty and gets what the thresholds alone say. Columns of these three names are replaced.
-    """
+
+def grader(model: OrdinalModel, keep_from: int) -> Callable[..., Column]:
+    """A function of a text column: struct of expected_grade and tail_probability (of a grade of keep_from or more), by the whole text; null text is empty and gets what the thresholds alone say."""
     weights, thresholds, bits = model.weights, model.thresholds, model.bits
+
+    @F.arrow_udf("expected_grade double, tail_probability double")
+    def graded(column: pa.Array) -> pa.Array:
+        cache, z = _words(bits), []
+        for some in slices(pa.RecordBatch.from_arrays([column], ["text"]), 0, HELD):
+            z += [weights[features(x or "", cache)].sum(dtype=np.float64) for x in some.column(0).to_pylist()]
+        above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - np.array(z, np.float64)[:, None], -700, 700)))
+        return pa.StructArray.from_arrays([pa.array(above.sum(1)), pa.array(above[:, keep_from - 1])], ["expected_grade", "tail_probability"])
+
+    return graded
+
+
+def score(docs: DataFrame, model: OrdinalModel, keep_from: int, least_chance: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs with expected_grade, tail_probability (of a grade of keep_from or more) and kept (that it is least_chance or more). Columns of these three names are replaced; only the text goes to Python."""
     names = ["expected_grade", "tail_probability", "kept"]
     docs = docs.drop(*names)
+    told = unused(docs, "told")
+    graded = docs.withColumn(told, grader(model, keep_from)(F.col(text_col).cast("string")))
+    return graded.select(*docs.columns, *(F.col(told)[n].alias(n) for n in names[:2]), (F.col(told)["tail_probability"] >= least_chance).alias("kept"))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Features(bits)
-        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            z = np.array([weights[features(x or "", cache)].sum(dtype=np.float64) for x in texts])
-            above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - z[:, None], -700, 700)))
-            tail = above[:, keep_from - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= least_chance)], [*batch.schema.names, *names])
-
-    from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add(names[0], DoubleType()).add(names[1], DoubleType()).add(names[2], BooleanType())
-    return docs.mapInArrow(scored, schema)
+def keep(docs: DataFrame, model: OrdinalModel, keep_from: int, least_chance: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose chance of a grade of keep_from or more is least_chance or more."""
+    return docs.where(grader(model, keep_from)(F.col(text_col).cast("string"))["tail_probability"] >= least_chance)
 
 
 #: Grades of the ratings at hand: toxic text, poor text, good text.

@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytehash import _U, lowest, names, pair
-from .common import keyed, stage
+from .common import keyed, slices, stage
 
 Q = 24
 #: Bytes hashed at a time; longer documents are taken in overlapping pieces of PIECE bytes.
@@ -38,12 +37,12 @@ _PLAIN, _MIXED, _WITNESS, _REPEAT = 0, 1, 2, 3
 _AT = {"lo": "shiftright(at, 26)", "how": "cast(shiftright(at, 24) & 3 as int)", "rel": "cast(shiftright(at, 12) & 4095 as int)", "n": "cast(at & 4095 as int)"}
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """(key, id, n_bytes, n_removed, spans, kept) per document: bytes covered by a string of `length` bytes that also starts earlier are removed.
 
     Earlier: in a smaller id, or in the same document further left; strings are judged on the input. spans: the maximal removed runs (start, end), in order;
     kept: the other bytes, joined. Null or empty text gives empty results; a text shorter than `length` is kept whole. Rows with equal or
-    null ids are ordered by text, nulls last. An empty table gives no rows. Columns besides id and text are not read.
+    null ids are ordered by text, nulls last. whole_characters: runs grow to whole UTF-8 characters, so that kept is text. An empty table gives no rows. Columns besides id and text are not read.
     """
     if not Q <= length <= 4096:
         raise ValueError(f"length must be from {Q} to 4096")
@@ -71,7 +70,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     runs = whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     kind = f"key long, id {dict(docs.dtypes)['id']}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return packed.join(runs, "key", "left").select("key", "id", "z", "runs").mapInArrow(_cut(length), kind)
+    return packed.join(runs, "key", "left").select("key", "id", "z", "runs").mapInArrow(_cut(length, whole_characters), kind)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +80,6 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["key", "id", "z"])
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Neighbouring rows with about `most` bytes in a column at a time."""
-    part = (np.cumsum(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) - 1) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield batch.slice(a, b - a)
-
-
 def _texts(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column]
 
@@ -127,7 +118,7 @@ def _runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
 
 def _anchors(length: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole, 1, HELD)):
+        for batch in (part for whole in batches for part in slices(whole, 1, HELD)):
             got = []
             for data, keys, starts, bases in _chunks(batch.column(0).to_pylist(), _texts(batch.column(1)), length):
                 lo, hi, x, b, c = _runs(data, starts, length)
@@ -220,7 +211,23 @@ def _refined(length: int):
     return refined
 
 
-def _cut(length: int):
+def _grown(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that take in the rest of characters they cut."""
+    inside = lambda at: at < len(text) and text[at] & 0xC0 == 0x80
+    one, two = [], []
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        while inside(a):
+            a -= 1
+        while inside(b):
+            b += 1
+        if two and a <= two[-1]:
+            two[-1] = b
+        else:
+            one.append(a), two.append(b)
+    return np.array(one), np.array(two)
+
+
+def _cut(length: int, whole_characters: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -237,6 +244,8 @@ def _cut(length: int):
                     start, end = lo[order], np.maximum.accumulate((lo + n - 1 + length)[order])
                     new = np.concatenate([[True], start[1:] > end[:-1]])
                     start, end = start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+                    if whole_characters:
+                        start, end = _grown(text, start, end)
                     gone = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                     rest = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True))
                 sizes.append(len(text)), removed.append(len(text) - len(rest)), spans.append(gone), kept.append(rest)

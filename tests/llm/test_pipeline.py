@@ -68,6 +68,35 @@ def test_rows_that_share_an_id_are_rows_of_their_own(spark):
     assert Counter((r.doc_id, r.text) for r in pipeline.without_repeats(spark, rows, "").collect()) == want
 
 
+def test_columns_of_any_name_come_through(spark, sf001):
+    rng = random.Random(6)
+    said = [" ".join("w" + str(rng.randrange(10**6)) for _ in range(40)) for _ in range(5)]
+    texts = [said[0], said[0] + " end", said[1], said[0][:200] + said[2], None, "", said[3]]
+    names = ["id", "rest", "first", "n_removed", "kept", "key", "_key", "told", "text_", "component_id"]
+    rows = spark.createDataFrame([(i, t, *(f"{c} {i}" for c in names)) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for step in (pipeline.good_documents, pipeline.one_of_each_group, pipeline.without_repeats):
+        got = step(spark, rows, sf001)
+        assert got.columns == rows.columns
+        assert all(r[c] == f"{c} {r.doc_id}" for r in got.collect() for c in names)
+    assert {r.doc_id for r in pipeline.one_of_each_group(spark, rows, "").collect()} == {0, 2, 3, 4, 5, 6}
+    assert {r.doc_id: r.text for r in pipeline.without_repeats(spark, rows, "").collect()}[3].endswith(said[2])
+    assert {"doc_id", "piece", "ids"} <= set(pipeline.packed(spark, rows, "").columns)
+
+
+def test_genuine_replacement_characters_stay(spark):
+    said = "".join(map(str, range(60)))
+    # the last byte of both characters is the same, so that it goes with what follows
+    rows = spark.createDataFrame([(1, "\ufffd mine à" + said), (2, "\ufffd yours Р" + said + "\ufffd")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pipeline.without_repeats(spark, rows, "").collect()}
+    assert got == {1: "\ufffd mine à" + said, 2: "\ufffd yours \ufffd"}
+
+
+def test_stages_of_no_rows(spark, sf001):
+    none = spark.read.parquet(f"{sf001}/documents.parquet").limit(0)
+    for _, step in pipeline.STAGES:
+        assert step(spark, none, sf001).count() == 0
+
+
 def test_whole_run(spark, sf001):
     got = pipeline.run(spark, sf001).collect()
     assert {"doc_id", "piece", "ids", "sequence_id", "offset"} <= set(got[0].asDict())
