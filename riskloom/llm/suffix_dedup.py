@@ -1,9 +1,8 @@
 """Removal of repeated byte strings, by bucket-pointer refinement of a sparse suffix array.
 
-Suffixes start in q-gram buckets; buckets are refined by sorting on the bucket identifiers of later offsets, and each refined
-identifier is reused by the next width (bytehash.names). Only anchors enter the shuffle: every string of `length` bytes is
-served by the lowest q-gram identifier inside it, so equal strings share an anchor bucket and a place relative to the anchor,
-and a run of neighbouring strings shares one anchor.
+Suffixes start in q-gram buckets, each named by the place where it begins in sorted order; a bucket of several is refined by sorting on the bucket pointers of later offsets, and the new
+pointers are what the next, doubled width sorts on (pointers). Only anchors enter the shuffle: every string of `length` bytes is served by the lowest q-gram inside it, so equal strings
+share an anchor bucket and a place relative to the anchor, and a run of neighbouring strings shares one anchor. What has to meet from several tasks meets by identifiers (bytehash.names).
 
 1. Anchors (bucket, refined identifier of the run's whole context) meet by bucket. Equal contexts: all but the first are repeats.
 2. First contexts in a bucket that holds several are refined to single strings, batch by sorted batch.
@@ -169,6 +168,34 @@ def _contexts(length: int):
     return contexts
 
 
+def pointers(gram: np.ndarray, room: np.ndarray, q: int, length: int) -> np.ndarray:
+    """Bucket pointers of the strings of `length` bytes at each offset: equal where the strings are equal, among offsets with room for them.
+
+    gram: identifiers of the q bytes at each offset; room: bytes from an offset to its text's end. Offsets that have no room for a width keep what they had, which nothing reads.
+    """
+    order = np.argsort(gram, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(gram) else order
+    now, wide = np.empty(len(gram), np.int64), q
+    now[order] = np.repeat(starts, np.diff(np.append(starts, len(gram))))
+    while wide < length:
+        step = min(wide, length - wide)
+        members = np.bincount(now[room >= wide + step], minlength=len(gram))
+        live = np.flatnonzero((room >= wide + step) & (members[now] > 1))
+        wide += step
+        if not len(live):
+            continue
+        later = now[live + step]
+        order = np.lexsort((later, now[live]))
+        old, later = now[live][order], later[order]
+        first = np.concatenate([[True], old[1:] != old[:-1]])
+        begin = np.flatnonzero(first)
+        rank = np.arange(len(old)) - np.repeat(begin, np.diff(np.append(begin, len(old))))
+        fresh = np.flatnonzero(first | np.concatenate([[False], later[1:] != later[:-1]]))
+        now = now.copy()
+        now[live[order]] = np.repeat((old + rank)[fresh], np.diff(np.append(fresh, len(old))))
+    return now
+
+
 def _refined(length: int):
     def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,12 +211,15 @@ def _refined(length: int):
             row = np.repeat(np.arange(len(sizes)), sizes)
             off = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             gram, full = names(data, Q, length)
-            g = full[ends[:-1][row] + off]
+            room = (np.repeat(ends[1:], ends[1:] - ends[:-1]) - np.arange(len(data)))[: len(gram)]
+            place = ends[:-1][row] + off
+            g = full[place]
             h = pair(pair(gram[ends[:-1] + rel], _U(7))[row], g + (rel[row] - off).astype(_U))
             at = key[row], lo[row] + off
-            order = np.lexsort((at[1], at[0], g, h))
-            h, g, row, k, p = h[order], g[order], row[order], at[0][order], at[1][order]
-            repeat = np.concatenate([[False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
+            same = pointers(gram, room, Q, length)[place]
+            order = np.lexsort((at[1], at[0], same))
+            h, g, same, row, k, p = h[order], g[order], same[order], row[order], at[0][order], at[1][order]
+            repeat = np.concatenate([[False], same[1:] == same[:-1]])
             # repeats found here need no meeting: neighbours go as one run, under a key of their own
             r, q = row[repeat], p[repeat]
             order = np.lexsort((q, r))

@@ -51,6 +51,22 @@ def test_repeats_are_the_plain_ones(spark, seed):
     assert plain(suffix_dedup.remove_repeats(table)) == plain_repeats(rows)
 
 
+@pytest.mark.parametrize(("q", "length"), [(3, 3), (3, 11), (4, 16), (5, 7)])
+def test_pointers_tell_equal_strings(q, length):
+    rng = random.Random(q * length)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(length, 60))).encode() for _ in range(30)] + [b"a" * 80, b"ab" * 40]
+    data = b"".join(texts)
+    room = np.concatenate([np.arange(len(t), 0, -1) for t in texts])[: len(data) - q + 1]
+    seen = {}
+    gram = np.array([seen.setdefault(data[i : i + q], len(seen) * 7919 % 1009) for i in range(len(data) - q + 1)], np.uint64)
+    got = suffix_dedup.pointers(gram, room, q, length)
+    named = {}
+    for i in np.flatnonzero(room >= length).tolist():
+        named.setdefault(data[i : i + length], set()).add(int(got[i]))
+    assert all(len(x) == 1 for x in named.values())
+    assert len(set().union(*named.values())) == len(named)
+
+
 def test_repeats_in_a_bucket_with_many_contexts(spark, monkeypatch):
     rng = random.Random(7)
     said = "".join(rng.choice("abcdefgh") for _ in range(130))
