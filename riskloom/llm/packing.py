@@ -20,7 +20,7 @@ from .common import slices, stage
 #: Rows of one length that are numbered in one task, about.
 NUMBERED = 200_000
 #: Bytes of text whose words are looked up together; words that are remembered, and the longest of them.
-HELD, WORDS, LONGEST = 1 << 20, 1 << 18, 48
+HELD, WORDS, LONGEST = 1 << 21, 1 << 19, 48
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
