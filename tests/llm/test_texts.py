@@ -187,6 +187,42 @@ def test_shards_are_whole_equal_and_gapless(spark, copies):
     assert Counter((r.id, r.size, r.text_crc32) for r in got) == Counter((i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
 
 
+def plain_shards(rows, shards=8, whole=0.02):
+    digest = {t: hashlib.md5((t or "").encode()).hexdigest() for _, t in rows}
+    total, at, out, groups = sum(len((t or "").encode()) + 1 for _, t in rows), 0, [], {}
+    for i, t in sorted(rows, key=lambda r: (digest[r[1]], r[0])):
+        size = len((t or "").encode()) + 1
+        out.append([i, t, at, min(shards - 1, at * shards // total)])
+        groups.setdefault(digest[t], []).append(out[-1])
+        at += size
+    for members in groups.values():
+        size = sum(len((t or "").encode()) + 1 for _, t, _, _ in members)
+        if size * shards <= whole * total:
+            for m in members:
+                m[3] = min(shards - 1, (members[0][2] + size // 2) * shards // total) if members[0][3] != members[-1][3] else m[3]
+    slots = Counter()
+    for m in out:
+        m.append(slots[m[3]])
+        slots[m[3]] += 1
+    return {i: (shard, slot) for i, _, _, shard, slot in out}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_shards_are_the_plain_ones_and_keep_small_groups_whole(spark, seed):
+    rng = random.Random(seed)
+    texts = ["x" * rng.randrange(1, 200) for _ in range(40)] + [f"own {k} " * rng.randrange(1, 9) for k in range(1500)] + ["hot " * 40] * 900
+    rows = [(i, rng.choice(texts)) for i in range(3000)]
+    got = sharding.range_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    assert {r.id: (r.shard, r.slot) for r in got.collect()} == plain_shards(rows)
+
+
+def test_shards_of_ids_of_other_kinds(spark):
+    rows = [(f"id {i}" if i % 3 else None, "same" if i % 2 else f"t {i}") for i in range(900)]
+    got = sharding.range_shards(spark.createDataFrame(rows, "doc_id string, text string"), 4).collect()
+    assert Counter(r.id for r in got) == Counter(i for i, _ in rows)
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(4))
+
+
 def test_shards_of_no_rows(spark):
     assert sharding.range_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
