@@ -6,8 +6,18 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed
 
-BRAND_PATTERN = r"\b(?:" + "|".join(sorted(fixed.BRANDS, key=len, reverse=True)) + r")\b"
-ACTION_PATTERN = "|".join(fixed.ACTIONS)
+
+
+def _by_first_letter(starts: list[str]) -> str:
+    """Alternatives that each begin at a word with a letter, grouped by that letter: one look at a letter in place of a try of each. Their order among those of one letter stays."""
+    grouped: dict[str, list[str]] = {}
+    for x in starts:
+        grouped.setdefault(x[0], []).append(x[1:])
+    return rf"\b(?=[{''.join(grouped)}])(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in grouped.items()) + ")"
+
+
+BRAND_PATTERN = _by_first_letter(sorted(fixed.BRANDS, key=len, reverse=True)) + r"\b"
+ACTION_PATTERN = _by_first_letter([x.removeprefix(r"\b") for x in fixed.ACTIONS])
 
 
 def clean(text: Column) -> Column:
@@ -45,9 +55,6 @@ def title(page: Column) -> Column:
     return F.substring(clean(F.regexp_extract(F.substring(page, 1, 20000), r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, 120)
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """Distinct runs of `size` characters of the text without white space, in lower case. Characters are parted once and then found by their place."""
-    packed = F.split(F.lower(F.regexp_replace(text, r"\s+", "")), "")
-    run = lambda ch, i: F.concat(*(F.get(ch, i + k) for k in range(size)))
-    runs = lambda ch: F.when(F.size(ch) >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(ch) - size), lambda i: run(ch, i)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(packed), runs)[0]
+def packed(text: Column) -> Column:
+    """Without white space, in lower case; null counts as empty."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from ..functions import text as tx
 from .graph import components
 from .stages import stage
 
-#: 61-bit prime field of the permutations a * h + b.
+#: 31-bit prime field of the permutations a * h + b.
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BAND_ROWS = 128, 16
 
@@ -29,10 +31,31 @@ def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(keyed.groupBy("md5").agg(F.min(id_col).alias("group_id")), "md5").select(id_col, "md5", "group_id")
 
 
+def runs(packed: str, size: int = 5) -> set[str]:
+    """The distinct runs of `size` characters."""
+    return {packed[i : i + size] for i in range(len(packed) - size + 1)}
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def numbers_of_runs(packed: pa.Array) -> pa.Array:
+    """Distinct numbers of the distinct runs, in order: the first 32 bits of their digests, modulo the prime."""
+    out = []
+    for x in packed:
+        digests = b"".join([hashlib.md5(r.encode("utf-8", "surrogatepass")).digest()[:4] for r in runs(x.as_py() or "")])
+        out.append(np.unique(np.frombuffer(digests, ">u4").astype(np.int64) % PRIME).astype(np.int32))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+@F.arrow_udf(StructType().add("n", LongType()).add("first", StringType()))
+def summary_of_runs(packed: pa.Array) -> pa.Array:
+    """How many distinct runs there are, and the smallest."""
+    got = [runs(x.as_py() or "") for x in packed]
+    return pa.StructArray.from_arrays([pa.array(map(len, got), pa.int64()), pa.array([min(r, default=None) for r in got], pa.string())], ["n", "first"])
+
+
 def hashed_shingles(rows: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(id, hashes): 32-bit numbers of the distinct 5-character shingles, from their digests, modulo the prime."""
-    number = lambda s: F.conv(F.substring(F.md5(F.encode(s, "UTF-8")), 1, 8), 16, 10).cast("long") % PRIME
-    return rows.select(id_col, *more, F.transform(tx.shingles(F.coalesce(F.col(text_col), F.lit(""))), number).alias("hashes"))
+    """(id, hashes): distinct 31-bit numbers of the 5-character shingles of the text without white space, in lower case."""
+    return rows.select(id_col, *more, numbers_of_runs(tx.packed(F.col(text_col))).alias("hashes"))
 
 
 def signatures(hashed: DataFrame, id_col: str, *more: str) -> DataFrame:
@@ -43,7 +66,7 @@ def signatures(hashed: DataFrame, id_col: str, *more: str) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, out = batch.column(batch.num_columns - 1), []
-            flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+            flat, ends = column.flatten().to_numpy().astype(np.int64), np.cumsum(column.value_lengths().to_numpy())
             for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 least = np.full(len(a), PRIME, np.int64)
                 for at in range(start, end, 4096):
@@ -59,9 +82,8 @@ def signatures(hashed: DataFrame, id_col: str, *more: str) -> DataFrame:
 def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float = 0.98) -> DataFrame:
     """(id, group_id): exact copies join across labels, near copies of `threshold` or more within a label; all rows are kept, numbered densely from 0 by their smallest id.
 
-    Work is per distinct text and label. In a band's bucket each text is compared with the bucket's first, and those left apart with the first of the
-    rest, until none is left apart: a bucket of copies costs one comparison a text. This forms groups; the pairs of a bucket that it left out are compared
-    where they are of different groups, so that no link between groups is lost.
+    Work is per distinct text and label. In a band's bucket each text is compared with two leaders, the first and one by chance: a bucket of copies costs two comparisons a text.
+    This forms groups; the pairs of a bucket that it left out are compared where they are of different groups, so that no link between groups is lost.
     """
     exact = exact_groups(rows, id_col, text_col)
     kinds = stage(rows.join(exact, id_col).groupBy("md5", label_col).agg(F.min(id_col).alias("rep"), F.first(text_col).alias("text")), "kinds")
@@ -69,24 +91,16 @@ def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, thr
     signed = signatures(hashed, "rep", label_col)
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND_ROWS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * BAND_ROWS + 1, BAND_ROWS)).alias("bucket")))
     placed = stage(signed.select("rep", label_col, F.explode(bands).alias("b")).select("rep", label_col, "b.band", "b.bucket"), "bands")
-    left, links, seen = placed, None, None
     key = [label_col, "band", "bucket"]
-    while True:
-        pairs = left.join(left.groupBy(*key).agg(F.min("rep").alias("first")), key).where("rep <> first")
-        tried = stage(pairs.select("rep", "first", *key), "pairs")
-        if tried.isEmpty():
-            break
-        found = stage(_alike(hashed, tried.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), threshold), "links")
-        seen = tried if seen is None else seen.unionByName(tried)
-        links = found if links is None else links.unionByName(found)
-        left = stage(tried.join(found, (tried["rep"] == found["a"]) & (tried["first"] == found["b"]), "left_anti").select("rep", *key), "left")
-    if links is not None:
-        done = seen.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-        rest = _across(placed, links, hashed, key, threshold).join(done, ["a", "b"], "left_anti")
-        links = links.unionByName(stage(_alike(hashed, rest, threshold), "links"))
+    leaders = placed.groupBy(*key).agg(F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("rep")).alias("two"), F.count("*").alias("n")).where("n > 1")
+    led = placed.join(leaders, key).select("rep", F.explode(F.array("one", "two")).alias("leader")).where("rep <> leader")
+    tried = stage(led.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), "tried")
+    links = stage(_alike(hashed, tried, threshold), "links")
+    rest = _across(placed, links, hashed, key, threshold).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(stage(_alike(hashed, rest, threshold), "links"))
     across = rows.join(exact, id_col).select(F.col(id_col).alias("a"), F.col("group_id").alias("b")).where("a <> b")
     to_rep = rows.join(exact, id_col).join(kinds.select("md5", label_col, "rep"), ["md5", label_col]).select(F.col(id_col).alias("a"), F.col("rep").alias("b")).where("a <> b")
-    edges = across.unionByName(to_rep) if links is None else across.unionByName(to_rep).unionByName(links)
+    edges = across.unionByName(to_rep).unionByName(links)
     groups = rows.select(id_col).join(components(edges), F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("root", id_col).alias("root"))
     return groups.join(dense(groups.select("root").distinct(), "root", "group_id"), "root").select(id_col, "group_id")
 

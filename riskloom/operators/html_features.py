@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import dom, fixed, text as tx, url as ur
 
 
+def bits(text: str) -> float:
+    """Entropy of the text's characters, 0 of none."""
+    if not text:
+        return 0.0
+    n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
+    return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) + 0.0
+
+
+@F.arrow_udf(DoubleType())
+def entropy_of(text: pa.Array) -> pa.Array:
+    # one text at a time is a Python object
+    return pa.array([bits(x.as_py() or "") for x in text], pa.float64())
+
+
 def entropy(rows: DataFrame, id_col: str, text_col: str, out: str = "shannon_entropy") -> DataFrame:
-    """(id, entropy in bits of the text's characters). Empty and null texts have 0."""
-    letters = rows.where(F.length(text_col) > 0).select(id_col, F.explode(F.split(text_col, "")).alias("ch"))
-    n = letters.groupBy(id_col, "ch").agg(F.count("*").alias("n")).groupBy(id_col).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    found = n.select(id_col, (F.log2("total") - F.col("s") / F.col("total") + 0.0).alias(out))
-    return rows.select(id_col).join(found, id_col, "left").na.fill(0.0, [out])
+    """(id, entropy in bits of the text's characters), a row a row. Empty and null texts have 0."""
+    return rows.select(id_col, entropy_of(F.col(text_col)).alias(out))
 
 
 def _bare(page: Column) -> Column:
@@ -56,10 +69,19 @@ def dom_features(rows: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def features(rows: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """All numeric features in their fixed order; null html counts as empty."""
-    rows = rows.select(id_col, F.coalesce(F.col(html_col), F.lit("")).alias(html_col))
-    lengths = entropy(rows, id_col, html_col).join(rows.select(id_col, F.length(html_col).cast("long").alias("raw_len")), id_col)
-    return lengths.join(dom_features(rows, id_col, html_col), id_col).select(id_col, *fixed.FEATURES)
+    """All numeric features in their fixed order, in one pass, a row a row; null html counts as empty."""
+    kinds = [(c, "double" if c == "shannon_entropy" else "long") for c in fixed.FEATURES]
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for x in batch.column(1):
+                page = x.as_py()
+                got.append({"raw_len": len(page), "shannon_entropy": bits(page)} | dom.counts(page, fixed.COUNTED_TAGS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[c] for g in got], pa.float64() if kind == "double" else pa.int64()) for c, kind in kinds)], [id_col, *fixed.FEATURES])
+
+    given = rows.select(id_col, F.coalesce(F.col(html_col), F.lit("")).alias(html_col))
+    return given.mapInArrow(described, f"{id_col} {dict(rows.dtypes)[id_col]}, " + ", ".join(f"{c} {kind}" for c, kind in kinds))
 
 
 _PIECES = (

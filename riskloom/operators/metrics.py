@@ -52,8 +52,8 @@ def model_stats(rows: DataFrame, label_col: str, score_col: str) -> DataFrame:
     return one.join(confusion(rows, label_col, score_col).withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def warnings(val_auc: float, test_auc: float, loo_auc: float, calibrated_val_auc: float, calibrated_loo_auc: float) -> list[str]:
+def warnings(meta_loo_auc: float, meta_val_auc: float, cal_loo_auc: float, cal_val_auc: float, test_auc: float) -> list[str]:
     """Which generalisation gaps are over their limits."""
-    out = ["test below validation"] if val_auc - test_auc > 0.03 else []
-    out += ["leave-one-out above validation"] if loo_auc - val_auc > 0.03 else []
-    return out + (["calibration gap"] if abs(calibrated_val_auc - calibrated_loo_auc) > 0.02 else [])
+    out = ["leave-one-out above validation"] if meta_loo_auc - meta_val_auc > 0.03 else []
+    out += ["calibration unstable"] if abs(cal_loo_auc - cal_val_auc) > 0.02 else []
+    return out + (["test below validation"] if cal_val_auc - test_auc > 0.03 else [])

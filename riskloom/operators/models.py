@@ -15,8 +15,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .splits import early_stop, stratified_folds
 from .stages import stage
 
-# The search grid of the boosted trees, of which MLlib knows these.
-GRID = {"maxDepth": [3, 4, 5], "stepSize": [0.03, 0.05, 0.1], "subsamplingRate": [0.7, 0.8, 0.9], "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.0, 0.1, 0.3]}
+# The search grid of the boosted trees, most trees, rounds without gain before they stop, width after the reduction.
+GRID = {
+    "max_depth": [3, 4, 5],
+    "learning_rate": [0.01, 0.05, 0.1],
+    "subsample": [0.7, 0.8, 1.0],
+    "colsample_bytree": [0.7, 0.8, 1.0],
+    "min_child_weight": [5, 10, 20],
+    "gamma": [0.3, 0.5, 1.0],
+    "reg_alpha": [0.1, 1.0, 5.0],
+    "reg_lambda": [2.0, 5.0, 10.0],
+}
+MOST_TREES, PATIENCE, REDUCED = 1000, 100, 128
+#: What MLlib takes of the grid, and as what; the rest (gamma, reg_alpha, reg_lambda) has no counterpart there, is drawn and reported, and changes no tree.
+TAKEN = {"max_depth": ("maxDepth", int), "learning_rate": ("stepSize", float), "subsample": ("subsamplingRate", float), "colsample_bytree": ("featureSubsetStrategy", str), "min_child_weight": ("minInstancesPerNode", int)}
 
 
 def pooled(tokens: DataFrame, id_col: str, vector_col: str, mask_col: str) -> DataFrame:
@@ -41,7 +53,7 @@ def embedded(rows: DataFrame, text_col: str, dim: int = 256, out: str = "embeddi
     return normed.withColumn(out, vector_to_array("_n")).drop("_t", "_w", "_2", "_all", "_h", "_n")
 
 
-def reducer(train: DataFrame, vector_col: str, k: int = 128) -> PCAModel:
+def reducer(train: DataFrame, vector_col: str, k: int = REDUCED) -> PCAModel:
     """Principal components of the training rows; validation and test rows are only transformed."""
     return PCA(k=k, inputCol="_v", outputCol="_r").fit(train.select(array_to_vector(vector_col).alias("_v")))
 
@@ -65,15 +77,33 @@ def weighted(rows: DataFrame, label_col: str, balanced: bool = False) -> DataFra
     return rows.withColumn("weight", F.when(F.col(label_col) == 1, w[0]).otherwise(w[1]))
 
 
-def boosted(train: DataFrame, label_col: str, features_col: str = "features", trees: int = 20, params: dict | None = None, validation_col: str | None = None) -> GBTClassificationModel:
-    """Depth 4, step 0.05, a fixed seed unless params say otherwise; with a validation column, training stops early."""
-    given = {"maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42} | (params or {})
+def boosted(train: DataFrame, label_col: str, features_col: str = "features", trees: int = 20, params: dict | None = None) -> GBTClassificationModel:
+    """So many trees of depth 4, step 0.05 and a fixed seed, unless params, by the grid's names, say otherwise."""
+    given = {"maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42} | {TAKEN[k][0]: TAKEN[k][1](v) for k, v in (params or {}).items() if k in TAKEN}
     gbt = GBTClassifier(labelCol="_y", featuresCol=features_col, weightCol="weight", maxIter=trees, **given)
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
     return gbt.fit(weighted(train, label_col).withColumn("_y", F.col(label_col).cast("double")))
 
 
+def stops_at(losses: list[float], patience: int) -> int:
+    """Number of trees of the least loss, looked for until `patience` rounds in a row bring no smaller one."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def boosted_early(rows: DataFrame, label_col: str, validation_col: str, features_col: str = "features", trees: int = MOST_TREES, patience: int = PATIENCE, params: dict | None = None) -> GBTClassificationModel:
+    """Trees of the rows that aren't marked for validation, as many as the marked ones' loss bears out. The first trees of a longer run are those of a shorter one, so that it is fitted again, shorter."""
+    fit = rows.where(~F.col(validation_col))
+    model = boosted(fit, label_col, features_col, trees, params)
+    marked = weighted(rows.where(F.col(validation_col)), label_col).withColumn("_y", F.col(label_col).cast("double"))
+    best = stops_at(model.evaluateEachIteration(marked), patience)
+    return model if best == trees else boosted(fit, label_col, features_col, best, params)
+
+
 def probability(model, rows: DataFrame, out: str, features_col: str = "features") -> DataFrame:
     model = model.copy().setFeaturesCol(features_col)
     return model.transform(rows).withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
@@ -85,7 +115,7 @@ def drawn(n: int = 20, seed: int = 42) -> list[dict]:
     return [{k: rng.choice(v) for k, v in GRID.items()} for _ in range(n)]
 
 
-def tuned(train: DataFrame, label_col: str, id_col: str, draws: list[dict], auc, trees: int = 20, folds: int = 5) -> tuple[dict, int, float]:
+def tuned(train: DataFrame, label_col: str, id_col: str, draws: list[dict], auc, features_col: str = "features", trees: int = MOST_TREES, patience: int = PATIENCE, folds: int = 5) -> tuple[dict, int, float]:
     """(parameters, number of trees, mean AUC) of the draw with the best mean AUC over folds, the first of equal ones. auc: (rows, label, score) -> DataFrame with roc_auc."""
     best = None
     rows = stage(stratified_folds(train, label_col, id_col, folds), "folds")
@@ -93,8 +123,8 @@ def tuned(train: DataFrame, label_col: str, id_col: str, draws: list[dict], auc,
         got = []
         for k in range(folds):
             fit = early_stop(rows.where(F.col("fold") != k), label_col, id_col)
-            model = boosted(fit, label_col, trees=trees, params=params, validation_col="is_validation")
-            scores = probability(model, rows.where(F.col("fold") == k), "p")
+            model = boosted_early(fit, label_col, "is_validation", features_col, trees, patience, params)
+            scores = probability(model, rows.where(F.col("fold") == k), "p", features_col)
             got.append((auc(scores, label_col, "p").first()["roc_auc"], model.getNumTrees))
         mean = float(np.mean([a for a, _ in got]))
         if best is None or mean > best[2]:
@@ -102,14 +132,15 @@ def tuned(train: DataFrame, label_col: str, id_col: str, draws: list[dict], auc,
     return best
 
 
-def out_of_fold(train: DataFrame, label_col: str, id_col: str, voters: dict[str, str], trees: int = 20, folds: int = 5) -> DataFrame:
+def out_of_fold(train: DataFrame, label_col: str, id_col: str, voters: dict[str, str], trees: int = MOST_TREES, patience: int = PATIENCE, folds: int = 5, params: dict[str, dict] | None = None) -> DataFrame:
     """(id, label, one probability a voter): each fold is scored by models of the others, which stop early on rows of their own."""
     rows, parts = stage(stratified_folds(train, label_col, id_col, folds), "folds"), []
     for k in range(folds):
         fit = stage(early_stop(rows.where(F.col("fold") != k), label_col, id_col, seed=42 + k), "fit")
         out = rows.where(F.col("fold") == k)
         for name, features_col in voters.items():
-            out = probability(boosted(fit, label_col, features_col, trees, validation_col="is_validation"), out, name, features_col)
+            model = boosted_early(fit, label_col, "is_validation", features_col, trees, patience, (params or {}).get(name))
+            out = probability(model, out, name, features_col)
         parts.append(out.select(id_col, label_col, *voters))
     whole = parts[0]
     for part in parts[1:]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
@@ -12,8 +13,8 @@ from ..functions import fixed, text as tx, url as ur
 from . import dedup, explain, html_features, metrics, models, splits
 from .stages import stage
 
-#: Width of one channel's stand-in embedding, and of both after the reduction.
-CHANNEL, REDUCED = 128, 16
+#: Width of one channel's stand-in embedding.
+CHANNEL = 128
 
 
 @dataclass
@@ -42,24 +43,47 @@ def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reducti
     return models.reduced(numeric, reduction, "embedding").withColumn("x_text", array_to_vector("reduced"))
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = 20) -> tuple[Bundle, DataFrame]:
-    """(models, test rows with scores). Copies never cross the split; scaling and reduction see train alone, the blend out-of-fold scores alone, the calibration val alone."""
+def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = 20, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None) -> tuple[Bundle, DataFrame, dict]:
+    """(models, test rows with scores, what the training found). Copies never cross the split; scaling and reduction see train alone, the blend out-of-fold scores alone, the calibration val alone.
+
+    draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; without them both voters have `trees` trees of the default parameters. width: of the reduced
+    embedding, at most the embedding's own.
+    """
     groups = dedup.near_groups(pages, id_col, html_col, label_col)
     split = splits.group_split(groups, "group_id").select(id_col, "split")
     rows = stage(described(pages, id_col, html_col).join(pages.select(id_col, label_col), id_col).join(split, id_col), "rows")
     fit = rows.where("split = 'train'")
     stats = fit.agg(*(F.avg(c).alias(f"m_{c}") for c in fixed.FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in fixed.FEATURES)).first()
     means = {c: (float(stats[f"m_{c}"]), float(stats[f"s_{c}"] or 1.0)) for c in fixed.FEATURES}
-    reduction = models.reducer(fit, "embedding", REDUCED)
+    reduction = models.reducer(fit, "embedding", width)
     rows = stage(ready(rows, means, reduction), "ready")
     fit, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-    oof = models.out_of_fold(fit, label_col, id_col, {"p_numeric": "x_numeric", "p_text": "x_text"}, trees)
-    meta = models.logistic(oof, label_col, ["p_numeric", "p_text"])
-    numeric, text = models.boosted(fit, label_col, "x_numeric", trees), models.boosted(fit, label_col, "x_text", trees)
+    voters, params, sizes = {"p_numeric": "x_numeric", "p_text": "x_text"}, {}, dict.fromkeys(("p_numeric", "p_text"), trees)
+    for name, features_col in voters.items() if draws else ():
+        params[name], sizes[name], _ = models.tuned(fit, label_col, id_col, draws, metrics.curves, features_col, trees, patience)
+    oof = models.out_of_fold(fit, label_col, id_col, voters, trees, patience, params=params)
+    meta = models.logistic(oof, label_col, list(voters))
+    numeric, text = (models.boosted(fit, label_col, features_col, max(sizes[name], 1), params.get(name)) for name, features_col in voters.items())
     blend = lambda part: voted(part, numeric, text, meta)
-    platt = models.calibrator(blend(val), label_col, "p_blend")
-    test = blend(rows.where("split = 'test'")).withColumn("p_final", models.logistic_score(platt, "p_blend"))
-    return Bundle(numeric, text, reduction, meta, platt, means), test
+    val = stage(blend(val).select(id_col, label_col, "p_blend"), "val")
+    platt = models.calibrator(val, label_col, "p_blend")
+    test = stage(blend(rows.where("split = 'test'")).withColumn("p_final", models.logistic_score(platt, "p_blend")), "scored")
+    auc = lambda part, score: metrics.curves(part, label_col, score).first()["roc_auc"]
+    found = {
+        "meta_oof_auc": auc(oof.withColumn("p", models.logistic_score(meta, *voters)), "p"),
+        "meta_loo_auc": auc(models.left_out(oof, meta, label_col, list(voters)), "loo_score"),
+        "meta_val_auc": auc(val, "p_blend"),
+        "cal_val_auc": auc(val.withColumn("p", models.logistic_score(platt, "p_blend")), "p"),
+        "cal_loo_auc": auc(models.left_out(val, platt, label_col, ["p_blend"], balanced=False, c=1e10), "loo_score"),
+    }
+    known = {k: 0.5 if x is None else x for k, x in (found | {"test_auc": auc(test, "p_final")}).items()}  # one class alone tells nothing
+    found["generalisation_gap_val_test"] = known["cal_val_auc"] - known["test_auc"]
+    warned = metrics.warnings(**{k: known[k] for k in ("meta_loo_auc", "meta_val_auc", "cal_loo_auc", "cal_val_auc", "test_auc")})
+    count = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
+    found |= {"warnings": warned, "n_files": sum(count.values()), "n_phishing": count.get(1, 0), "n_benign": count.get(0, 0)}
+    found |= {"splits": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}, "decision_threshold": fixed.PHISHING_FROM, "params": params, "n_trees": sizes}
+    found |= {"reduced_width": reduction.getK(), "meta_lr_coef": meta.coefficients.toArray().tolist(), "numeric_columns": fixed.FEATURES}
+    return Bundle(numeric, text, reduction, meta, platt, means), test, found
 
 
 def voted(rows: DataFrame, numeric: GBTClassificationModel, text: GBTClassificationModel, meta: LogisticRegressionModel) -> DataFrame:
@@ -67,13 +91,13 @@ def voted(rows: DataFrame, numeric: GBTClassificationModel, text: GBTClassificat
     return both.withColumn("p_blend", models.logistic_score(meta, "p_numeric", "p_text"))
 
 
-def summary(test: DataFrame, label_col: str) -> DataFrame:
-    """One row of stats a model on the test rows."""
+def summary(test: DataFrame, label_col: str, found: dict | None = None) -> DataFrame:
+    """One row of stats a model on the test rows, with what the training found, as JSON, beside each."""
     test, out = stage(test.select(label_col, "p_numeric", "p_text", "p_final"), "test"), None
     for name, score in (("numeric", "p_numeric"), ("text", "p_text"), ("blend", "p_final")):
         one = metrics.model_stats(test, label_col, score).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.withColumn("training", F.lit(json.dumps(found))) if found else out
 
 
 def scored(pages: DataFrame, bundle: Bundle, id_col: str, html_col: str) -> DataFrame:

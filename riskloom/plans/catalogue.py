@@ -252,8 +252,8 @@ _SHINGLED = r"WITH packed AS (SELECT doc_id, lower(regexp_replace(coalesce(text,
 
 @query(_SHINGLED + " SELECT d.doc_id, count(s) AS n_shingles, min(s) AS first_shingle FROM documents d LEFT JOIN runs r ON d.doc_id = r.doc_id GROUP BY 1")
 def shingle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = tx.shingles(F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", runs.alias("r")).select("doc_id", F.size("r").cast("long").alias("n_shingles"), F.array_min("r").alias("first_shingle"))
+    told = dedup.summary_of_runs(tx.packed(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", told.alias("r")).select("doc_id", F.col("r.n").alias("n_shingles"), F.col("r.first").alias("first_shingle"))
 
 
 @query(
@@ -376,7 +376,7 @@ def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gbt_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.early_stop(_numeric(spark, sf_dir), "label", "doc_id")
-    model = models.boosted(rows, "label", validation_col="is_validation")
+    model = models.boosted_early(rows, "label", "is_validation", trees=20)
     return models.probability(model, rows, "p").select("doc_id", "label", F.round("p", 6).alias("p"), tx.verdict(F.col("p")).alias("verdict"))
 
 
@@ -422,7 +422,8 @@ def loo_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.summary(reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label", trees=5)[1], "label")
+    _, test, found = reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label", trees=5)
+    return reports.summary(test, "label", found)
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> reports.Bundle:

@@ -74,7 +74,7 @@ def numbers(spark):
 
 def test_attributions_add_up_and_are_shapley_values(numbers):
     rows = models.assembled(numbers, ["a", "b", "c"])
-    model = models.boosted(rows, "y", trees=3, params={"subsamplingRate": 1.0})
+    model = models.boosted(rows, "y", trees=3, params={"subsample": 1.0})
     p = {r.id: r.p for r in models.probability(model, rows, "p").select("id", "p").collect()}
     for r in explain.tree_attributions(rows, model, ["a", "b", "c"], "id").collect():
         assert 1 / (1 + math.exp(-r.total)) == pytest.approx(p[r.id], abs=1e-9)
@@ -105,3 +105,20 @@ def test_one_step_leave_one_out_is_close_to_refitting(numbers):
 def test_pooling_takes_the_mask(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [3.0, 4.0], 1), (1, [9.0, 9.0], 0)], "id long, v array<double>, m int")
     assert models.pooled(rows, "id", "v", "m").first().pooled == [2.0, 3.0]
+
+
+def test_trees_stop_after_rounds_without_gain():
+    assert models.stops_at([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
+    assert models.stops_at([3.0, 2.0, 2.5, 2.4, 1.0], 3) == 5
+    assert models.stops_at([1.0], 100) == 1
+
+
+def test_early_trees_are_the_first_of_a_longer_run(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.random()) for _ in range(3)]) for i in range(120)]
+    frame = models.assembled(spark.createDataFrame([(i, *x, int(x[0] + 0.3 * rng.random() > 0.6), i % 5 == 0) for i, x in rows], "id long, a double, b double, c double, y int, is_validation boolean"), ["a", "b", "c"])
+    model = models.boosted_early(frame, "y", "is_validation", trees=6, patience=2)
+    whole = models.boosted(frame.where("not is_validation"), "y", trees=6)
+    assert 1 <= model.getNumTrees <= 6
+    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees[: model.getNumTrees]]
+    assert set(models.drawn(3)[0]) == set(models.GRID)

@@ -27,8 +27,11 @@ def test_the_extractor_is_a_pipeline_stage(spark, sf001, tmp_path):
 def test_training_scanning_and_saving(spark, tmp_path):
     html = F.concat(F.lit("<p>"), F.sha2(F.col("doc_id").cast("string"), 256), F.repeat(F.lit("<a href='http://x.org/login'>in</a>"), (F.col("label") * 3).cast("int")), F.lit("</p>"))
     rows = spark.range(80).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label")).withColumn("html", html)
-    bundle, test = reports.train(rows, "doc_id", "html", "label", trees=2)
-    stats = {r.model: r for r in reports.summary(test, "label").collect()}
+    bundle, test, found = reports.train(rows, "doc_id", "html", "label", trees=2, width=16)
+    assert found["n_trees"] == {"p_numeric": 2, "p_text": 2} and sum(found["splits"].values()) == found["n_files"] == found["n_phishing"] + found["n_benign"]
+    assert all(0 <= found[k] <= 1 for k in ("meta_oof_auc", "meta_loo_auc", "meta_val_auc", "cal_val_auc", "cal_loo_auc"))
+    assert len(found["meta_lr_coef"]) == 2 and found["reduced_width"] == 16
+    stats = {r.model: r for r in reports.summary(test, "label", found).collect()}
     assert set(stats) == {"numeric", "text", "blend"}
     assert stats["numeric"].roc_auc == 1.0
     pages = rows.limit(3).withColumn("url", F.when(F.col("doc_id") % 2 == 0, "evil.tk").otherwise(" "))
@@ -37,7 +40,7 @@ def test_training_scanning_and_saving(spark, tmp_path):
         if r.blend:
             assert 0 <= r.blend.final_score <= 1 and r.url_risk.score == 0.3 and len(r.shap.numeric_top) == 17
     report = reports.pipeline_report(pages, bundle, "doc_id", "url", "html").first()
-    assert (report.stages.embedding.raw_dims, report.stages.embedding.reduced_dims) == (2 * reports.CHANNEL, reports.REDUCED)
+    assert (report.stages.embedding.raw_dims, report.stages.embedding.reduced_dims) == (2 * reports.CHANNEL, 16)
     models.save_bundle(str(tmp_path / "b"), bundle.numeric, bundle.text, bundle.reduction, bundle.meta, bundle.platt, {"features": 17}, spark)
     again = models.load_bundle(str(tmp_path / "b"), spark)
     assert again["about"] == {"features": 17}
