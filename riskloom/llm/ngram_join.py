@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytehash import names, pair
-from .common import components, keyed, slices, stage
+from .common import components, keyed, lean, slices, stage
 
 _LOWER = np.array([*range(65), *range(97, 123), *range(91, 256)], np.uint8)
 _LETTERS = names(_LOWER, 1)[0]
@@ -129,7 +129,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: s
     Null or empty text has no shingles and links with nothing. Rows equal in text have equal sets and so one group; repeated ids stay repeated rows, null ids sort last. No rows come of an empty table; other columns are not read.
     """
     docs = keyed(docs, id_col, text_col)
-    sets = stage(docs.mapInArrow(_described(words), f"key long, id {dict(docs.dtypes)['id']}, n long, print binary, odd binary"), "sets")
+    sets = stage(docs.mapInArrow(lean(_described(words)), f"key long, id {dict(docs.dtypes)['id']}, n long, print binary, odd binary"), "sets")
     kinds = stage(sets.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")), "kinds")
     index = _index(docs, kinds, percent, words)
     links = None
@@ -168,7 +168,7 @@ def _prefixes(percent: int, words: int, tokens: np.ndarray, counts: np.ndarray):
     """Prefix rows; a shingle that a batch holds more than once is known to be shared, and only its first row waits at the shingle's own place for other batches."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1, 2 * HELD)):
+        for batch in (part for whole in batches for part in slices(whole, 1, HELD)):
             got: list[tuple] = []
             least: dict[bytes, int] = {}
             keys = batch.column(0).to_pylist()
@@ -201,11 +201,11 @@ def _prefixes(percent: int, words: int, tokens: np.ndarray, counts: np.ndarray):
 def _index(docs: DataFrame, kinds: DataFrame, percent: int, words: int) -> DataFrame:
     """Index rows (token, key, n, pos, block, prev) of shingles that at least two distinct sets have in their prefixes. prev: the set's previous such shingle."""
     text = docs.select("key", "text")
-    often = text.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).mapInArrow(_shingles(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = text.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).mapInArrow(lean(_shingles(words)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = often.where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().to_numpy(np.int64)
     tokens = top[:, 0].view(np.uint64) if len(top) else np.zeros(0, np.uint64)
     order = np.argsort(tokens)
-    rows = text.mapInArrow(_prefixes(percent, words, tokens[order], top[order, 1] if len(top) else np.zeros(0, np.int64)), "slot long, token long, key long, at long")
+    rows = text.mapInArrow(lean(_prefixes(percent, words, tokens[order], top[order, 1] if len(top) else np.zeros(0, np.int64))), "slot long, token long, key long, at long")
     shared = (F.expr("at & 1") == 1) | (F.count("*").over(Window.partitionBy("slot")) > 1)
     met = rows.withColumn("shared", shared).where("shared").select("token", "key", F.expr("cast(shiftright(at, 33) as int)").alias("n"), F.expr("cast(shiftright(at, 1) & 4294967295 as int)").alias("pos"))
     met = stage(met, "met").join(kinds.select(F.col("rep").alias("key")), "key", "left_semi")
@@ -268,7 +268,7 @@ def _near(kinds: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             # with d differences between two sets of s shingles together, (s - d) / 2 are shared; sets that follow them share up to extra more, and hold up to extra less
             yield batch.select(["a", "b", "nx", "ny", "extra"]).filter(pa.array((differ - 2 * extra) * (100 + percent) <= sizes * (100 - percent) + 2 * percent * extra))
 
-    return stage(pairs.mapInArrow(near, "a long, b long, nx long, ny long, extra long"), "pairs")
+    return stage(pairs.mapInArrow(lean(near), "a long, b long, nx long, ny long, extra long"), "pairs")
 
 
 def _shared(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _shared(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets([x.as_buffer().to_pybytes() for x in some.column(1)], words)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    sets = docs.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(whole, "key long, shingles array<long>")
+    sets = docs.select("key", "text").join(wanted, "key", "left_semi").mapInArrow(lean(whole), "key long, shingles array<long>")
     one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select(*pairs.columns, F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, stage
+from .common import bounded_batches, lean, slices, stage
 
 #: Rows of one length that are numbered in one task, about.
 NUMBERED = 200_000
@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     null text is empty, so that it gives end_id alone. Repeated and null ids stay rows of their own; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     last = np.array([end_id], "<u4").tobytes()
 
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                 cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(pieces), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -17,10 +17,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
+from .common import bounded_batches, slices
+
 MARK = "▁"
 #: Segments up to so many bytes go through the trie side by side; longer ones alone.
 SIDE_BY_SIDE = 64
-_CACHED = 1 << 18
+#: Segments that are remembered, none longer than SIDE_BY_SIDE bytes; bytes of text that are Python strings together.
+_CACHED, HELD = 1 << 18, 1 << 20
 
 
 @dataclass
@@ -208,12 +211,12 @@ def encode_texts(v: Pieces, texts: list[str]) -> list[tuple[bytes, float]]:
     cache = v.cache
     if len(cache) > _CACHED:
         cache.clear()
-    new = list({x for p in parts for x in p if x not in cache})
+    new, long = list({x for p in parts for x in p if x not in cache}), {}
     for x, (ids, total) in zip(new, best_paths(v, [x.replace(" ", MARK).encode() for x in new]), strict=True):
-        cache[x] = np.array(ids, "<u4").tobytes(), total
+        (cache if len(x) <= SIDE_BY_SIDE else long)[x] = np.array(ids, "<u4").tobytes(), total
     out = []
     for p in parts:
-        got = [cache[x] for x in p]
+        got = [cache[x] if x in cache else long[x] for x in p]
         out.append((b"".join([x[0] for x in got]), float(sum([x[1] for x in got]))))
     return out
 
@@ -249,14 +252,13 @@ def encode(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataF
     The whole text is encoded; null text is empty and has no ids. A marker in a text counts as a space. Columns of these names are replaced.
     """
     names = ["ids", *(n for n, _ in _COUNTS)]
-    docs = docs.drop(*names)
+    docs = bounded_batches(docs).drop(*names)
     given = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(given)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch, batch.schema.get_field_index(text_col), HELD):
                 got = encode_texts(v, [x or "" for x in some.column(some.schema.get_field_index(text_col)).to_pylist()])
                 ids = [np.frombuffer(x, "<u4") for x, _ in got]
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -288,15 +290,14 @@ def decode(rows: DataFrame, vocabulary: Pieces, ids_col: str = "ids", out_col: s
 def round_trip(docs: DataFrame, vocabulary: Pieces, text_col: str = "text") -> DataFrame:
     """docs without the text, encoded and decoded again in one pass that keeps no ids: the counts of encode(), and `same`, whether the text came back but for its markers."""
     names = [*(n for n, _ in _COUNTS), "same"]
-    docs = docs.drop(*names)
+    docs = bounded_batches(docs).drop(*names)
     given = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kept = [c for c in docs.columns if c != text_col]
 
     def gone_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(given)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch, batch.schema.get_field_index(text_col), HELD):
                 texts = [x or "" for x in some.column(some.schema.get_field_index(text_col)).to_pylist()]
                 got = encode_texts(v, texts)
                 same = [decode_ids(v, np.frombuffer(x, "<u4").tolist()) == t.replace(MARK, " ") for (x, _), t in zip(got, texts, strict=True)]

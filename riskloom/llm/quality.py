@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, unused
+from .common import bounded_batches, slices, unused
 
 _EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 #: Document-level shares are told in so many steps.
@@ -79,7 +79,7 @@ def fit(rated: DataFrame, grades: int, bits: int = 18, max_rows: int = 20_000, p
 
     Grades count from 0 to grades - 1. Rows without a grade take no part, null text is empty. With no rows, or one grade, the model is flat in the words.
     """
-    chosen = rated.where(F.col(grade_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(grade_col).cast("int").alias("grade"), F.xxhash64(F.col(id_col), F.lit(7)).alias("order"))
+    chosen = bounded_batches(rated).where(F.col(grade_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(grade_col).cast("int").alias("grade"), F.xxhash64(F.col(id_col), F.lit(7)).alias("order"))
     chosen = chosen.orderBy("order", "text").limit(max_rows)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +171,13 @@ def score(docs: DataFrame, model: OrdinalModel, keep_from: int, least_chance: fl
     names = ["expected_grade", "tail_probability", "kept"]
     docs = docs.drop(*names)
     told = unused(docs, "told")
-    graded = docs.withColumn(told, grader(model, keep_from)(F.col(text_col).cast("string")))
+    graded = bounded_batches(docs).withColumn(told, grader(model, keep_from)(F.col(text_col).cast("string")))
     return graded.select(*docs.columns, *(F.col(told)[n].alias(n) for n in names[:2]), (F.col(told)["tail_probability"] >= least_chance).alias("kept"))
 
 
 def keep(docs: DataFrame, model: OrdinalModel, keep_from: int, least_chance: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, as they are, whose chance of a grade of keep_from or more is least_chance or more."""
-    return docs.where(grader(model, keep_from)(F.col(text_col).cast("string"))["tail_probability"] >= least_chance)
+    return bounded_batches(docs).where(grader(model, keep_from)(F.col(text_col).cast("string"))["tail_probability"] >= least_chance)
 
 
 #: Grades of the ratings at hand: toxic text, poor text, good text.

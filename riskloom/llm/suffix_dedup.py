@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytehash import _U, lowest, names, pair
-from .common import keyed, slices, stage
+from .common import keyed, lean, slices, stage
 
 Q = 24
 #: Bytes hashed at a time; longer documents are taken in overlapping pieces of PIECE bytes.
@@ -46,8 +46,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     if not Q <= length <= 4096:
         raise ValueError(f"length must be from {Q} to 4096")
     docs = keyed(docs, id_col, text_col)
-    packed = docs.select("key", "id", "text").mapInArrow(_packed, f"key long, id {dict(docs.dtypes)['id']}, z binary")
-    anchors = docs.select("key", "text").mapInArrow(_anchors(length), "sb long, ctx long, key long, at long")
+    packed = docs.select("key", "id", "text").mapInArrow(lean(_packed), f"key long, id {dict(docs.dtypes)['id']}, z binary")
+    anchors = docs.select("key", "text").mapInArrow(lean(_anchors(length)), "sb long, ctx long, key long, at long")
 
     bucket = Window.partitionBy("sb")
     how = F.expr(_AT["how"])
@@ -62,14 +62,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     whole = placed.where("sb is null").select("key", "lo", "n")
     firsts = placed.where("sb is not null").groupBy("key").agg(F.collect_list(F.struct("sb", "lo", "n", "rel", "how")).alias("runs"))
 
-    contexts = packed.join(firsts, "key").select("key", "id", "z", "runs").mapInArrow(_contexts(length), "sb long, key long, lo long, rel int, how int, bytes binary")
-    refined = contexts.repartition("sb").sortWithinPartitions("sb").mapInArrow(_refined(length), "h long, g long, key long, lo long, n int, repeat boolean")
+    contexts = packed.join(firsts, "key").select("key", "id", "z", "runs").mapInArrow(lean(_contexts(length)), "sb long, key long, lo long, rel int, how int, bytes binary")
+    refined = contexts.repartition("sb").sortWithinPartitions("sb").mapInArrow(lean(_refined(length)), "h long, g long, key long, lo long, n int, repeat boolean")
     met = F.lag("key").over(Window.partitionBy("h", "g").orderBy("key", "lo")).isNotNull()
     single = refined.withColumn("repeat", F.col("repeat") | met).where("repeat").select("key", "lo", "n")
 
     runs = whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     kind = f"key long, id {dict(docs.dtypes)['id']}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return packed.join(runs, "key", "left").select("key", "id", "z", "runs").mapInArrow(_cut(length, whole_characters), kind)
+    return packed.join(runs, "key", "left").select("key", "id", "z", "runs").mapInArrow(lean(_cut(length, whole_characters)), kind)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
