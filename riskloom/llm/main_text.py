@@ -15,15 +15,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import bounded_batches, slices, stage
 from .url_filters import host_of
 
 #: A subtree is the site's, not the page's, from so many pages of a host on that are also more than this share of its pages. Pages that differ in no text but what the rules drop are one.
 PAGES, SHARE = 5, 0.5
 #: Hosts and hashes that may be broadcast together; beyond, the join shuffles.
 FEW = 500_000
+#: Bytes of html that are Python strings together.
+HELD = 1 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: What is after the last tag's end: a remark without an end of its own takes all the rest.
+_OPEN_REMARK = re.compile(r"<[!?]")
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -82,6 +86,8 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
     text: list[str] = []
     linked = 0
     stack = [_Open("", False, 0, 0, False)]
+    opened: Counter[str] = Counter()  # open elements by name, so that no end or sibling is looked for in vain through a deep page
+    last = page.rfind(">")  # what opens after it is no tag
 
     def flush() -> None:
         nonlocal linked
@@ -97,6 +103,7 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
         while len(stack) > depth:
             flush()
             node = stack.pop()
+            opened[node.tag] -= 1
             if node.parts:
                 h = xxhash.xxh3_64_intdigest("\0".join([node.tag, *node.parts]).encode("utf-8", "surrogatepass"))
                 if template(h):
@@ -107,7 +114,8 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
     at, end, lower = 0, len(page), ""
     links = 0
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last + 1) if at <= last else None
+        m = m or _OPEN_REMARK.search(page, max(at, last))
         said = page[at : m.start() if m else end]
         if said and not stack[-1].out:
             said = html.unescape(said) if "&" in said else said
@@ -116,6 +124,8 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
         if not m:
             break
         at = m.end()
+        if m.re is _OPEN_REMARK or m[0].startswith("<!--") and not m[0].endswith("->") and not m[0].endswith("-!>"):
+            break
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -123,7 +133,7 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
             links -= tag == "a" and links > 0
             if tag in _INLINE and stack[-1].tag in _APART and not stack[-1].out:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -140,7 +150,7 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
         if tag == "br":
             text.append(" ") if not stack[-1].out else None
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -149,7 +159,7 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
                     break
         if tag in _SIBLINGS:
             kinds, bounds = _SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in kinds) else ():
                 if stack[k].tag in kinds:
                     close(k)
                     break
@@ -171,6 +181,7 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
         level = top.level or (2 if tag == "article" else 1 if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes) else 0)
         gone = top.out or _dropped(tag, attributes, top.level)
         stack.append(_Open(tag, gone, level, len(out), False))
+        opened[tag] += 1
     close(1)
     flush()
     amount: Counter[int] = Counter()
@@ -187,7 +198,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html is empty and gives empty text, as does a page without main text. Pages without a host in their URL have no site, so that no template is cut from them. Character references are decoded, white space
     in a block is one space. Repeated pages stay repeated, and count once for templates. An empty table gives no rows; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
     rows = rows.withColumn("host", F.when(host != "", F.xxhash64(host)))
     sited = rows.where("host is not null")
@@ -207,7 +218,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, tree, content): the subtrees of each distinct content, and a null tree for the content itself: what the rules leave of a page, or its html where that is nothing."""
     signed = lambda h: h - (h >> 63 << 64)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, HELD)):
         seen: set[tuple[int, int | None, int]] = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found: set[int] = set()
@@ -221,9 +232,9 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2, HELD)):
         texts = []
-        for page, trees in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            known = {t % (1 << 64) for t in trees or ()}
+        for page, trees in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+            known = {t % (1 << 64) for t in trees.as_py() or ()}
             texts.append("\n".join(blocks(page, known.__contains__)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -296,6 +298,42 @@ def test_templates_of_a_site_go(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 40_000, '<a href="' * 40_000, "<div>" * 20_000 + "</span></p></td>" * 20_000, "<div>" * 20_000 + "<td></td>" * 20_000, "<nav>" + "<b>" * 20_000 + "<div></div>" * 20_000, "<!--" * 40_000, "<p>x" * 20_000, "<li>" * 20_000, "&amp" * 40_000, "<script>" * 20_000],
+)
+def test_odd_pages_take_no_more_than_their_length(page):
+    began = time.process_time()
+    main_text.blocks(page, keep_all)
+    assert time.process_time() - began < 10
+
+
+def test_text_after_the_last_tag_stays():
+    assert main_text.blocks("<p>a</p>b < c <d", keep_all) == ["a", "b < c <d"]
+    assert main_text.blocks("<p>a</p>c<!-- b", keep_all) == ["a", "c"]
+    assert main_text.blocks("<p>a</p>c<!-- b <p>d</p> e", keep_all) == ["a", "c"]
+    assert main_text.blocks("<p>a</p>c<!-- b --><p>d</p>&lt; e <? f", keep_all) == ["a", "c", "d", "< e"]
+
+
+def test_templates_are_those_of_a_plain_recount(spark):
+    rng = random.Random(12)
+    shared = {h: [f"<div><p>site {h} says {k}</p><ul><li>one {k}</li><li>two</li></ul></div>" for k in range(4)] for h in "ab"}
+    pages = []
+    for i in range(40):
+        h = "ab"[i % 2]
+        blocks = [x for k, x in enumerate(shared[h]) if rng.random() < (0.95, 0.7, 0.3, 0.1)[k]] + [f"<div><p>own {i} {k}</p><p>more {i}</p></div>" for k in range(2)]
+        rng.shuffle(blocks)
+        pages.append((h, blocks))
+    count, size = Counter((h, b) for h, bs in pages for b in set(bs)), Counter(h for h, _ in pages)
+    count.update((h, "<li>two</li>") for h, bs in pages if any("<li>two</li>" in b for b in bs))
+    gone = {x for x, n in count.items() if n >= main_text.PAGES and n > main_text.SHARE * size[x[0]]}
+    words = lambda b: [x for x in re.sub("<[^>]*>", "\n", b).split("\n") if x]
+    want = {i: "\n".join(w for b in bs if (h, b) not in gone for w in words(b.replace("<li>two</li>", "") if (h, "<li>two</li>") in gone else b)) for i, (h, bs) in enumerate(pages)}
+    rows = spark.createDataFrame([(i, f"http://{h}.com/{i}", "<body>" + "".join(bs) + "</body>") for i, (h, bs) in enumerate(pages)], "page_id long, url string, html string")
+    assert len(gone) >= 4
+    assert {r.id: r.text for r in main_text.extract(rows).collect()} == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = lambda i: f"<body><div><p>About us and our site</p></div><article><p>Story {i} of many</p></article></body>"
     rows = [(i, f"http://s.com/{i}", page(0)) for i in range(8)] + [(10 + i, f"http://s.com/n{i}", page(i)) for i in range(1, 5)]
