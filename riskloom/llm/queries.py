@@ -91,6 +91,29 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": r"""
+WITH docs AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM docs)),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM strings) WHERE k > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 100 THEN 0 ELSE 1 END AS new FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked) GROUP BY 1, 2),
+gaps AS (SELECT doc_id, k, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y, b - a AS gone FROM runs),
+ends AS (SELECT doc_id, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(e.n_removed, 0)::BIGINT AS n_removed, coalesce(e.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h || substr(d.h, 2 * e.b + 1), d.h))) AS kept_sha256
+FROM docs d LEFT JOIN ends e USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+    # the checksum byte by byte, with the table of the reversed polynomial 0xEDB88320
+    "op5_sharding": r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+sized AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS digest, hex(encode(coalesce(text, ''))) AS h FROM documents),
+placed AS (SELECT *, sum(size) OVER (ORDER BY digest, doc_id) - size AS p0, sum(size) OVER () AS total FROM sized),
+dealt AS (SELECT *, least(7, p0 * 8 // total) AS s FROM placed),
+groups AS (SELECT digest, min(p0) AS g_at, sum(size) AS bytes, min(s) < max(s) AS parted FROM dealt GROUP BY 1),
+sharded AS (SELECT d.*, CASE WHEN parted AND bytes * 8 <= 0.02 * total THEN least(7, (g_at + bytes // 2) * 8 // total) ELSE s END AS shard FROM dealt d JOIN groups USING (digest))
+SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, 2 * strlen(t), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1]))) AS text_crc32,
+  'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY p0) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM sharded, steps""",
     "op7_ngram_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
