@@ -13,7 +13,7 @@ def _by_first_letter(starts: list[str]) -> str:
     grouped: dict[str, list[str]] = {}
     for x in starts:
         grouped.setdefault(x[0], []).append(x[1:])
-    return rf"\b(?=[{''.join(grouped)}])(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in grouped.items()) + ")"
+    return r"\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in grouped.items()) + ")"
 
 
 BRAND_PATTERN = _by_first_letter(sorted(fixed.BRANDS, key=len, reverse=True)) + r"\b"

@@ -234,7 +234,11 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", tx.title(F.col("html")).alias("title"))
 
 
-@query()
+@query(
+    f"""SELECT page_id, false AS redirected, false AS domain_changed, list_filter([{', '.join("'" + x + "'" for x in fixed.CHALLENGES)}], lambda s: contains(html, s)) AS challenges,
+  list_filter([{', '.join("'" + x + "'" for x in fixed.PARKED)}], lambda s: contains(lower(html), lower(s))) AS parked,
+  len(string_split_regex(html, '\\r\\n|\\r|\\n'))::INTEGER AS n_lines, array_to_string(string_split_regex(html, '\\r\\n|\\r|\\n')[:50], chr(10)) AS head FROM pages"""
+)
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.diagnose(read(spark, sf_dir, "pages"), "page_id", "url", "html")
 
@@ -273,7 +277,18 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("html")).join(labels, "doc_id")
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE keyed AS (SELECT doc_id, lang, md5(coalesce(text, '')) AS md5, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS t FROM documents),
+kinds AS (SELECT md5, lang, min(doc_id) AS rep, any_value(t) AS t FROM keyed GROUP BY 1, 2),
+sets AS (SELECT rep, lang, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS s FROM kinds),
+pairs AS (SELECT a.rep AS a, b.rep AS b, len(a.s) AS n, len(b.s) AS m, len(list_intersect(a.s, b.s)) AS shared FROM sets a JOIN sets b
+  ON a.lang = b.lang AND a.rep > b.rep AND least(len(a.s), len(b.s)) >= 0.98 * greatest(len(a.s), len(b.s))),
+links AS (SELECT a, b FROM pairs WHERE shared >= 0.98 * (n + m - shared) UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY md5) FROM keyed UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY md5, lang) FROM keyed),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, found) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.found),
+roots AS (SELECT node, min(found) AS root FROM reach GROUP BY 1)
+SELECT node AS doc_id, dense_rank() OVER (ORDER BY root) - 1 AS group_id FROM roots"""
+)
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_groups(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
