@@ -1,6 +1,7 @@
 """Text operators against plain versions, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -361,6 +362,35 @@ def test_held_out_grades(spark, rated):
     assert means[0] < means[1] < means[2]
 
 
+def test_the_fit_is_an_optimum_of_the_plain_likelihood():
+    rng = np.random.default_rng(4)
+    n, bits, penalty = 200, 4, 1e-2
+    rows = [[] for _ in range(n)]
+    for f in range(16):
+        for i in rng.choice(n, 14, replace=False):
+            rows[i].append(f)
+    truth = rng.standard_normal(16)
+    grade = np.array([int(sum(truth[r]) + rng.logistic() > -0.5) + int(sum(truth[r]) + rng.logistic() > 1.0) for r in rows])
+    model = quality._descend(grade, np.array([f for r in rows for f in r]), np.array([len(r) for r in rows]), 3, bits, penalty, 500)
+
+    def plain(weights, cuts):
+        total = 0.0
+        for r, g in zip(rows, grade.tolist(), strict=True):
+            z = sum(weights[f] for f in r)
+            at_least = [1.0, *(1 / (1 + math.exp(c - z)) for c in cuts), 0.0]
+            total -= math.log(at_least[g] - at_least[g + 1])
+        return total / n + penalty / 2 * sum(w * w for w in weights)
+
+    weights, cuts = model.weights.astype(float).tolist(), model.thresholds.tolist()
+    assert cuts[0] < cuts[1]
+    for k in range(18):
+        up, down = [*weights, *cuts], [*weights, *cuts]
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        assert abs(plain(up[:16], up[16:]) - plain(down[:16], down[16:])) / 2e-4 < 1e-4
+    assert plain(weights, cuts) < plain([0.0] * 16, cuts)
+
+
 def test_grades_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, "good words here", 2), (2, "bad", 0), (3, None, 1), (4, "x", None), (5, "", 2), (5, "", 2)], "doc_id long, text string, grade int")
     model = quality.fit(rows, 3)
