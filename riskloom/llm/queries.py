@@ -56,9 +56,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_changes(pages: DataFrame) -> DataFrame:
-    """Dated list changes derived from the hosts of the pages: three lists, of which each takes up some hosts or their parent domains and drops and readds part of them."""
+    """Dated list changes derived from the hosts of the pages: three lists, of which each takes up some hosts or their parent domains, no bare suffixes, and drops and readds part of them."""
     hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
-    names = hosts.select(F.explode(F.array("host", F.regexp_replace("host", r"^[^.]+\.", ""))).alias("domain")).distinct()
+    names = hosts.select(F.explode(F.array("host", F.regexp_replace("host", r"^[^.]+\.", ""))).alias("domain")).where("domain like '%.%'").distinct()
     seeds = names.withColumn("list_name", F.explode(F.array(*map(F.lit, ("adult", "malware", "spam")))))
     seed = F.conv(F.substring(F.md5(F.concat_ws("|", "list_name", "domain")), 1, 8), 16, 10).cast("long")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
@@ -145,7 +145,7 @@ hosts AS (SELECT DISTINCT host FROM caps WHERE host <> ''),
 names AS (SELECT host AS domain FROM hosts UNION SELECT regexp_replace(host, '^[^.]+\.', '') FROM hosts),
 seeds AS (
   SELECT * FROM (SELECT l.list_name, n.domain, ('0x' || substr(md5(l.list_name || '|' || n.domain), 1, 8))::BIGINT AS seed
-    FROM names n, (VALUES ('adult'), ('malware'), ('spam')) l(list_name)) WHERE seed % 3 = 0),
+    FROM names n, (VALUES ('adult'), ('malware'), ('spam')) l(list_name) WHERE n.domain LIKE '%.%') WHERE seed % 3 = 0),
 spans AS (
   SELECT list_name, domain, DATE '2024-01-01' + CAST(seed % 200 AS INTEGER) AS valid_from,
     DATE '2024-01-01' + CAST(seed % 200 + 20 + seed % 90 AS INTEGER) AS valid_to FROM seeds

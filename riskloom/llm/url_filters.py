@@ -15,10 +15,10 @@ def intervals(changes: DataFrame) -> DataFrame:
     """(list_name, domain, valid_from, valid_to) from dated changes (list_name, domain, action, changed_at).
 
     A change holds until the next one of the same list and domain; 'add' opens an interval, 'remove' ends it, and an add that follows an
-    add opens none anew. Of changes at one moment the removal wins. The last interval has no end (null). Changes with a null in
-    any column take no part.
+    add opens none anew. Of changes at one moment the removal wins. The last interval has no end (null). Domains lose spaces around
+    them and dots at their end, as hosts do. Changes with a null in any column, or without a domain, take no part.
     """
-    known = changes.select("list_name", F.lower("domain").alias("domain"), "action", "changed_at").dropna().where(F.col("action").isin("add", "remove"))
+    known = changes.select("list_name", F.lower(F.regexp_replace(F.trim("domain"), r"\.+$", "")).alias("domain"), "action", "changed_at").dropna().where(F.col("action").isin("add", "remove") & (F.col("domain") != ""))
     once = known.groupBy("list_name", "domain", "changed_at").agg(F.max("action").alias("action"))
     inside = Window.partitionBy("list_name", "domain").orderBy("changed_at")
     turns = once.withColumn("was", F.lag("action").over(inside)).where("action = 'add' and coalesce(was, 'remove') = 'remove' or action = 'remove' and was = 'add'")

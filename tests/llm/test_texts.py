@@ -230,7 +230,7 @@ def test_shards_of_no_rows(spark):
     assert sharding.range_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-CHANGES = [("l", "a.com", "add", "2024-01-01"), ("l", "a.com", "remove", "2024-02-01"), ("l", "a.com", "add", "2024-03-01"), ("m", "x.a.com", "add", "2024-01-15"), ("m", "b.com", "remove", "2024-01-01"), ("m", None, "add", "2024-01-01"), ("l", "a.com", "add", "2024-03-05")]
+CHANGES = [("l", "a.com", "add", "2024-01-01"), ("l", "a.com", "remove", "2024-02-01"), ("l", "a.com", "add", "2024-03-01"), ("m", "x.a.com", "add", "2024-01-15"), ("m", "b.com", "remove", "2024-01-01"), ("m", None, "add", "2024-01-01"), ("l", " A.com. ", "add", "2024-03-05"), ("m", " . ", "add", "2024-01-01")]
 CAPTURES = [
     (1, "http://x.a.com/p", "2024-01-01", 1, "a.com"),
     (2, "http://x.a.com:80/p", "2024-01-20", 2, "x.a.com"),
