@@ -43,6 +43,12 @@ class Element:
         return " ".join(s for s in (x.strip() for _, x in self.strings()) if s)
 
 
+class Remark(str):
+    """A comment or declaration among an element's strings."""
+
+    __slots__ = ()
+
+
 class _Builder(HTMLParser):
     """html, head and body are always there; a comment is a string of the element that holds it, as it counts as text."""
 
@@ -125,10 +131,10 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
     def handle_comment(self, data: str) -> None:
-        self.at.children.append(data)
+        self.at.children.append(Remark(data))
 
     def handle_decl(self, decl: str) -> None:
-        self.document.children.insert(0, decl[7:].strip() if decl.lower().startswith("doctype") else decl)
+        self.document.children.insert(0, Remark(decl[7:].strip() if decl.lower().startswith("doctype") else decl))
 
 
 def parse(page: str) -> Element:
@@ -151,6 +157,12 @@ def squeezed(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
+def body_text(page: str) -> str:
+    """The body's text as it stands, without remarks, scripts, styles, templates and ruby notes."""
+    body = parse(page).all("body")
+    return "".join(s for e, s in body[0].strings() if not isinstance(s, Remark) and e.name not in ("script", "style", "template", "rt", "rp")) if body else ""
+
+
 def counts(page: str, tags: list[str]) -> dict[str, int]:
     """Element counts, distinct names, depth, length of the visible text and links of a page."""
     document = parse(page)

@@ -79,14 +79,14 @@ def signatures(hashed: DataFrame, id_col: str, *more: str) -> DataFrame:
     return hashed.select(id_col, *more, "hashes").mapInArrow(signed, ", ".join(f"{c} {kinds[c]}" for c in (id_col, *more)) + ", signature array<long>")
 
 
-def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float = 0.98) -> DataFrame:
-    """(id, group_id): exact copies join across labels, near copies of `threshold` or more within a label; all rows are kept, numbered densely from 0 by their smallest id.
+def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float = 0.98, shingled_col: str | None = None) -> DataFrame:
+    """(id, group_id): exact copies join across labels, near copies of `threshold` or more within a label; all rows are kept, numbered densely from 0 by their smallest id. shingled_col: what near copies are told by, where that isn't the text itself; rows of equal text must have equal ones.
 
     Work is per distinct text and label. In a band's bucket each text is compared with two leaders, the first and one by chance: a bucket of copies costs two comparisons a text.
     This forms groups; the pairs of a bucket that it left out are compared where they are of different groups, so that no link between groups is lost.
     """
     exact = exact_groups(rows, id_col, text_col)
-    kinds = stage(rows.join(exact, id_col).groupBy("md5", label_col).agg(F.min(id_col).alias("rep"), F.first(text_col).alias("text")), "kinds")
+    kinds = stage(rows.join(exact, id_col).groupBy("md5", label_col).agg(F.min(id_col).alias("rep"), F.first(shingled_col or text_col).alias("text")), "kinds")
     hashed = stage(hashed_shingles(kinds, "rep", "text", label_col), "hashed")
     signed = signatures(hashed, "rep", label_col)
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND_ROWS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * BAND_ROWS + 1, BAND_ROWS)).alias("bucket")))

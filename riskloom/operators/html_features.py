@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import dom, fixed, text as tx, url as ur
 
@@ -26,6 +26,12 @@ def entropy_of(text: pa.Array) -> pa.Array:
     return pa.array([bits(x.as_py() or "") for x in text], pa.float64())
 
 
+@F.arrow_udf(StringType())
+def body_of(page: pa.Array) -> pa.Array:
+    """The text of each page's body; of null none."""
+    return pa.array([dom.body_text(x.as_py() or "") for x in page], pa.string())
+
+
 def entropy(rows: DataFrame, id_col: str, text_col: str, out: str = "shannon_entropy") -> DataFrame:
     """(id, entropy in bits of the text's characters), a row a row. Empty and null texts have 0."""
     return rows.select(id_col, entropy_of(F.col(text_col)).alias(out))

@@ -49,7 +49,8 @@ def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: i
     draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; without them both voters have `trees` trees of the default parameters. width: of the reduced
     embedding, at most the embedding's own.
     """
-    groups = dedup.near_groups(pages, id_col, html_col, label_col)
+    bodies = pages.select(id_col, html_col, label_col, html_features.body_of(F.col(html_col)).alias("_body"))
+    groups = dedup.near_groups(bodies, id_col, html_col, label_col, shingled_col="_body")
     split = splits.group_split(groups, "group_id").select(id_col, "split")
     rows = stage(described(pages, id_col, html_col).join(pages.select(id_col, label_col), id_col).join(split, id_col), "rows")
     fit = rows.where("split = 'train'")

@@ -64,3 +64,10 @@ def test_diagnosis(spark):
     got = reports.diagnose(rows, "id", "url", "html", "last", head=1).orderBy("id").collect()
     assert [(r.redirected, r.domain_changed, r.challenges, r.parked, r.n_lines) for r in got] == [(True, True, ["cf_chl_opt"], [], 2), (False, False, [], ["This domain is parked"], 1)]
     assert got[0].head == "x cf_chl_opt"
+
+
+def test_body_text_is_without_remarks_and_scripts():
+    page = "<!doctype html><head><title>t</title></head><body>a <!-- c --><b>b</b><script>s</script><style>z</style><p>d</body>"
+    assert dom.body_text(page) == "a bd"
+    assert dom.body_text("plain text") == "plain text"
+    assert dom.body_text("") == ""

@@ -4,6 +4,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx, url as ur
+from riskloom.operators import dedup
 
 # Worked out by hand from the rules.
 RISKS = [
@@ -79,5 +80,5 @@ def test_scrubbing(spark, said, want):
 
 
 def test_shingles(spark):
-    rows = spark.createDataFrame([("Ab cdE f",), ("abc",), ("",), ("aaaaaaa",)], "t string").select(tx.shingles(F.col("t")).alias("s"))
-    assert [r.s for r in rows.collect()] == [["abcde", "bcdef"], [], [], ["aaaaa"]]
+    rows = spark.createDataFrame([("Ab cdE f",), ("abc",), ("",), ("aaaaaaa",), (None,)], "t string").select(dedup.summary_of_runs(tx.packed(F.col("t"))).alias("s"), tx.packed(F.col("t")).alias("t"))
+    assert [(r.t, r.s.n, r.s.first) for r in rows.collect()] == [("abcdef", 2, "abcde"), ("abc", 0, None), ("", 0, None), ("aaaaaaa", 1, "aaaaa"), ("", 0, None)]
