@@ -20,20 +20,24 @@ from .common import bounded_batches, lean, slices, stage
 #: Rows of one length that are numbered in one task, about.
 NUMBERED = 200_000
 #: Bytes of text whose words are looked up together; words that are remembered, and the longest of them.
-HELD, WORDS, LONGEST = 1 << 21, 1 << 19, 48
+HELD, WORDS, LONGEST = 1 << 22, 1 << 19, 48
+#: What often follows a word.
+_TAILS = ".,;:!?"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
     """Ids of texts by a byte-level tokenizer file, each frequent word encoded once.
 
-    A single space between two other characters begins a token of its own word, and a single line end there is a token by itself, so that a text may be cut at both
-    without changing its ids; special tokens hold neither. The ids of the parts come from the tokenizer and are remembered; when there are too many of them, those that came up once are forgotten.
+    A single space between two other characters begins a token of its own word, a single line end there is a token by itself, and a letter or digit ends its token before a point or the like, so that
+    a text may be cut at all three without changing its ids; special tokens hold none of them. The ids of the parts come from the tokenizer and are remembered; when there are too many of them, those
+    that came up once are forgotten.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are as many as the cores
         self.model, self.known, self.often = Tokenizer.from_file(path), {}, set()
+        self.tails = dict(zip(_TAILS, self._encode(list(_TAILS)), strict=True))
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
@@ -47,15 +51,20 @@ class Encoder:
         known, heads, rests, long = self.known, [], [], {}
         for text in texts:
             words = text.replace("\n", " ")
-            even = " ".join(words.split()) == words  # every white space stands alone, inside, and is a space or a line end
+            # every white space stands alone, inside, and is a space or a line end; no other white space is printable
+            even = words.isprintable() and "  " not in words and words[:1] != " " != words[-1:] or " ".join(words.split()) == words
             head, *rest = text.replace("\n", " \n").split(" ") if even else _SPLIT.split(text)
             heads.append(head), rests.append(rest)
         words = set().union(*rests)
-        new = list(words.difference(known))
+        new = words.difference(known)
         self.often.update(words.intersection(known))
+        ended = [x for x in new if x[-1] in self.tails and x[-2:-1].isalnum()]
+        parts = list({x[:-1] for x in ended}.union(new.difference(ended)).difference(known))
         # a part that begins with a line end had no space before it
-        for part, ids in zip(new, self._encode([x if x[0] == "\n" else " " + x for x in new]), strict=True):
+        for part, ids in zip(parts, self._encode([x if x[0] == "\n" else " " + x for x in parts]), strict=True):
             (known if len(part) <= LONGEST else long)[part] = ids
+        for x in ended:
+            (known if len(x) <= LONGEST else long)[x] = (known.get(x[:-1]) or long[x[:-1]]) + self.tails[x[-1]]
         found = (known | long).__getitem__ if long else known.__getitem__
         return [head + b"".join(map(found, rest)) for head, rest in zip(self._encode(heads), rests, strict=True)]
 
