@@ -2,77 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
 
 from .common import bounded_batches, lean, slices, stage
+from .encoder import encoder
 
 #: Rows of one length that are numbered in one task, about.
 NUMBERED = 200_000
-#: Bytes of text whose words are looked up together; words that are remembered, and the longest of them.
-HELD, WORDS, LONGEST = 1 << 22, 1 << 19, 48
-#: What often follows a word.
-_TAILS = ".,;:!?"
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-
-
-class Encoder:
-    """Ids of texts by a byte-level tokenizer file, each frequent word encoded once.
-
-    A single space between two other characters begins a token of its own word, a single line end there is a token by itself, and a letter or digit ends its token before a point or the like, so that
-    a text may be cut at all three without changing its ids; special tokens hold none of them. The ids of the parts come from the tokenizer and are remembered; when there are too many of them, those
-    that came up once are forgotten.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are as many as the cores
-        self.model, self.known, self.often = Tokenizer.from_file(path), {}, set()
-        self.tails = dict(zip(_TAILS, self._encode(list(_TAILS)), strict=True))
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit numbers, little-endian."""
-        if len(self.known) > WORDS:
-            if len(self.often) > WORDS // 2:
-                self.often.clear()
-            self.known = {x: self.known[x] for x in self.often if x in self.known}
-        known, heads, rests, long = self.known, [], [], {}
-        for text in texts:
-            words = text.replace("\n", " ")
-            # every white space stands alone, inside, and is a space or a line end; no other white space is printable
-            even = words.isprintable() and "  " not in words and words[:1] != " " != words[-1:] or " ".join(words.split()) == words
-            head, *rest = text.replace("\n", " \n").split(" ") if even else _SPLIT.split(text)
-            heads.append(head), rests.append(rest)
-        words = set().union(*rests)
-        new = words.difference(known)
-        self.often.update(words.intersection(known))
-        ended = [x for x in new if x[-1] in self.tails and x[-2:-1].isalnum()]
-        parts = list({x[:-1] for x in ended}.union(new.difference(ended)).difference(known))
-        # a part that begins with a line end had no space before it
-        for part, ids in zip(parts, self._encode([x if x[0] == "\n" else " " + x for x in parts]), strict=True):
-            (known if len(part) <= LONGEST else long)[part] = ids
-        for x in ended:
-            (known if len(x) <= LONGEST else long)[x] = (known.get(x[:-1]) or long[x[:-1]]) + self.tails[x[-1]]
-        found = (known | long).__getitem__ if long else known.__getitem__
-        return [head + b"".join(map(found, rest)) for head, rest in zip(self._encode(heads), rests, strict=True)]
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """Once per worker."""
-    return Encoder(path)
+#: Bytes of text that are encoded together.
+HELD = 1 << 22
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -84,21 +28,24 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     kind = dict(docs.dtypes)[id_col]
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    last = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in (part for batch in batches for part in slices(batch, 1, HELD)):
-            owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, tokens in enumerate(encoder(path).ids(some.column(1).to_pylist())):
-                tokens += last
-                n = len(tokens) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    part = tokens[4 * a : 4 * b]
-                    owner.append(i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(part)), ids.append(part)
-            cols = [some.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            flat, bounds = encoder(path).tokens(some.column(1), end_id)
+            n = np.diff(bounds)
+            count = -(-n // capacity)
+            owner = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            # the first piece takes what full ones leave
+            over = n - (count - 1) * capacity
+            start = np.where(piece, over[owner] + (piece - 1) * capacity, 0)
+            length = np.where(piece, capacity, over[owner])
+            places = np.append(bounds[:-1][owner] + start, bounds[-1]).tolist()
+            data = flat.astype("<u4").view(np.uint8).data
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(places, places[1:], strict=False)]
+            cols = [some.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                cols.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat.view(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(lean(pieces), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

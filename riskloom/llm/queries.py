@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, url_filters
+from . import cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, token_files, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.temporal_filter(pages, list_changes(pages), "page_id").withColumnRenamed("id", "page_id")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark, "token-ids")
+    token_files.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES = {

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from riskloom.llm import main_text, packing, quality, sharding, suffix_dedup, url_filters
+from riskloom.llm import encoder, main_text, packing, quality, sharding, suffix_dedup, url_filters
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -142,7 +142,7 @@ def test_pieces_and_places(spark, documents_sf001):
 def test_ids_are_the_tokenizer_s_over_whole_tables(documents_sf001):
     model = Tokenizer.from_file(PATH)
     texts = [t or "" for t in documents_sf001] + ["\n", "", " a", "a\nb", "a \n b", "\x1c a b", "it's 'tis don't 12 ab3", "x" * 100 + " " + "y" * 100, "<|endo ftext|>", "a <|endoftext|> b"]
-    own = packing.Encoder(PATH)
+    own = encoder.Encoder(PATH)
     own.ids(texts)
     got = [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)]
     assert got == [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
