@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, token_files, url_filters
+from . import conversation_trie, cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, token_files, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.temporal_filter(pages, list_changes(pages), "page_id").withColumnRenamed("id", "page_id")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_nodes(_read(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark, "token-ids")
     token_files.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_token_files": op13_token_files,
 }
 
@@ -165,4 +170,26 @@ hits AS (
   GROUP BY 1, 2)
 SELECT c.page_id, c.url, CAST(c.fetched_at AS DATE) AS fetched_at, c.host, coalesce(h.n_active, 0) AS n_active, h.n_active IS NOT NULL AS blocked, h.first_list, h.matched_domain
 FROM caps c LEFT JOIN hits h ON c.host = h.host AND c.fetched_at = h.fetched_at""",
+    # the checksum of an id's digits as in op5
+    "op12_conversation_trie": r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ordered AS (SELECT conv_id, {'role': role, 'text': text} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS i FROM turns),
+ids AS (SELECT conv_id, hex(encode(conv_id::VARCHAR)) AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+convs AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1]))) % 6 AS h FROM ids, steps),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, o.i, o.t FROM convs c JOIN ordered o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.i, o.t FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.i > c.h),
+paths AS (SELECT c.conv_id, coalesce(p.path, []) AS path FROM convs c LEFT JOIN (SELECT conv_id, list(t ORDER BY own, i) AS path FROM rebuilt GROUP BY 1) p USING (conv_id)),
+begun AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM paths),
+nodes AS (
+  SELECT d, path[:d] AS key, min(conv_id) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(path[d].text)) END AS own,
+    sha256(coalesce(string_agg(CASE WHEN len(path) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends
+  FROM begun GROUP BY 1, 2),
+children AS (SELECT d - 1 AS d, key[:d - 1] AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+told AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.key = n.key),
+sums AS (SELECT e AS d, key[:e] AS key, sum((n_children = 0)::BIGINT) AS leaves, sum(own) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM told) GROUP BY 1, 2)
+SELECT t.conv_id, t.d::BIGINT AS depth, p.conv_id AS parent_conv_id, t.n AS n_convs, t.n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, t.ends AS ends_sha256
+FROM told t JOIN sums s ON s.d = t.d AND s.key = t.key LEFT JOIN nodes p ON p.d = t.d - 1 AND p.key = t.key[:t.d - 1]""",
 }
