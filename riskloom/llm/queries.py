@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_trie, cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, token_files, url_filters
+from . import collocations, conversation_trie, cover_tree, main_text, ngram_join, packing, pieces, prefix_forest, quality, sharding, suffix_dedup, token_files, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.temporal_filter(pages, list_changes(pages), "page_id").withColumnRenamed("id", "page_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"), 100, 5, 2000)
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_nodes(_read(spark, sf_dir, "conversations"))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_quality": op9_quality,
     "op10_url_filters": op10_url_filters,
+    "op11_collocations": op11_collocations,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_token_files": op13_token_files,
 }
@@ -170,6 +175,24 @@ hits AS (
   GROUP BY 1, 2)
 SELECT c.page_id, c.url, CAST(c.fetched_at AS DATE) AS fetched_at, c.host, coalesce(h.n_active, 0) AS n_active, h.n_active IS NOT NULL AS blocked, h.first_list, h.matched_domain
 FROM caps c LEFT JOIN hits h ON c.host = h.host AND c.fetched_at = h.fetched_at""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY 1),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) s(k)),
+phrases AS (SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM places GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+inner_ones AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + k - 1], ' ') AS phrase, max(f) AS f
+  FROM phrases, range(2, 5) s(k), range(1, 5) t(i) WHERE k < size AND i + k - 1 <= size GROUP BY 1, 2),
+kept AS (SELECT p.lang, p.phrase, p.size, p.f AS a FROM phrases p LEFT JOIN inner_ones i ON i.lang = p.lang AND i.phrase = p.phrase WHERE p.size >= 2 AND (i.f IS NULL OR 100 * i.f < 100 * p.f)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, n, k, l.f AS l, r.f AS r, (1000 * c.a * n) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS w FROM kept) c JOIN totals t ON t.lang = c.lang
+  JOIN phrases l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ') JOIN phrases r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT lang, phrase, a, n, k, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
     # the checksum of an id's digits as in op5
     "op12_conversation_trie": r"""
 WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM bits WHERE k < 8),
