@@ -1,18 +1,22 @@
-"""Embedding stand-in and reduction, boosted voters, stacking and calibration on MLlib."""
+"""Embedding stand-in and reduction, boosted voters and their search, stacking and calibration."""
 
 from __future__ import annotations
 
 import json
 import random
+from threading import Lock
 
 import numpy as np
-
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+import pyarrow as pa
+from pyspark import InheritableThread
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, PCA, PCAModel, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .splits import early_stop, stratified_folds
+from . import boosting, metrics
+from .boosting import Trees, probability
+from .splits import early_stop, order_key, stratified_folds
 from .stages import stage
 
 # The search grid of the boosted trees, most trees, rounds without gain before they stop, width after the reduction.
@@ -27,8 +31,10 @@ GRID = {
     "reg_lambda": [2.0, 5.0, 10.0],
 }
 MOST_TREES, PATIENCE, REDUCED = 1000, 100, 128
-#: What MLlib takes of the grid, and as what; the rest (gamma, reg_alpha, reg_lambda) has no counterpart there, is drawn and reported, and changes no tree.
-TAKEN = {"max_depth": ("maxDepth", int), "learning_rate": ("stepSize", float), "subsample": ("subsamplingRate", float), "colsample_bytree": ("featureSubsetStrategy", str), "min_child_weight": ("minInstancesPerNode", int)}
+#: Rows up to which each is left out in earnest.
+EXACT_ROWS = 20_000
+#: Share of a fit's rows that tell when to stop; fits of the search that are in flight at once where each is itself spread over tasks.
+STOP_SHARE, IN_FLIGHT = 0.15, 4
 
 
 def pooled(tokens: DataFrame, id_col: str, vector_col: str, mask_col: str) -> DataFrame:
@@ -53,13 +59,19 @@ def embedded(rows: DataFrame, text_col: str, dim: int = 256, out: str = "embeddi
     return normed.withColumn(out, vector_to_array("_n")).drop("_t", "_w", "_2", "_all", "_h", "_n")
 
 
-def reducer(train: DataFrame, vector_col: str, k: int = REDUCED) -> PCAModel:
-    """Principal components of the training rows; validation and test rows are only transformed."""
-    return PCA(k=k, inputCol="_v", outputCol="_r").fit(train.select(array_to_vector(vector_col).alias("_v")))
+def reducer(train: DataFrame, vector_col: str, k: int = REDUCED) -> PCAModel | None:
+    """Principal components of the training rows, at most as many as the vectors have; validation and test rows are only transformed. None of no rows."""
+    given = train.where(F.col(vector_col).isNotNull()).select(array_to_vector(vector_col).alias("_v"))
+    first = given.first()
+    return PCA(k=min(k, len(first["_v"])), inputCol="_v", outputCol="_r").fit(given) if first else None
 
 
-def reduced(rows: DataFrame, model: PCAModel, vector_col: str, out: str = "reduced") -> DataFrame:
-    return model.transform(rows.withColumn("_v", array_to_vector(vector_col))).withColumn(out, vector_to_array("_r")).drop("_v", "_r")
+def reduced(rows: DataFrame, model: PCAModel | None, vector_col: str, out: str = "reduced") -> DataFrame:
+    """rows with the vector's components; without a model the vector as it is, null stays null."""
+    if model is None:
+        return rows.withColumn(out, F.col(vector_col).cast("array<double>"))
+    done = model.transform(rows.withColumn("_v", array_to_vector(F.coalesce(F.col(vector_col).cast("array<double>"), F.array_repeat(F.lit(0.0), model.pc.numRows)))))
+    return done.withColumn(out, F.when(F.col(vector_col).isNotNull(), vector_to_array("_r"))).drop("_v", "_r")
 
 
 def assembled(rows: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
@@ -68,45 +80,24 @@ def assembled(rows: DataFrame, columns: list[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=columns, outputCol=out).transform(narrow)
 
 
-def weighted(rows: DataFrame, label_col: str, balanced: bool = False) -> DataFrame:
-    """rows with weight: positives weigh negatives / positives, or each class n / (2 * its size)."""
-    n = rows.groupBy(label_col).count().collect()
-    count = {r[label_col]: r["count"] for r in n}
-    total, pos, neg = sum(count.values()), count.get(1, 0), count.get(0, 0)
-    w = (total / (2 * max(pos, 1)), total / (2 * max(neg, 1))) if balanced else (neg / max(pos, 1), 1.0)
-    return rows.withColumn("weight", F.when(F.col(label_col) == 1, w[0]).otherwise(w[1]))
-
+def scale_of(rows: DataFrame, label_col: str) -> float:
+    """What a positive weighs: negatives / positives, 1 if a class is missing."""
+    return float(metrics.class_stats(rows, label_col).first()["scale_pos_weight"]) or 1.0
 
-def boosted(train: DataFrame, label_col: str, features_col: str = "features", trees: int = 20, params: dict | None = None) -> GBTClassificationModel:
-    """So many trees of depth 4, step 0.05 and a fixed seed, unless params, by the grid's names, say otherwise."""
-    given = {"maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42} | {TAKEN[k][0]: TAKEN[k][1](v) for k, v in (params or {}).items() if k in TAKEN}
-    gbt = GBTClassifier(labelCol="_y", featuresCol=features_col, weightCol="weight", maxIter=trees, **given)
-    return gbt.fit(weighted(train, label_col).withColumn("_y", F.col(label_col).cast("double")))
 
-
-def stops_at(losses: list[float], patience: int) -> int:
-    """Number of trees of the least loss, looked for until `patience` rounds in a row bring no smaller one."""
-    best = 0
-    for i, x in enumerate(losses):
-        if x < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+def _weight(label_col: str, scale: float) -> Column:
+    return F.when(F.col(label_col) == 1, F.lit(scale)).otherwise(F.lit(1.0))
 
 
-def boosted_early(rows: DataFrame, label_col: str, validation_col: str, features_col: str = "features", trees: int = MOST_TREES, patience: int = PATIENCE, params: dict | None = None) -> GBTClassificationModel:
-    """Trees of the rows that aren't marked for validation, as many as the marked ones' loss bears out. The first trees of a longer run are those of a shorter one, so that it is fitted again, shorter."""
-    fit = rows.where(~F.col(validation_col))
-    model = boosted(fit, label_col, features_col, trees, params)
-    marked = weighted(rows.where(F.col(validation_col)), label_col).withColumn("_y", F.col(label_col).cast("double"))
-    best = stops_at(model.evaluateEachIteration(marked), patience)
-    return model if best == trees else boosted(fit, label_col, features_col, best, params)
+def boosted(train: DataFrame, label_col: str, id_col: str, features_col: str = "features", trees: int = 20, params: dict | None = None) -> Trees:
+    """So many trees of depth 4, step 0.05 and a fixed seed, unless params, by the grid's names, say otherwise. Positives weigh negatives / positives."""
+    return boosting.fit(train, label_col, id_col, features_col, _weight(label_col, scale_of(train, label_col)), F.lit(False), trees, PATIENCE, params or {})
 
 
-def probability(model, rows: DataFrame, out: str, features_col: str = "features") -> DataFrame:
-    model = model.copy().setFeaturesCol(features_col)
-    return model.transform(rows).withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+def boosted_early(rows: DataFrame, label_col: str, id_col: str, validation_col: str, features_col: str = "features", trees: int = MOST_TREES, patience: int = PATIENCE, params: dict | None = None) -> Trees:
+    """Trees of the rows that aren't marked for validation, as many as the marked ones' loss bears out: growing ends when `patience` trees in a row bring no smaller one."""
+    scale = scale_of(rows.where(~F.col(validation_col)), label_col)
+    return boosting.fit(rows, label_col, id_col, features_col, _weight(label_col, scale), F.col(validation_col), trees, patience, params or {})
 
 
 def drawn(n: int = 20, seed: int = 42) -> list[dict]:
@@ -115,45 +106,167 @@ def drawn(n: int = 20, seed: int = 42) -> list[dict]:
     return [{k: rng.choice(v) for k, v in GRID.items()} for _ in range(n)]
 
 
-def tuned(train: DataFrame, label_col: str, id_col: str, draws: list[dict], auc, features_col: str = "features", trees: int = MOST_TREES, patience: int = PATIENCE, folds: int = 5) -> tuple[dict, int, float]:
-    """(parameters, number of trees, mean AUC) of the draw with the best mean AUC over folds, the first of equal ones. auc: (rows, label, score) -> DataFrame with roc_auc."""
+def _stops(y: np.ndarray, order: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """splits.early_stop() of the rows inside, on columns: the last STOP_SHARE of each class in the order of digests."""
+    out = np.zeros(len(y), bool)
+    for label in np.unique(y[inside]):
+        rows = np.flatnonzero(inside & (y == label))
+        rows = rows[np.argsort(order[rows], kind="stable")]
+        out[rows[len(rows) - int(np.ceil(len(rows) * STOP_SHARE)) :]] = True
+    return out
+
+
+def auc_of(y: np.ndarray, score: np.ndarray) -> float:
+    """Area under the ROC curve, ties half; one half if a class is missing."""
+    pos, neg = int((y == 1).sum()), int((y != 1).sum())
+    if not pos or not neg:
+        return 0.5
+    _, place, count = np.unique(score, return_inverse=True, return_counts=True)
+    ends = np.cumsum(count)
+    rank = (ends - (count - 1) / 2.0)[place]
+    return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / pos / neg)
+
+
+def folded(train: DataFrame, label_col: str, id_col: str, features: list[str], folds: int = 5) -> DataFrame:
+    """train with its fold, written once for all fits over it."""
+    return stage(stratified_folds(train.select(id_col, label_col, *features), label_col, id_col, folds), "folds")
+
+
+def _binned(rows: DataFrame, label_col: str, id_col: str, features_col: str) -> tuple[DataFrame, list[np.ndarray]]:
+    cuts = boosting.quantile_cuts(rows, features_col)
+    keyed = rows.withColumn("_order", order_key(42, id_col)).withColumn("_o2", order_key(0, id_col))
+    return stage(boosting.binned(keyed, cuts, features_col, label_col, id_col, F.lit(1.0), F.lit(False), "fold", F.concat("_order", "_o2").alias("order")), "binned"), cuts
+
+
+def _at_once(work: list, most: int) -> list:
+    """Results of functions that run Spark jobs, in order, `most` in flight at once; the first error is raised."""
+    out, errors, left = [None] * len(work), [], iter(enumerate(work))
+
+    def run() -> None:
+        for i, f in left_locked():
+            try:
+                out[i] = f()
+            except Exception as error:  # noqa: BLE001
+                errors.append(error)
+                return
+
+    lock = Lock()
+
+    def left_locked():
+        while not errors:
+            with lock:
+                found = next(left, None)
+            if found is None:
+                return
+            yield found
+
+    threads = [InheritableThread(target=run) for _ in range(min(most, len(work)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return out
+
+
+def tuned(train: DataFrame, label_col: str, id_col: str, draws: list[dict], features_col: str = "features", trees: int = MOST_TREES, patience: int = PATIENCE, folds: int = 5, in_flight: int = IN_FLIGHT) -> tuple[dict, int, float]:
+    """(parameters, number of trees, mean AUC) of the draw with the best mean AUC over folds, the first of equal ones.
+
+    Every (draw, fold) is a fit of its own on rows that are written and binned once; bins are quantiles of all rows. Where the bins fit a task, each fit is one Spark task and all are in flight together; where they don't, the fits are
+    spread over tasks themselves, and `in_flight` of them run at once. Both give the same trees. Positives weigh what they do in train as a whole.
+    """
+    rows = folded(train, label_col, id_col, [features_col], folds)
+    table, cuts = _binned(rows, label_col, id_col, features_col)
+    m, scale = boosting.held(table, len(cuts)), scale_of(rows, label_col)
+    pairs = [(params, k) for params in draws for k in range(folds)]
+    if m is not None:
+
+        def fit(params: dict, k: int):
+            def work(m: boosting.Matrix, cuts: list[np.ndarray]) -> str:
+                keep = m.more["fold"] != k
+                model = boosting.fit_held(m, _stops(m.y, m.more["order"], keep), keep, np.where(m.y == 1, scale, 1.0), cuts, trees, patience, params)
+                return json.dumps([auc_of(m.y[~keep], boosting.margin_of_bins(model, m.bins[~keep], cuts)), len(model)])
+
+            return work
+
+        got = boosting.in_tasks(train.sparkSession, m, cuts, [fit(*x) for x in pairs], json.loads)
+    else:
+
+        def spread(params: dict, k: int):
+            def work() -> tuple[float, int]:
+                model = boosted_early_scaled(rows.where(F.col("fold") != k), label_col, id_col, features_col, scale, cuts, trees, patience, params)
+                scores = probability(model, rows.where(F.col("fold") == k), "p", features_col)
+                found = metrics.curves(scores, label_col, "p").first()["roc_auc"]
+                return 0.5 if found is None else found, len(model)
+
+            return work
+
+        got = _at_once([spread(*x) for x in pairs], in_flight)
     best = None
-    rows = stage(stratified_folds(train, label_col, id_col, folds), "folds")
-    for params in draws:
-        got = []
-        for k in range(folds):
-            fit = early_stop(rows.where(F.col("fold") != k), label_col, id_col)
-            model = boosted_early(fit, label_col, "is_validation", features_col, trees, patience, params)
-            scores = probability(model, rows.where(F.col("fold") == k), "p", features_col)
-            got.append((auc(scores, label_col, "p").first()["roc_auc"], model.getNumTrees))
-        mean = float(np.mean([a for a, _ in got]))
+    for i, params in enumerate(draws):
+        mine = got[i * folds : (i + 1) * folds]
+        mean = float(np.mean([a for a, _ in mine]))
         if best is None or mean > best[2]:
-            best = params, round(float(np.mean([n for _, n in got]))), mean
+            best = params, max(1, round(float(np.mean([n for _, n in mine])))), mean
     return best
 
 
+def boosted_early_scaled(fit: DataFrame, label_col: str, id_col: str, features_col: str, scale: float, cuts: list[np.ndarray], trees: int, patience: int, params: dict, seed: int = 42) -> Trees:
+    """The fit of one draw and fold where rows are spread: cuts and the positives' weight are given, and the rows that tell when to stop are the last of each class."""
+    marked = early_stop(fit, label_col, id_col, STOP_SHARE)
+    table = stage(boosting.binned(marked, cuts, features_col, label_col, id_col, _weight(label_col, scale), F.col("is_validation")), "binned")
+    return boosting.fit_spread(table, cuts, trees, patience, params, seed)
+
+
 def out_of_fold(train: DataFrame, label_col: str, id_col: str, voters: dict[str, str], trees: int = MOST_TREES, patience: int = PATIENCE, folds: int = 5, params: dict[str, dict] | None = None) -> DataFrame:
-    """(id, label, one probability a voter): each fold is scored by models of the others, which stop early on rows of their own."""
-    rows, parts = stage(stratified_folds(train, label_col, id_col, folds), "folds"), []
-    for k in range(folds):
-        fit = stage(early_stop(rows.where(F.col("fold") != k), label_col, id_col, seed=42 + k), "fit")
-        out = rows.where(F.col("fold") == k)
-        for name, features_col in voters.items():
-            model = boosted_early(fit, label_col, "is_validation", features_col, trees, patience, (params or {}).get(name))
-            out = probability(model, out, name, features_col)
-        parts.append(out.select(id_col, label_col, *voters))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return stage(whole, "oof")
+    """(id, label, one probability a voter): each fold is scored by models of the others, which stop early on rows of their own. All voters and folds are fitted as tuned() fits."""
+    rows, models = folded(train, label_col, id_col, list(voters.values()), folds), {}
+    for name, features_col in voters.items():
+        given, (table, cuts) = (params or {}).get(name) or {}, _binned(rows, label_col, id_col, features_col)
+        m = boosting.held(table, len(cuts))
+        if m is not None:
+
+            def fit(k: int, given: dict = given):
+                def work(m: boosting.Matrix, cuts: list[np.ndarray]) -> str:
+                    keep = m.more["fold"] != k
+                    own = keep & ~(stop := _stops(m.y, m.more["order"], keep))
+                    scale = float((own & (m.y != 1)).sum() / max((own & (m.y == 1)).sum(), 1)) or 1.0
+                    return boosting.fit_held(m, stop, keep, np.where(m.y == 1, scale, 1.0), cuts, trees, patience, given, 42 + k).to_json()
+
+                return work
+
+            models[name] = boosting.in_tasks(train.sparkSession, m, cuts, [fit(k) for k in range(folds)], Trees.from_json)
+        else:
+
+            def spread(k: int, features_col: str = features_col, cuts: list = cuts, given: dict = given):
+                fit = rows.where(F.col("fold") != k)
+                own = early_stop(fit, label_col, id_col, STOP_SHARE).where("not is_validation")
+                return lambda: boosted_early_scaled(fit, label_col, id_col, features_col, scale_of(own, label_col), cuts, trees, patience, given, 42 + k)
+
+            models[name] = _at_once([spread(k) for k in range(folds)], IN_FLIGHT)
+    for name, features_col in voters.items():
+        rows = boosting.probability_by(models[name], rows, name, features_col, "fold")
+    return stage(rows.select(id_col, label_col, *voters), "oof")
+
+
+def _balanced(rows: DataFrame, label_col: str, balanced: bool) -> DataFrame:
+    """rows with weight: each class n / (2 * its size), or 1."""
+    if not balanced:
+        return rows.withColumn("weight", F.lit(1.0))
+    count = metrics.class_stats(rows, label_col).first()
+    pos, neg = count["positives"], count["negatives"]
+    return rows.withColumn("weight", F.when(F.col(label_col) == 1, (pos + neg) / (2.0 * max(pos, 1))).otherwise((pos + neg) / (2.0 * max(neg, 1))))
 
 
 def logistic(rows: DataFrame, label_col: str, inputs: list[str], balanced: bool = True, c: float = 1.0) -> LogisticRegressionModel:
-    """Logistic regression with an L2 penalty of strength 1 / c over the whole sum, balanced class weights if asked."""
-    rows = weighted(rows, label_col, True) if balanced else rows.withColumn("weight", F.lit(1.0))
-    given = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows.withColumn("_y", F.col(label_col).cast("double")))
-    total = given.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(labelCol="_y", weightCol="weight", maxIter=1000, tol=1e-9, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False).fit(given)
+    """Logistic regression with an L2 penalty of strength 1 / c over the whole sum, balanced class weights if asked. Of no rows a model that gives one half."""
+    rows = _balanced(rows, label_col, balanced)
+    total = rows.agg(F.sum("weight")).first()[0]
+    if not total:  # two rows that tell nothing
+        rows, total = rows.sparkSession.createDataFrame([(y, 1.0, *(0.0 for _ in inputs)) for y in (0, 1)], f"`{label_col}` int, weight double, " + ", ".join(f"`{x}` double" for x in inputs)), 2.0
+    given = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows.withColumn("_y", F.col(label_col).cast("double")).select("_y", "weight", *inputs))
+    return LogisticRegression(labelCol="_y", weightCol="weight", maxIter=1000, tol=1e-9, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, family="binomial").fit(given)
 
 
 def calibrator(val: DataFrame, label_col: str, score_col: str) -> LogisticRegressionModel:
@@ -169,9 +282,55 @@ def logistic_score(model: LogisticRegressionModel, *inputs: str) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def left_out(rows: DataFrame, model: LogisticRegressionModel, label_col: str, inputs: list[str], balanced: bool = True, c: float = 1.0, out: str = "loo_score") -> DataFrame:
-    """Each row's probability under the model without it, by one Newton step from the whole model: one aggregate of a small matrix, then column arithmetic, where n refits would not do."""
-    rows = weighted(rows, label_col, True) if balanced else rows.withColumn("weight", F.lit(1.0))
+def _without_each(x: np.ndarray, y: np.ndarray, begin: np.ndarray, all_x: np.ndarray, all_y: np.ndarray, balanced: bool, penalty: float) -> np.ndarray:
+    """Scores of rows (x, y) under models of all rows but one such row each: Newton's steps from the whole model's coefficients, for many rows at once, until no coefficient moves."""
+    k = all_x.shape[1]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    products = np.stack([all_x[:, i] * all_x[:, j] for i, j in pairs], 1)
+    ridge = np.diag([1e-12] + [penalty] * (k - 1))
+    pos, neg = (all_y == 1).sum() - (y == 1), (all_y != 1).sum() - (y != 1)
+    up, down = ((pos + neg) / (2.0 * np.maximum(n, 1)) if balanced else np.ones(len(x)) for n in (pos, neg))
+    beta, own = np.tile(begin, (len(x), 1)), np.where(y == 1, up, down)
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-beta @ all_x.T))
+        weight = np.where(all_y == 1, up[:, None], down[:, None])
+        mine = 1.0 / (1.0 + np.exp(-(beta * x).sum(1)))
+        slope = (weight * (p - all_y)) @ all_x - (own * (mine - y))[:, None] * x + beta @ ridge
+        sums = (weight * p * (1 - p)) @ products
+        curve = np.empty((len(x), k, k))
+        for c, (i, j) in enumerate(pairs):
+            curve[:, i, j] = curve[:, j, i] = sums[:, c] - own * mine * (1 - mine) * x[:, i] * x[:, j] + ridge[i, j]
+        step = np.linalg.solve(curve, slope[..., None])[..., 0]
+        beta = beta - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return 1.0 / (1.0 + np.exp(-(beta * x).sum(1)))
+
+
+def left_out(rows: DataFrame, model: LogisticRegressionModel, label_col: str, inputs: list[str], balanced: bool = True, c: float = 1.0, out: str = "loo_score", most: int = EXACT_ROWS) -> DataFrame:
+    """Each row's probability under the model without it. Of an empty table no rows.
+
+    Up to `most` rows, each is left out in earnest: tasks get the few columns of all rows once, and refit from the whole model's coefficients, class weights included. Beyond, one Newton step from the whole model stands for the refit:
+    one aggregate of a small matrix, then column arithmetic; class weights stay. model: of logistic(), with the same c and weights.
+    """
+    given = rows.select(F.col(label_col).cast("double").alias("y"), *(F.col(x).cast("double") for x in inputs))
+    if rows.limit(most + 1).count() > most:
+        return _one_step(rows, model, label_col, inputs, balanced, c, out)
+    all_y, *columns = (x.to_numpy() for x in given.toArrow().columns)
+    known = rows.sparkSession.sparkContext.broadcast((np.stack([np.ones(len(all_y)), *columns], 1), all_y, np.array([model.intercept, *model.coefficients.toArray()])))
+
+    @F.arrow_udf("double")
+    def refitted(y: pa.Array, *x: pa.Array) -> pa.Array:
+        (all_x, all_y, begin), own = known.value, np.stack([np.ones(len(y)), *(v.to_numpy() for v in x)], 1)
+        size = max(1, (1 << 20) // max(len(all_y), 1))
+        parts = [_without_each(own[a : a + size], y.to_numpy()[a : a + size], begin, all_x, all_y, balanced, 1.0 / c) for a in range(0, len(y), size)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return rows.withColumn(out, refitted(F.col(label_col).cast("double"), *(F.col(x).cast("double") for x in inputs)))
+
+
+def _one_step(rows: DataFrame, model: LogisticRegressionModel, label_col: str, inputs: list[str], balanced: bool, c: float, out: str) -> DataFrame:
+    rows = _balanced(rows, label_col, balanced)
     p = logistic_score(model, *inputs)
     x = [F.lit(1.0), *map(F.col, inputs)]
     curve = F.col("weight") * p * (1 - p)
@@ -183,17 +342,3 @@ def left_out(rows: DataFrame, model: LogisticRegressionModel, label_col: str, in
     moved = lever * F.col("weight") * (F.col(label_col) - p) / (1 - curve * lever)
     z = F.log(p / (1 - p)) - moved
     return rows.withColumn(out, 1 / (1 + F.exp(-z))).drop("weight")
-
-
-def save_bundle(path: str, numeric: GBTClassificationModel, text: GBTClassificationModel, reduction: PCAModel, meta: LogisticRegressionModel, platt: LogisticRegressionModel, about: dict, spark) -> None:
-    """All models below one folder, with what else scoring needs as JSON."""
-    for name, model in (("numeric", numeric), ("text", text), ("reduction", reduction), ("meta", meta), ("platt", platt)):
-        model.write().overwrite().save(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
-
-
-def load_bundle(path: str, spark) -> dict:
-    kinds = {"numeric": GBTClassificationModel, "text": GBTClassificationModel, "reduction": PCAModel, "meta": LogisticRegressionModel, "platt": LogisticRegressionModel}
-    return {k: kind.load(f"{path}/{k}") for k, kind in kinds.items()} | {"about": json.loads(spark.read.text(f"{path}/about").first()[0])}
-
-

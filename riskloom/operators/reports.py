@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import PCAModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
-from . import dedup, explain, html_features, metrics, models, splits
+from . import boosting, dedup, explain, html_features, metrics, models, splits
+from .boosting import Trees
+from .rows import keyed
 from .stages import stage
 
 #: Width of one channel's stand-in embedding.
@@ -19,54 +22,73 @@ CHANNEL = 128
 
 @dataclass
 class Bundle:
-    numeric: GBTClassificationModel
-    text: GBTClassificationModel
-    reduction: PCAModel
+    """All that scoring needs. A bundle that load() gives scores as the one that was saved."""
+
+    numeric: Trees
+    text: Trees
+    reduction: PCAModel | None
     meta: LogisticRegressionModel
     platt: LogisticRegressionModel
     means: dict[str, tuple[float, float]]
 
-
-def described(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Numeric features, channels and the two channels' embedding of each page, written once."""
-    rows = html_features.features(pages, id_col, html_col).join(html_features.text_channels(pages, id_col, html_col), id_col)
+    def save(self, spark: SparkSession, path: str, about: dict | None = None) -> None:
+        """Write the models below one folder, with scaling, trees and what else is told about them as JSON; what was there is replaced."""
+        for name in ("reduction", "meta", "platt"):
+            if (model := getattr(self, name)) is not None:
+                model.write().overwrite().save(f"{path}/{name}")
+        said = {"numeric": self.numeric.to_json(), "text": self.text.to_json(), "means": self.means, "reduced": self.reduction is not None, "about": about or {}}
+        spark.createDataFrame([(json.dumps(said),)], "said string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> tuple[Bundle, dict]:
+        """(bundle, what was told about it)."""
+        said = json.loads(spark.read.text(f"{path}/bundle").first()[0])
+        meta, platt = (LogisticRegressionModel.load(f"{path}/{name}") for name in ("meta", "platt"))
+        reduction = PCAModel.load(f"{path}/reduction") if said["reduced"] else None
+        means = {k: (m, s) for k, (m, s) in said["means"].items()}
+        return cls(Trees.from_json(said["numeric"]), Trees.from_json(said["text"]), reduction, meta, platt, means), said["about"]
+
+
+def described(pages: DataFrame, key: str, html_col: str) -> DataFrame:
+    """Numeric features, channels and the two channels' embedding of each page, by a key that is unique, written once. Null html counts as empty."""
+    rows = html_features.features(pages, key, html_col).join(html_features.text_channels(pages, key, html_col), key)
     both = models.embedded(models.embedded(rows, "visible_text", CHANNEL, "_a"), "structural_core", CHANNEL, "_b")
     return stage(both.withColumn("embedding", models.joined_channels(F.col("_a"), F.col("_b"))).drop("_a", "_b"), "described")
 
 
-def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reduction: PCAModel) -> DataFrame:
+def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reduction: PCAModel | None) -> DataFrame:
     """Scaled numeric features and the reduced embedding as the two voters' inputs."""
     scaled = rows.withColumns({f"s_{c}": (F.col(c).cast("double") - m) / s for c, (m, s) in bundle_means.items()})
     numeric = models.assembled(scaled, [f"s_{c}" for c in bundle_means], "x_numeric")
-    from pyspark.ml.functions import array_to_vector
-
     return models.reduced(numeric, reduction, "embedding").withColumn("x_text", array_to_vector("reduced"))
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = 20, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None) -> tuple[Bundle, DataFrame, dict]:
+def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None) -> tuple[Bundle, DataFrame, dict]:
     """(models, test rows with scores, what the training found). Copies never cross the split; scaling and reduction see train alone, the blend out-of-fold scores alone, the calibration val alone.
 
-    draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; without them both voters have `trees` trees of the default parameters. width: of the reduced
-    embedding, at most the embedding's own.
+    draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; 20 of the grid unless others are given. Without any ([]) both voters have `trees` trees of the default
+    parameters. width: of the reduced embedding, at most the embedding's own. Rows keep their ids, repeated and null ones too; rows without a label train nothing. Of an empty table come models without trees and no test rows.
     """
-    bodies = pages.select(id_col, html_col, label_col, html_features.body_of(F.col(html_col)).alias("_body"))
-    groups = dedup.near_groups(bodies, id_col, html_col, label_col, shingled_col="_body")
-    split = splits.group_split(groups, "group_id").select(id_col, "split")
-    rows = stage(described(pages, id_col, html_col).join(pages.select(id_col, label_col), id_col).join(split, id_col), "rows")
+    draws = models.drawn() if draws is None else draws
+    pages, key = keyed(pages.where(F.col(label_col).isNotNull()).select(id_col, html_col, label_col), id_col, html_col, label_col)
+    bodies = pages.select(key, html_col, label_col, html_features.body_of(F.col(html_col)).alias("_body"))
+    groups = dedup.near_groups(bodies, key, html_col, label_col, shingled_col="_body")
+    split = splits.group_split(groups, "group_id").select(key, "split")
+    rows = stage(described(pages, key, html_col).join(pages.select(key, *({id_col, label_col} - {key})), key).join(split, key), "rows")
     fit = rows.where("split = 'train'")
     stats = fit.agg(*(F.avg(c).alias(f"m_{c}") for c in fixed.FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in fixed.FEATURES)).first()
-    means = {c: (float(stats[f"m_{c}"]), float(stats[f"s_{c}"] or 1.0)) for c in fixed.FEATURES}
+    means = {c: (float(stats[f"m_{c}"] or 0.0), float(stats[f"s_{c}"] or 1.0)) for c in fixed.FEATURES}
     reduction = models.reducer(fit, "embedding", width)
     rows = stage(ready(rows, means, reduction), "ready")
     fit, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-    voters, params, sizes = {"p_numeric": "x_numeric", "p_text": "x_text"}, {}, dict.fromkeys(("p_numeric", "p_text"), trees)
+    voters, params, sizes, aucs = {"p_numeric": "x_numeric", "p_text": "x_text"}, {}, dict.fromkeys(("p_numeric", "p_text"), trees), {}
     for name, features_col in voters.items() if draws else ():
-        params[name], sizes[name], _ = models.tuned(fit, label_col, id_col, draws, metrics.curves, features_col, trees, patience)
-    oof = models.out_of_fold(fit, label_col, id_col, voters, trees, patience, params=params)
+        params[name], sizes[name], aucs[name] = models.tuned(fit, label_col, key, draws, features_col, trees, patience)
+    oof = models.out_of_fold(fit, label_col, key, voters, trees, patience, params=params)
     meta = models.logistic(oof, label_col, list(voters))
-    numeric, text = (models.boosted(fit, label_col, features_col, max(sizes[name], 1), params.get(name)) for name, features_col in voters.items())
+    numeric, text = (models.boosted(fit, label_col, key, features_col, sizes[name], params.get(name)) for name, features_col in voters.items())
     blend = lambda part: voted(part, numeric, text, meta)
-    val = stage(blend(val).select(id_col, label_col, "p_blend"), "val")
+    val = stage(blend(val).select(key, label_col, "p_blend"), "val")
     platt = models.calibrator(val, label_col, "p_blend")
     test = stage(blend(rows.where("split = 'test'")).withColumn("p_final", models.logistic_score(platt, "p_blend")), "scored")
     auc = lambda part, score: metrics.curves(part, label_col, score).first()["roc_auc"]
@@ -82,13 +104,13 @@ def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: i
     warned = metrics.warnings(**{k: known[k] for k in ("meta_loo_auc", "meta_val_auc", "cal_loo_auc", "cal_val_auc", "test_auc")})
     count = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
     found |= {"warnings": warned, "n_files": sum(count.values()), "n_phishing": count.get(1, 0), "n_benign": count.get(0, 0)}
-    found |= {"splits": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}, "decision_threshold": fixed.PHISHING_FROM, "params": params, "n_trees": sizes}
-    found |= {"reduced_width": reduction.getK(), "meta_lr_coef": meta.coefficients.toArray().tolist(), "numeric_columns": fixed.FEATURES}
+    found |= {"splits": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}, "decision_threshold": fixed.PHISHING_FROM, "params": params, "cv_auc": aucs}
+    found |= {"n_trees": {"p_numeric": len(numeric), "p_text": len(text)}, "reduced_width": reduction.getK() if reduction else 0, "meta_lr_coef": meta.coefficients.toArray().tolist(), "meta_lr_intercept": float(meta.intercept), "numeric_columns": fixed.FEATURES}
     return Bundle(numeric, text, reduction, meta, platt, means), test, found
 
 
-def voted(rows: DataFrame, numeric: GBTClassificationModel, text: GBTClassificationModel, meta: LogisticRegressionModel) -> DataFrame:
-    both = models.probability(text, models.probability(numeric, rows, "p_numeric", "x_numeric"), "p_text", "x_text")
+def voted(rows: DataFrame, numeric: Trees, text: Trees, meta: LogisticRegressionModel) -> DataFrame:
+    both = boosting.probability(text, boosting.probability(numeric, rows, "p_numeric", "x_numeric"), "p_text", "x_text")
     return both.withColumn("p_blend", models.logistic_score(meta, "p_numeric", "p_text"))
 
 
@@ -101,12 +123,13 @@ def summary(test: DataFrame, label_col: str, found: dict | None = None) -> DataF
     return out.withColumn("training", F.lit(json.dumps(found))) if found else out
 
 
-def scored(pages: DataFrame, bundle: Bundle, id_col: str, html_col: str) -> DataFrame:
-    rows = ready(described(pages, id_col, html_col), bundle.means, bundle.reduction)
+def scored(pages: DataFrame, bundle: Bundle, key: str, html_col: str) -> DataFrame:
+    """Features, votes, the blend and what they come from, by a key that is unique."""
+    rows = ready(described(pages, key, html_col), bundle.means, bundle.reduction)
     done = voted(rows, bundle.numeric, bundle.text, bundle.meta).withColumn("p_final", F.round(models.logistic_score(bundle.platt, "p_blend"), 4))
-    attributed = explain.tree_attributions(done, bundle.numeric, fixed.FEATURES, id_col, "x_numeric").select(id_col, "attributions")
+    attributed = explain.tree_attributions(done, bundle.numeric, fixed.FEATURES, key, "x_numeric").select(key, "attributions")
     parts = explain.blend_contributions(bundle.meta, numeric=F.col("p_numeric"), text=F.col("p_text"))
-    return done.withColumn("contributions", parts).join(attributed, id_col)
+    return done.withColumn("contributions", parts).join(attributed, key)
 
 
 def _vote(score: Column) -> Column:
@@ -115,11 +138,12 @@ def _vote(score: Column) -> Column:
 
 def scan(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(id, url, blend, split_a, split_b, url_risk, shap, error): a page without a URL has an error instead of a scan."""
-    given = pages.select(id_col, ur.normalized(F.coalesce(F.col(url_col), F.lit(""))).alias("url"))
-    both = given.join(scored(pages, bundle, id_col, html_col), id_col)
+    pages, key = keyed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "id", "url", "html")
+    given = pages.select(key, "id", ur.normalized(F.coalesce("url", F.lit(""))).alias("url"))
+    both = given.join(scored(pages, bundle, key, "html"), key)
     fine = F.col("url").isNotNull()
     return both.select(
-        id_col,
+        F.col("id").alias(id_col),
         "url",
         F.when(fine, F.struct(tx.verdict(F.col("p_final")).alias("final_prediction"), F.col("p_final").alias("final_score"))).alias("blend"),
         F.when(fine, _vote(F.col("p_numeric"))).alias("split_a"),
@@ -131,10 +155,11 @@ def scan(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str, html_col:
 
 
 def pipeline_report(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str, html_col: str, final_url_col: str | None = None) -> DataFrame:
-    """(id, url, stages): what every stage made of a page."""
-    last = F.col(final_url_col or url_col)
-    given = pages.select(id_col, F.col(url_col).alias("url"), last.alias("final_url"), F.length(html_col).alias("html_bytes"), tx.title(F.col(html_col)).alias("title"))
-    rows = given.join(scored(pages, bundle, id_col, html_col), id_col)
+    """(id, url, stages): what every stage made of a page, a row a row."""
+    taken = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(final_url_col or url_col).alias("final_url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    pages, key = keyed(taken, "id", "url", "final_url", "html")
+    given = pages.select(key, "id", "url", "final_url", F.length("html").alias("html_bytes"), tx.title(F.col("html")).alias("title"))
+    rows = given.join(scored(pages, bundle, key, "html"), key)
     rated = ur.risk(F.col("final_url"))
     weights = bundle.meta.coefficients.toArray().round(4).tolist()
     cut = lambda c: (F.substring(c, 1, 1500).alias(c), F.length(c).alias(f"{c}_len"))
@@ -155,7 +180,7 @@ def pipeline_report(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str,
             F.col("contributions").alias("shap_contributions"),
         ).alias("meta"),
     )
-    return rows.select(id_col, "url", stages.alias("stages"))
+    return rows.select(F.col("id").alias(id_col), "url", stages.alias("stages"))
 
 
 def diagnose(pages: DataFrame, id_col: str, url_col: str, html_col: str, final_url_col: str | None = None, head: int = 50) -> DataFrame:

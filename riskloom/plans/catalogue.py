@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
-from ..operators import dedup, explain, html_features, metrics, models, reports, splits
+from ..operators import boosting, dedup, explain, html_features, metrics, models, reports, splits
 from ..operators.stages import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,7 +380,7 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    return models.reduced(rows, models.reducer(rows.where("vec_id % 5 <> 0"), "v", 16), "v").select("vec_id", "reduced")
+    return models.reduced(rows, models.reducer(rows.where("vec_id % 5 <> 0"), "v"), "v").select("vec_id", "reduced")
 
 
 def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,23 +391,24 @@ def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gbt_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.early_stop(_numeric(spark, sf_dir), "label", "doc_id")
-    model = models.boosted_early(rows, "label", "is_validation", trees=20)
-    return models.probability(model, rows, "p").select("doc_id", "label", F.round("p", 6).alias("p"), tx.verdict(F.col("p")).alias("verdict"))
+    model = models.boosted_early(rows, "label", "doc_id", "is_validation")
+    return boosting.probability(model, rows, "p").select("doc_id", "label", F.round("p", 6).alias("p"), tx.verdict(F.col("p")).alias("verdict"))
 
 
 @query()
 def tuned_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two draws of the search, three folds, then the winner on all rows."""
+    """The whole search: 20 draws, 5 folds, up to 1,000 trees with a patience of 100; then the winner on all rows."""
     rows = stage(_numeric(spark, sf_dir).select("doc_id", "label", "features"), "numeric")
-    params, trees, auc = models.tuned(rows, "label", "doc_id", models.drawn(2), metrics.curves, trees=5, folds=3)
-    model = models.boosted(rows, "label", trees=max(trees, 1), params=params)
-    return metrics.model_stats(models.probability(model, rows, "p"), "label", "p").withColumn("cv_auc", F.lit(auc)).withColumn("trees", F.lit(trees))
+    params, trees, auc = models.tuned(rows, "label", "doc_id", models.drawn())
+    model = models.boosted(rows, "label", "doc_id", trees=trees, params=params)
+    told = {k: F.lit(v) for k, v in (("cv_auc", auc), ("trees", trees), *params.items())}
+    return metrics.model_stats(boosting.probability(model, rows, "p"), "label", "p").withColumns(told)
 
 
 @query()
 def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _numeric(spark, sf_dir)
-    return explain.tree_attributions(rows, models.boosted(rows, "label", trees=5), fixed.FEATURES, "doc_id")
+    rows = splits.early_stop(_numeric(spark, sf_dir), "label", "doc_id")
+    return explain.tree_attributions(rows, models.boosted_early(rows, "label", "doc_id", "is_validation"), fixed.FEATURES, "doc_id")
 
 
 def _two_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,12 +438,12 @@ def loo_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, test, found = reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label", trees=5)
+    _, test, found = reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label")
     return reports.summary(test, "label", found)
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> reports.Bundle:
-    return reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label", trees=5)[0]
+    return reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label")[0]
 
 
 @query()

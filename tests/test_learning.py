@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import dedup, explain, metrics, models, splits
+from riskloom.operators import boosting, dedup, explain, metrics, models, splits
 from riskloom.operators.graph import components
 
 
@@ -74,18 +74,22 @@ def numbers(spark):
 
 def test_attributions_add_up_and_are_shapley_values(numbers):
     rows = models.assembled(numbers, ["a", "b", "c"])
-    model = models.boosted(rows, "y", trees=3, params={"subsample": 1.0})
-    p = {r.id: r.p for r in models.probability(model, rows, "p").select("id", "p").collect()}
+    model = models.boosted(rows, "y", "id", trees=6, params={"subsample": 1.0, "max_depth": 5})
+    p = {r.id: r.p for r in boosting.probability(model, rows, "p").select("id", "p").collect()}
     for r in explain.tree_attributions(rows, model, ["a", "b", "c"], "id").collect():
         assert 1 / (1 + math.exp(-r.total)) == pytest.approx(p[r.id], abs=1e-9)
         assert [abs(t.impact) for t in r.attributions] == sorted((abs(t.impact) for t in r.attributions), reverse=True)
-    found = explain.leaves(model)
+    found = explain.paths(model)
     x = np.array(rows.select("a", "b", "c").limit(5).collect(), np.float32).astype(float)
 
     def game(row, known):
-        return sum(v * math.prod(float(low < row[f] <= high) if f in known else share for f, (low, high, share) in path.items()) for v, path in found)
+        total = model.base
+        for p in found:
+            for value, features, lows, highs, shares in zip(p.value, p.feature, p.low, p.high, p.share, strict=True):
+                total += value * math.prod(share if f >= 0 and f not in known else float(f < 0 or low < row[f] <= high) for f, low, high, share in zip(features, lows, highs, shares, strict=True))
+        return total
 
-    phi, base = explain.shapley(x, found)
+    phi, base = explain.shapley(x, found, model.base)
     for i, row in enumerate(x):
         for f in range(3):
             others = [k for k in range(3) if k != f]
@@ -94,31 +98,19 @@ def test_attributions_add_up_and_are_shapley_values(numbers):
         assert base == pytest.approx(game(row, set()))
 
 
-def test_one_step_leave_one_out_is_close_to_refitting(numbers):
-    whole = models.logistic(numbers, "y", ["a", "b"])
-    got = {r.id: r.loo_score for r in models.left_out(numbers, whole, "y", ["a", "b"]).collect()}
+@pytest.mark.parametrize(("balanced", "c"), [(True, 1.0), (False, 1e10)])
+def test_leaving_one_out_is_refitting(numbers, balanced, c):
+    whole = models.logistic(numbers, "y", ["a", "b"], balanced, c)
+    exact = {r.id: r.loo_score for r in models.left_out(numbers, whole, "y", ["a", "b"], balanced, c).collect()}
+    near = {r.id: r.loo_score for r in models.left_out(numbers, whole, "y", ["a", "b"], balanced, c, most=10).collect()}
     for i in (0, 50, 120):
-        refit = models.logistic(numbers.where(F.col("id") != i), "y", ["a", "b"])
-        assert got[i] == pytest.approx(numbers.where(F.col("id") == i).select(models.logistic_score(refit, "a", "b")).first()[0], abs=0.02)
+        refit = models.logistic(numbers.where(F.col("id") != i), "y", ["a", "b"], balanced, c)
+        want = numbers.where(F.col("id") == i).select(models.logistic_score(refit, "a", "b")).first()[0]
+        assert exact[i] == pytest.approx(want, abs=1e-6)
+        assert near[i] == pytest.approx(want, abs=0.02)
+    assert models.left_out(numbers.limit(0), models.logistic(numbers.limit(0), "y", ["a", "b"]), "y", ["a", "b"]).count() == 0
 
 
 def test_pooling_takes_the_mask(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [3.0, 4.0], 1), (1, [9.0, 9.0], 0)], "id long, v array<double>, m int")
     assert models.pooled(rows, "id", "v", "m").first().pooled == [2.0, 3.0]
-
-
-def test_trees_stop_after_rounds_without_gain():
-    assert models.stops_at([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
-    assert models.stops_at([3.0, 2.0, 2.5, 2.4, 1.0], 3) == 5
-    assert models.stops_at([1.0], 100) == 1
-
-
-def test_early_trees_are_the_first_of_a_longer_run(spark):
-    rng = random.Random(2)
-    rows = [(i, [float(rng.random()) for _ in range(3)]) for i in range(120)]
-    frame = models.assembled(spark.createDataFrame([(i, *x, int(x[0] + 0.3 * rng.random() > 0.6), i % 5 == 0) for i, x in rows], "id long, a double, b double, c double, y int, is_validation boolean"), ["a", "b", "c"])
-    model = models.boosted_early(frame, "y", "is_validation", trees=6, patience=2)
-    whole = models.boosted(frame.where("not is_validation"), "y", trees=6)
-    assert 1 <= model.getNumTrees <= 6
-    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees[: model.getNumTrees]]
-    assert set(models.drawn(3)[0]) == set(models.GRID)

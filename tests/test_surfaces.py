@@ -27,7 +27,7 @@ def test_the_extractor_is_a_pipeline_stage(spark, sf001, tmp_path):
 def test_training_scanning_and_saving(spark, tmp_path):
     html = F.concat(F.lit("<p>"), F.sha2(F.col("doc_id").cast("string"), 256), F.repeat(F.lit("<a href='http://x.org/login'>in</a>"), (F.col("label") * 3).cast("int")), F.lit("</p>"))
     rows = spark.range(80).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label")).withColumn("html", html)
-    bundle, test, found = reports.train(rows, "doc_id", "html", "label", trees=2, width=16)
+    bundle, test, found = reports.train(rows, "doc_id", "html", "label", trees=2, width=16, draws=[])
     assert found["n_trees"] == {"p_numeric": 2, "p_text": 2} and sum(found["splits"].values()) == found["n_files"] == found["n_phishing"] + found["n_benign"]
     assert all(0 <= found[k] <= 1 for k in ("meta_oof_auc", "meta_loo_auc", "meta_val_auc", "cal_val_auc", "cal_loo_auc"))
     assert len(found["meta_lr_coef"]) == 2 and found["reduced_width"] == 16
@@ -41,7 +41,27 @@ def test_training_scanning_and_saving(spark, tmp_path):
             assert 0 <= r.blend.final_score <= 1 and r.url_risk.score == 0.3 and len(r.shap.numeric_top) == 17
     report = reports.pipeline_report(pages, bundle, "doc_id", "url", "html").first()
     assert (report.stages.embedding.raw_dims, report.stages.embedding.reduced_dims) == (2 * reports.CHANNEL, 16)
-    models.save_bundle(str(tmp_path / "b"), bundle.numeric, bundle.text, bundle.reduction, bundle.meta, bundle.platt, {"features": 17}, spark)
-    again = models.load_bundle(str(tmp_path / "b"), spark)
-    assert again["about"] == {"features": 17}
-    assert again["meta"].coefficients == bundle.meta.coefficients
+    bundle.save(spark, str(tmp_path / "b"), {"features": 17})
+    again, about = reports.Bundle.load(spark, str(tmp_path / "b"))
+    assert about == {"features": 17}
+    shown = lambda b: reports.scan(pages, b, "doc_id", "url", "html").orderBy("doc_id").collect()
+    assert shown(again) == shown(bundle)
+    # repeated and null ids stay rows of their own
+    odd = pages.unionByName(pages).unionByName(pages.withColumn("doc_id", F.lit(None).cast("long")).withColumn("html", F.lit(None).cast("string")))
+    assert reports.scan(odd, bundle, "doc_id", "url", "html").count() == reports.pipeline_report(odd, bundle, "doc_id", "url", "html").count() == 9
+
+
+def test_training_searches_and_takes_odd_tables(spark):
+    html = F.concat(F.lit("<p>"), F.sha2(F.col("doc_id").cast("string"), 256), F.repeat(F.lit("<br>"), (F.col("label") * 3).cast("int")), F.lit("</p>"))
+    rows = spark.range(60).select((F.col("id") % 50).alias("doc_id"), (F.col("id") % 2).cast("int").alias("label")).withColumn("html", html)
+    odd = rows.unionByName(spark.createDataFrame([(None, 1, None), (7, None, "x")], "doc_id long, label int, html string"))
+    bundle, test, found = reports.train(odd, "doc_id", "html", "label", trees=3, width=4, draws=models.drawn(2))
+    assert found["n_files"] == 61 and set(found["params"]) == set(found["cv_auc"]) == {"p_numeric", "p_text"}
+    assert found["params"]["p_numeric"] in models.drawn(2)
+    none = rows.limit(0)
+    bundle, test, found = reports.train(none, "doc_id", "html", "label", draws=models.drawn(1))
+    assert test.count() == found["n_files"] == len(bundle.numeric) == 0
+    assert reports.summary(test, "label", found).count() == 3
+    pages = rows.limit(2).withColumn("url", F.lit("http://a.b"))
+    assert {r.blend.final_score for r in reports.scan(pages, bundle, "doc_id", "url", "html").collect()} == {0.5}
+    assert reports.scan(pages.limit(0), bundle, "doc_id", "url", "html").count() == 0
