@@ -10,7 +10,9 @@ import html
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -41,6 +43,11 @@ _OUT_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice newsletter subscribe signup popup modal overlay menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies related recommended share sharing social widget toolbar pagination pager skip login".split()
 )
+#: Words that may stand beside those in a class or id without changing what it marks; with any other word (share-price, social-history) it is a name of the page's own.
+_PLAIN_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop first fixed footer form group header icon icons inner item items js last layout left link links list main middle mobile module "
+    "no outer page panel post primary right row section secondary site sticky text thread title top unit user wrap wrapper global local".split()
+)
 #: Heads of pages by these words too, but not inside an article.
 _HEAD_WORDS = frozenset(["header"])
 _CLOSES_P = frozenset(
@@ -48,6 +55,7 @@ _CLOSES_P = frozenset(
 )
 #: An element that ends an open one of its kind, up to the elements that keep them apart.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_LISTS = ("ul", "ol", "menu")
 _APART = frozenset("article body div html main section table td th".split())
 
 
@@ -67,9 +75,11 @@ def _dropped(tag: str, attributes: str, level: int) -> bool:
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {x.lower() for x in _PARTS.split(value)}
-            if tag not in ("html", "body", "article", "main") and (words & _OUT_WORDS or not level and words & _HEAD_WORDS) or tag == "article" and words & {"comment", "comments"}:
-                return True
+            for one in value.split():
+                words = {x.lower() for x in _PARTS.split(one) if x}
+                marks = words & _OUT_WORDS or not level and words & _HEAD_WORDS
+                if tag not in ("html", "body", "article", "main") and marks and words <= _OUT_WORDS | _PLAIN_WORDS or tag == "article" and words & {"comment", "comments"}:
+                    return True
         elif name == "role" and value.lower() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -78,7 +88,7 @@ def _dropped(tag: str, attributes: str, level: int) -> bool:
 
 
 def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
-    """The blocks of main text of a page: those of main with the articles in it, of other articles, or of the rest but those that are mostly links; of these what has most text.
+    """The blocks of main text of a page: those of main with the articles in it or of other articles, whichever have more text; on a page without text in either, of the rest but list entries that are mostly links.
 
     template is asked with each closed element's hash, if text is in it, whether to delete it.
     """
@@ -94,7 +104,7 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
         if text:
             said = " ".join("".join(text).split())
             if said:
-                out.append((said, stack[-1].level, linked / len(said)))
+                out.append((said, stack[-1].level, linked / len(said) if any(opened[x] for x in _LISTS) else 0.0))
                 stack[-1].parts.append(said)
             text.clear()
         linked = 0
@@ -185,9 +195,8 @@ def blocks(page: str, template: Callable[[int], bool]) -> list[str]:
     close(1)
     flush()
     amount: Counter[int] = Counter()
-    for said, level, share in out:
-        if level or share <= 0.5:
-            amount[level] += len(said)
+    for said, level, _ in out:
+        amount[level] += len(said) if level else 0
     best = max(amount, key=lambda x: (amount[x], x), default=0)
     return [said for said, level, share in out if level == best and (best or share <= 0.5)]
 
@@ -232,9 +241,13 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lru_cache(maxsize=64)
+    def templates(trees: bytes) -> frozenset[int]:
+        return frozenset(np.frombuffer(trees, np.int64).view(np.uint64).tolist())
+
     for batch in (part for whole in batches for part in slices(whole, 2, HELD)):
         texts = []
         for page, trees in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-            known = {t % (1 << 64) for t in trees.as_py() or ()}
+            known = templates(trees.values.to_numpy().tobytes() if trees.is_valid else b"")
             texts.append("\n".join(blocks(page, known.__contains__)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])

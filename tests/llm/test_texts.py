@@ -270,6 +270,9 @@ def keep_all(_):
         ("<div>say <i>it</i><!-- no > no --> now &lt;b&gt; &#233; 1 < 2</div>", ["say it now <b> é 1 < 2"]),
         ("<article><p>x<style>p{}", ["x"]),
         ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
+        ("<body><div class='post share-price'><p>Shares of the firm rose</p></div><div class='share-buttons top'>x</div><div class='ad_box-2'>y</div>", ["Shares of the firm rose"]),
+        ("<p><a href=x>All of it is a link</a></p><ul><li><a href=y>menu</a><li>entry</ul>", ["All of it is a link", "entry"]),
+        ("<article class='comment'><p>c</article><div class='post'><p>t</div><div id='post-comments'>c</div>", ["t"]),
     ],
 )
 def test_main_text(page, want):
@@ -281,11 +284,13 @@ def test_main_text(page, want):
     [
         ("<main><h1>T</h1><p>a long text of the page</p></main><article><p>teaser</article>", ["T", "a long text of the page"]),
         ("<main><h1>T</h1><article><p>a</article><p>z</main>", ["T", "a", "z"]),
-        ("<div><p>a long text of the page</div><article><p>teaser</article>", ["a long text of the page"]),
+        # an article is the page's main text, however long what stands beside it
+        ("<div><p>a long text of the page</div><article><p>short</article>", ["short"]),
+        ("<article><p>one</article><article><p>two</article><div><p>a side text, much longer than both</div>", ["one", "two"]),
         ("<div><p>a text</div><article><nav>n</nav></article>", ["a text"]),
     ],
 )
-def test_main_text_is_where_most_text_is(page, want):
+def test_main_text_is_where_the_article_is(page, want):
     assert main_text.blocks(page, keep_all) == want
 
 
