@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from . import fixed
 
 
-
 def _by_first_letter(starts: list[str]) -> str:
     """Alternatives that each begin at a word with a letter, grouped by that letter: one look at a letter in place of a try of each. Their order among those of one letter stays."""
     grouped: dict[str, list[str]] = {}
@@ -50,11 +49,6 @@ def parked(page: Column) -> Column:
     return F.filter(F.array(*map(F.lit, fixed.PARKED)), lambda s: F.contains(F.lower(page), F.lower(s)))
 
 
-def title(page: Column) -> Column:
-    """Title in the first 20,000 characters, at most 120 of its own."""
-    return F.substring(clean(F.regexp_extract(F.substring(page, 1, 20000), r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, 120)
-
-
 def packed(text: Column) -> Column:
     """Without white space, in lower case; null counts as empty."""
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""))

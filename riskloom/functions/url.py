@@ -11,7 +11,7 @@ _UNUSUAL_PORTS_EXCEPT = (80, 443, 8080, 8443)
 
 def normalized(url: Column) -> Column:
     """Trimmed, with https:// in front unless it has http:// or https://; null where nothing is left."""
-    text = F.trim(url)
+    text = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
     return F.when(text == "", None).when(text.startswith("http://") | text.startswith("https://"), text).otherwise(F.concat(F.lit("https://"), text))
 
 

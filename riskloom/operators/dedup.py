@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from ..functions import text as tx
+from .cache import ContentCache
 from .graph import components
+from .rows import keyed
 from .stages import stage
 
-#: 31-bit prime field of the permutations a * h + b.
-PRIME = (1 << 31) - 1
-PERMUTATIONS, BAND_ROWS = 128, 16
+#: 31-bit prime field of the permutations a * h + b, and of the numbers of shingles, polynomials of their characters in BASE.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+PERMUTATIONS, BAND_ROWS, SHINGLE = 128, 16, 5
+#: Shingles whose values under all permutations are worked out at once, and bytes of texts that are Python strings together.
+AT_ONCE, HELD = 512, 1 << 20
+#: What a cache of signatures goes by: rows of another version are not read.
+SIGNATURE_VERSION = f"minhash-{PERMUTATIONS}-{SHINGLE}-{BASE}-1"
 
 
 def permutations(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
@@ -25,103 +30,171 @@ def permutations(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
 
 
 def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, md5, group_id): the smallest id of rows with the same bytes. Null texts count as empty."""
-    digest = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    keyed = rows.select(id_col, digest.alias("md5"))
-    return keyed.join(keyed.groupBy("md5").agg(F.min(id_col).alias("group_id")), "md5").select(id_col, "md5", "group_id")
+    """(id, md5, group_id): the smallest id of rows with the same bytes. Null texts count as empty; repeated and null ids stay rows of their own."""
+    named = rows.select(id_col, content_key(F.col(text_col)).alias("md5"))
+    return named.join(named.groupBy("md5").agg(F.min(id_col).alias("group_id")), "md5").select(id_col, "md5", "group_id")
 
 
-def runs(packed: str, size: int = 5) -> set[str]:
-    """The distinct runs of `size` characters."""
-    return {packed[i : i + size] for i in range(len(packed) - size + 1)}
+def content_key(text: Column) -> Column:
+    """The digest of a text's bytes, null as empty."""
+    return F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def numbers_of_runs(packed: pa.Array) -> pa.Array:
-    """Distinct numbers of the distinct runs, in order: the first 32 bits of their digests, modulo the prime."""
-    out = []
-    for x in packed:
-        digests = b"".join([hashlib.md5(r.encode("utf-8", "surrogatepass")).digest()[:4] for r in runs(x.as_py() or "")])
-        out.append(np.unique(np.frombuffer(digests, ">u4").astype(np.int64) % PRIME).astype(np.int32))
-    return pa.array(out, pa.list_(pa.int32()))
+def _points(packed: str) -> np.ndarray:
+    return np.frombuffer(packed.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@F.arrow_udf(StructType().add("n", LongType()).add("first", StringType()))
-def summary_of_runs(packed: pa.Array) -> pa.Array:
-    """How many distinct runs there are, and the smallest."""
-    got = [runs(x.as_py() or "") for x in packed]
-    return pa.StructArray.from_arrays([pa.array(map(len, got), pa.int64()), pa.array([min(r, default=None) for r in got], pa.string())], ["n", "first"])
+def _runs(points: np.ndarray) -> list[np.ndarray]:
+    """The characters of each run of SHINGLE characters, by place in the run."""
+    n = max(len(points) - SHINGLE + 1, 0)
+    return [points[i : i + n] for i in range(SHINGLE)]
+
+
+def names_of(packed: str) -> np.ndarray:
+    """Distinct 64-bit names of the runs, in order: two halves of the characters, mixed. Runs that differ have different names but for one chance in 2^64."""
+    c = [x.astype(np.uint64) for x in _runs(_points(packed))]
+    left, right = c[0] | c[1] << np.uint64(21) | c[2] << np.uint64(42), c[3] | c[4] << np.uint64(21)
+    x = left * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += right * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return np.unique(x)
+
+
+def numbers_of(packed: str) -> np.ndarray:
+    """Distinct numbers of the runs below the prime, in order: polynomials of their characters."""
+    out = np.zeros(max(len(packed) - SHINGLE + 1, 0), np.int64)
+    for x in _runs(_points(packed)):
+        out = (out * BASE + x) % PRIME
+    return np.unique(out)
+
+
+_MULTIPLY, _ADD = (np.array(x, np.int64) for x in zip(*permutations(), strict=True))
 
 
-def hashed_shingles(rows: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(id, hashes): distinct 31-bit numbers of the 5-character shingles of the text without white space, in lower case."""
-    return rows.select(id_col, *more, numbers_of_runs(tx.packed(F.col(text_col))).alias("hashes"))
+def least_of(numbers: np.ndarray) -> np.ndarray:
+    """For each permutation the least value over the numbers; the prime of none."""
+    least = np.full(PERMUTATIONS, PRIME, np.int64)
+    for at in range(0, len(numbers), AT_ONCE):
+        x = numbers[at : at + AT_ONCE, None] * _MULTIPLY
+        x += _ADD
+        # modulo 2^31 - 1: the upper bits are added to the lower ones, twice
+        x = (x & PRIME) + (x >> 31)
+        x = (x & PRIME) + (x >> 31)
+        x[x == PRIME] = 0
+        np.minimum(least, x.min(0), out=least)
+    return least
 
 
-def signatures(hashed: DataFrame, id_col: str, *more: str) -> DataFrame:
-    """(id, signature): for each permutation the least value over the shingles; a text without shingles has the prime everywhere, so that all such texts meet."""
-    a, b = (np.array(x, np.int64) for x in zip(*permutations(), strict=True))
-    names = [id_col, *more, "signature"]
+@F.arrow_udf(StructType().add("n", LongType()).add("first", StringType()))
+def summary_of_runs(packed: pa.Array) -> pa.Array:
+    """How many distinct runs there are, and the smallest by its characters."""
+    n, first = [], []
+    for x in packed:
+        text = x.as_py() or ""
+        c = _runs(_points(text))
+        n.append(len(names_of(text)))
+        if not len(c[0]):
+            first.append(None)
+            continue
+        left = np.arange(len(c[0]))
+        for part in c:
+            left = left[part[left] == part[left].min()]
+        first.append(text[left[0] : left[0] + SHINGLE])
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(first, pa.string())], ["n", "first"])
+
+
+def signatures(rows: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, *more, n, signature): how many distinct runs of five characters the text has, without white space and in lower case, and for each permutation the least value over them.
+
+    A text without runs has the prime everywhere, so that all such texts meet. Null text is empty.
+    """
+    names = [id_col, *more, "n", "signature"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, out = batch.column(batch.num_columns - 1), []
-            flat, ends = column.flatten().to_numpy().astype(np.int64), np.cumsum(column.value_lengths().to_numpy())
-            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                least = np.full(len(a), PRIME, np.int64)
-                for at in range(start, end, 4096):
-                    h = flat[at : min(at + 4096, end)]
-                    least = np.minimum(least, ((h[:, None] * a + b) % PRIME).min(0))
-                out.append(least)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int64()))], names)
+            n, out = [], []
+            for x in batch.column(batch.num_columns - 1):
+                text = x.as_py()
+                n.append(len(names_of(text)))
+                out.append(least_of(numbers_of(text)))
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+            column = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * PERMUTATIONS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), column], names)
 
-    kinds = dict(hashed.dtypes)
-    return hashed.select(id_col, *more, "hashes").mapInArrow(signed, ", ".join(f"{c} {kinds[c]}" for c in (id_col, *more)) + ", signature array<long>")
+    kinds = dict(rows.dtypes)
+    given = rows.select(id_col, *more, tx.packed(F.col(text_col)).alias("_packed"))
+    return given.mapInArrow(signed, ", ".join(f"{c} {kinds[c]}" for c in (id_col, *more)) + ", n long, signature array<long>")
 
 
-def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float = 0.98, shingled_col: str | None = None) -> DataFrame:
+def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float = 0.98, shingled_col: str | None = None, cache: ContentCache | None = None) -> DataFrame:
     """(id, group_id): exact copies join across labels, near copies of `threshold` or more within a label; all rows are kept, numbered densely from 0 by their smallest id. shingled_col: what near copies are told by, where that isn't the text itself; rows of equal text must have equal ones.
 
-    Work is per distinct text and label. In a band's bucket each text is compared with two leaders, the first and one by chance: a bucket of copies costs two comparisons a text.
+    Repeated and null ids stay rows of their own, null ones last in the order; a null label is a label. Work is per distinct text and label: signatures, of a cache as far as it has them, find candidates, whose whole sets of runs are
+    compared by 64-bit names. In a band's bucket each text is compared with two leaders, the first and one by chance: a bucket of copies costs two comparisons a text.
     This forms groups; the pairs of a bucket that it left out are compared where they are of different groups, so that no link between groups is lost.
     """
-    exact = exact_groups(rows, id_col, text_col)
-    kinds = stage(rows.join(exact, id_col).groupBy("md5", label_col).agg(F.min(id_col).alias("rep"), F.first(shingled_col or text_col).alias("text")), "kinds")
-    hashed = stage(hashed_shingles(kinds, "rep", "text", label_col), "hashed")
-    signed = signatures(hashed, "rep", label_col)
+    shingled = shingled_col or text_col
+    taken = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.col(label_col).alias("label")).alias("label"), F.col(shingled).alias("shingled"))
+    taken, key = keyed(taken, "id", "text", "label")
+    named = stage(taken.select("id", F.col(key).alias("key"), "label", content_key(F.col("text")).alias("md5"), content_key(F.col("shingled")).alias("sketched"), F.col("shingled").alias("text")), "named")
+    kinds = stage(named.groupBy("md5", "label").agg(F.min("key").alias("rep"), F.first("sketched").alias("sketched"), F.first("text").alias("text")), "kinds")
+    if cache is None:
+        signed = signatures(kinds, "rep", "text", "label")
+    else:
+        known = cache.get(kinds.select(F.col("sketched").alias("key"), "text"), lambda missing: signatures(missing, "key", "text"))
+        signed = kinds.select("rep", "label", F.col("sketched").alias("key")).join(known, "key").select("rep", "label", "n", "signature")
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND_ROWS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * BAND_ROWS + 1, BAND_ROWS)).alias("bucket")))
-    placed = stage(signed.select("rep", label_col, F.explode(bands).alias("b")).select("rep", label_col, "b.band", "b.bucket"), "bands")
-    key = [label_col, "band", "bucket"]
-    leaders = placed.groupBy(*key).agg(F.min("rep").alias("one"), F.min_by("rep", F.xxhash64("rep")).alias("two"), F.count("*").alias("n")).where("n > 1")
-    led = placed.join(leaders, key).select("rep", F.explode(F.array("one", "two")).alias("leader")).where("rep <> leader")
-    tried = stage(led.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), "tried")
-    links = stage(_alike(hashed, tried, threshold), "links")
-    rest = _across(placed, links, hashed, key, threshold).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(stage(_alike(hashed, rest, threshold), "links"))
-    across = rows.join(exact, id_col).select(F.col(id_col).alias("a"), F.col("group_id").alias("b")).where("a <> b")
-    to_rep = rows.join(exact, id_col).join(kinds.select("md5", label_col, "rep"), ["md5", label_col]).select(F.col(id_col).alias("a"), F.col("rep").alias("b")).where("a <> b")
+    placed = stage(signed.select("rep", "label", "n", F.explode(bands).alias("b")).select("rep", "label", "n", "b.band", "b.bucket"), "bands")
+    bucket = ["label", "band", "bucket"]
+    leaders = placed.groupBy(*bucket).agg(F.min(F.struct("rep", "n")).alias("one"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep")).alias("two"), F.count("*").alias("times")).where("times > 1")
+    led = placed.join(leaders, bucket).select("rep", "n", F.explode(F.array("one", "two")).alias("to")).where("rep <> to.rep").where(_sizes_allow(F.col("n"), F.col("to.n"), threshold))
+    tried = stage(led.select(F.greatest("rep", "to.rep").alias("a"), F.least("rep", "to.rep").alias("b")).distinct(), "tried")
+    links = stage(_alike(kinds, tried, threshold), "links")
+    rest = _across(placed, links, bucket, threshold).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(stage(_alike(kinds, rest, threshold), "links"))
+    first = named.groupBy("md5").agg(F.min("key").alias("b"))
+    across = named.join(first, "md5").select(F.col("key").alias("a"), "b").where("a <> b")
+    to_rep = named.join(kinds.select("md5", "label", F.col("rep").alias("b")), ["md5", "label"]).select(F.col("key").alias("a"), "b").where("a <> b")
     edges = across.unionByName(to_rep).unionByName(links)
-    groups = rows.select(id_col).join(components(edges), F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("root", id_col).alias("root"))
-    return groups.join(dense(groups.select("root").distinct(), "root", "group_id"), "root").select(id_col, "group_id")
+    groups = stage(named.select("id", "key").join(components(edges), F.col("key") == F.col("node"), "left").select("id", F.coalesce("root", "key").alias("root")), "grouped")
+    return groups.join(dense(groups.select("root").distinct(), "root", "group_id"), "root").select(F.col("id").alias(id_col), "group_id")
+
 
+def _sizes_allow(n: Column, m: Column, threshold: float) -> Column:
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
+
+
+def _alike(kinds: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of `threshold` or more, by their whole sets; texts come to the pairs, and sets are made of them there. Texts without runs are alike."""
+    text = tx.packed(F.col("text"))
+    one, two = kinds.select(F.col("rep").alias("a"), text.alias("x")), kinds.select(F.col("rep").alias("b"), text.alias("y"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            kept = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != last[0]:
+                    last = b, names_of(y.as_py())
+                mine, other = names_of(x.as_py()), last[1]
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                kept.append(both >= threshold * (len(mine) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-def _alike(hashed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of `threshold` or more, by their whole sets."""
-    one, two = hashed.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), hashed.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)
-    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
-def _across(placed: DataFrame, links: DataFrame, hashed: DataFrame, key: list[str], threshold: float) -> DataFrame:
+def _across(placed: DataFrame, links: DataFrame, bucket: list[str], threshold: float) -> DataFrame:
     """All pairs (a, b), a the larger, that share a bucket but no group, and whose sizes allow a link."""
-    sizes = hashed.select("rep", F.size("hashes").alias("n"))
-    rows = placed.join(sizes, "rep").join(components(links), F.col("rep") == F.col("node"), "left").select(*key, "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    mixed = rows.groupBy(*key).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select(*key)
-    rows = stage(rows.join(mixed, key), "mixed")
-    other = rows.select(*key, F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    met = rows.withColumnRenamed("rep", "a").join(other, key).where((F.col("a") > F.col("b")) & (F.col("comp") != F.col("comp2")))
-    return met.where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")).select("a", "b").distinct()
+    rows = placed.join(components(links), F.col("rep") == F.col("node"), "left").select(*bucket, "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    mixed = rows.groupBy(*bucket).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select(*bucket)
+    rows = stage(rows.join(mixed, bucket), "mixed")
+    other = rows.select(*bucket, F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+    met = rows.withColumnRenamed("rep", "a").join(other, bucket).where((F.col("a") > F.col("b")) & (F.col("comp") != F.col("comp2")))
+    return met.where(_sizes_allow(F.col("n"), F.col("m"), threshold)).select("a", "b").distinct()
 
 
 def dense(rows: DataFrame, order_col: str, out: str) -> DataFrame:

@@ -85,8 +85,8 @@ def shapley(x: np.ndarray, found: list[Paths], base: float = 0.0) -> tuple[np.nd
     return out[:, :-1], base
 
 
-def tree_attributions(rows: DataFrame, model: Trees, names: list[str], id_col: str, features_col: str = "features") -> DataFrame:
-    """(id, base, total, attributions): each feature's raw value and its part of the log-odds, largest absolute part first. The paths, as many as the model has leaves, go to each task once."""
+def tree_attributions(rows: DataFrame, model: Trees, names: list[str], id_col: str, features_col: str = "features", shown: Column | None = None) -> DataFrame:
+    """(id, base, total, attributions): each feature's value, of `shown` where the model takes scaled ones, and its part of the log-odds, largest absolute part first. The paths, as many as the model has leaves, go to each task once."""
     found = rows.sparkSession.sparkContext.broadcast(paths(model))
 
     def explained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,10 +95,14 @@ def tree_attributions(rows: DataFrame, model: Trees, names: list[str], id_col: s
                 continue
             x = np.stack(part["x"].to_numpy())
             phi, base = (np.concatenate(v) if i == 0 else v[0] for i, v in enumerate(zip(*(shapley(x[a : a + 256], found.value, model.base) for a in range(0, len(x), 256)), strict=True)))
-            told = [sorted(({"feature": n, "raw_value": float(v), "impact": round(float(p), 4)} for n, v, p in zip(names, xs, ps, strict=True)), key=lambda d: -abs(d["impact"])) for xs, ps in zip(x, phi, strict=True)]
+            told = [
+                sorted(({"feature": n, "raw_value": round(float(v), 4), "impact": round(float(p), 4)} for n, v, p in zip(names, xs, ps, strict=True)), key=lambda d: -abs(d["impact"]))
+                for xs, ps in zip(part["shown"], phi, strict=True)
+            ]
             yield pd.DataFrame({id_col: part[id_col], "base": base, "total": phi.sum(1) + base, "attributions": told})
 
-    given = rows.select(id_col, features_array(rows, features_col).alias("x"))
+    x = features_array(rows, features_col)
+    given = rows.select(id_col, x.alias("x"), (x if shown is None else shown).alias("shown"))
     return given.mapInPandas(explained, f"{id_col} {dict(rows.dtypes)[id_col]}, base double, total double, attributions array<struct<feature: string, raw_value: double, impact: double>>")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import dom, fixed, text as tx, url as ur
 
+_TITLE = re.compile(r"<title(?:\s[^>]*)?>(.*?)</title", re.I | re.S)
+
 
 def bits(text: str) -> float:
     """Entropy of the text's characters, 0 of none."""
@@ -32,6 +36,16 @@ def body_of(page: pa.Array) -> pa.Array:
     return pa.array([dom.body_text(x.as_py() or "") for x in page], pa.string())
 
 
+@F.arrow_udf(StringType())
+def title_of(page: pa.Array) -> pa.Array:
+    """The title element's text in the first 20,000 characters, references decoded, without white space at its ends, at most 120 characters; "" without one or of null."""
+    out = []
+    for x in page:
+        found = _TITLE.search((x.as_py() or "")[:20_000])
+        out.append(html.unescape(found[1]).strip()[:120] if found else "")
+    return pa.array(out, pa.string())
+
+
 def entropy(rows: DataFrame, id_col: str, text_col: str, out: str = "shannon_entropy") -> DataFrame:
     """(id, entropy in bits of the text's characters), a row a row. Empty and null texts have 0."""
     return rows.select(id_col, entropy_of(F.col(text_col)).alias(out))
@@ -43,14 +57,17 @@ def _bare(page: Column) -> Column:
 
 
 def tag_counts(rows: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Counts of the tracked elements by pattern, in one plan without Python."""
-    bare = _bare(F.col(html_col))
+    """Counts of the tracked elements by pattern, in one plan without Python; null html has none."""
+    bare = F.coalesce(_bare(F.col(html_col)), F.lit(""))
     return rows.withColumn("_bare", bare).select(id_col, *(F.regexp_count("_bare", F.lit(rf"(?i)<{t}(?=[\s/>])")).cast("long").alias(f"count_tag__{t}") for t in fixed.COUNTED_TAGS))
 
 
 def hrefs(page: Column) -> Column:
-    """Quoted hrefs of links, by pattern."""
-    return F.regexp_extract_all(_bare(page), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*"([^"]*)\""""), 1)
+    """Hrefs of links by pattern, quoted in either way or bare; null html has none."""
+    bare = F.coalesce(_bare(page), F.lit(""))
+    either = F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    one, two, three = (F.regexp_extract_all(bare, either, i) for i in (1, 2, 3))
+    return F.zip_with(F.zip_with(one, two, lambda a, b: F.concat(a, b)), three, lambda a, b: F.concat(a, b))
 
 
 def link_counts(rows: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -11,13 +11,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
+from ..sources import page_folder
+from ..sources.pages import write_summary
 from . import boosting, dedup, explain, html_features, metrics, models, splits
 from .boosting import Trees
+from .cache import ContentCache
 from .rows import keyed
 from .stages import stage
 
-#: Width of one channel's stand-in embedding.
+#: Width of one channel's stand-in embedding; what a cache of descriptions goes by.
 CHANNEL = 128
+DESCRIBED_VERSION = f"pages-{CHANNEL}-1"
 
 
 @dataclass
@@ -49,11 +53,20 @@ class Bundle:
         return cls(Trees.from_json(said["numeric"]), Trees.from_json(said["text"]), reduction, meta, platt, means), said["about"]
 
 
-def described(pages: DataFrame, key: str, html_col: str) -> DataFrame:
-    """Numeric features, channels and the two channels' embedding of each page, by a key that is unique, written once. Null html counts as empty."""
+def _described(pages: DataFrame, key: str, html_col: str) -> DataFrame:
     rows = html_features.features(pages, key, html_col).join(html_features.text_channels(pages, key, html_col), key)
     both = models.embedded(models.embedded(rows, "visible_text", CHANNEL, "_a"), "structural_core", CHANNEL, "_b")
-    return stage(both.withColumn("embedding", models.joined_channels(F.col("_a"), F.col("_b"))).drop("_a", "_b"), "described")
+    return both.withColumn("embedding", models.joined_channels(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def described(pages: DataFrame, key: str, html_col: str, cache: ContentCache | None = None) -> DataFrame:
+    """Numeric features, channels and the two channels' embedding of each page, by a key that is unique, written once. Null html counts as empty. With a cache, only contents that it lacks are described."""
+    if cache is None:
+        return stage(_described(pages, key, html_col), "described")
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    named = pages.select(F.col(key).alias("_page"), dedup.content_key(html).alias("key"), html.alias("html"))
+    known = cache.get(named.select("key", "html"), lambda missing: _described(missing, "key", "html"))
+    return stage(named.select("_page", "key").join(known, "key").drop("key").withColumnRenamed("_page", key), "described")
 
 
 def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reduction: PCAModel | None) -> DataFrame:
@@ -63,18 +76,21 @@ def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reducti
     return models.reduced(numeric, reduction, "embedding").withColumn("x_text", array_to_vector("reduced"))
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None) -> tuple[Bundle, DataFrame, dict]:
+def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None, cache_dir: str | None = None) -> tuple[Bundle, DataFrame, dict]:
     """(models, test rows with scores, what the training found). Copies never cross the split; scaling and reduction see train alone, the blend out-of-fold scores alone, the calibration val alone.
 
     draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; 20 of the grid unless others are given. Without any ([]) both voters have `trees` trees of the default
     parameters. width: of the reduced embedding, at most the embedding's own. Rows keep their ids, repeated and null ones too; rows without a label train nothing. Of an empty table come models without trees and no test rows.
+    cache_dir: where descriptions and signatures of contents are kept, so that training over a table that has grown works out what is new.
     """
     draws = models.drawn() if draws is None else draws
+    spark = pages.sparkSession
+    kept = [ContentCache(spark, f"{cache_dir}/{name}", version) if cache_dir else None for name, version in (("described", DESCRIBED_VERSION), ("signatures", dedup.SIGNATURE_VERSION))]
     pages, key = keyed(pages.where(F.col(label_col).isNotNull()).select(id_col, html_col, label_col), id_col, html_col, label_col)
     bodies = pages.select(key, html_col, label_col, html_features.body_of(F.col(html_col)).alias("_body"))
-    groups = dedup.near_groups(bodies, key, html_col, label_col, shingled_col="_body")
+    groups = dedup.near_groups(bodies, key, html_col, label_col, shingled_col="_body", cache=kept[1])
     split = splits.group_split(groups, "group_id").select(key, "split")
-    rows = stage(described(pages, key, html_col).join(pages.select(key, *({id_col, label_col} - {key})), key).join(split, key), "rows")
+    rows = stage(described(pages, key, html_col, kept[0]).join(pages.select(key, *({id_col, label_col} - {key})), key).join(split, key), "rows")
     fit = rows.where("split = 'train'")
     stats = fit.agg(*(F.avg(c).alias(f"m_{c}") for c in fixed.FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in fixed.FEATURES)).first()
     means = {c: (float(stats[f"m_{c}"] or 0.0), float(stats[f"s_{c}"] or 1.0)) for c in fixed.FEATURES}
@@ -105,10 +121,19 @@ def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: i
     count = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
     found |= {"warnings": warned, "n_files": sum(count.values()), "n_phishing": count.get(1, 0), "n_benign": count.get(0, 0)}
     found |= {"splits": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}, "decision_threshold": fixed.PHISHING_FROM, "params": params, "cv_auc": aucs}
+    found |= {"n_described": kept[0].computed, "n_signed": kept[1].computed} if cache_dir else {}
     found |= {"n_trees": {"p_numeric": len(numeric), "p_text": len(text)}, "reduced_width": reduction.getK() if reduction else 0, "meta_lr_coef": meta.coefficients.toArray().tolist(), "meta_lr_intercept": float(meta.intercept), "numeric_columns": fixed.FEATURES}
     return Bundle(numeric, text, reduction, meta, platt, means), test, found
 
 
+def train_folder(spark: SparkSession, root: str, bundle_dir: str, cache_dir: str | None = None, **settings) -> tuple[Bundle, DataFrame, dict]:
+    """train() over the class folders of page files below root, whose models are saved in bundle_dir, the summary of the test rows beside them. settings: those of train()."""
+    bundle, test, found = train(page_folder.read(spark, root), "ordinal", "html", "label", cache_dir=cache_dir, **settings)
+    bundle.save(spark, bundle_dir, found)
+    write_summary(summary(test, "label", found), f"{bundle_dir}/summary")
+    return bundle, test, found
+
+
 def voted(rows: DataFrame, numeric: Trees, text: Trees, meta: LogisticRegressionModel) -> DataFrame:
     both = boosting.probability(text, boosting.probability(numeric, rows, "p_numeric", "x_numeric"), "p_text", "x_text")
     return both.withColumn("p_blend", models.logistic_score(meta, "p_numeric", "p_text"))
@@ -127,7 +152,7 @@ def scored(pages: DataFrame, bundle: Bundle, key: str, html_col: str) -> DataFra
     """Features, votes, the blend and what they come from, by a key that is unique."""
     rows = ready(described(pages, key, html_col), bundle.means, bundle.reduction)
     done = voted(rows, bundle.numeric, bundle.text, bundle.meta).withColumn("p_final", F.round(models.logistic_score(bundle.platt, "p_blend"), 4))
-    attributed = explain.tree_attributions(done, bundle.numeric, fixed.FEATURES, key, "x_numeric").select(key, "attributions")
+    attributed = explain.tree_attributions(done, bundle.numeric, fixed.FEATURES, key, "x_numeric", F.array(*(F.col(c).cast("double") for c in fixed.FEATURES))).select(key, "attributions")
     parts = explain.blend_contributions(bundle.meta, numeric=F.col("p_numeric"), text=F.col("p_text"))
     return done.withColumn("contributions", parts).join(attributed, key)
 
@@ -154,11 +179,33 @@ def scan(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str, html_col:
     )
 
 
+def answered(requests: DataFrame, fetched: DataFrame, bundle: Bundle, report: str = "scan") -> DataFrame:
+    """(request_id, status, answer): the JSON that each request, a JSON text (request_id, body) with a url, is answered with; report is "scan" or "pipeline".
+
+    fetched: (url, final_url, html), the pages that a fetch has found, by normalized URL; of several of one URL the first by final_url and html. Status 400 for a body that is no JSON or lacks a URL, 502 for a page that isn't there,
+    both with an error. Each page is scored once, however many ask for it. Repeated and null ids stay rows of their own.
+    """
+    asked = requests.select("request_id", ur.normalized(F.from_json(F.coalesce("body", F.lit("")), "url string")["url"]).alias("url"))
+    wanted = asked.where("url is not null").select("url").distinct()
+    page = F.min(F.struct("final_url", F.coalesce("html", F.lit("")).alias("html"))).alias("page")
+    pages = fetched.select(ur.normalized(F.col("url")).alias("url"), "final_url", "html").join(wanted, "url", "left_semi").groupBy("url").agg(page).select("url", F.coalesce("page.final_url", "url").alias("final_url"), "page.html")
+    if report == "scan":
+        done = scan(pages, bundle, "url", "final_url", "html").drop("error")
+        said = F.to_json(F.struct(F.col("final").alias("url"), "blend", "split_a", "split_b", "url_risk", "shap"))
+        done = done.toDF("asked", "final", *done.columns[2:]).select(F.col("asked").alias("url"), said.alias("said"))
+    else:
+        done = pipeline_report(pages.withColumn("id", F.col("url")), bundle, "id", "url", "html", "final_url").select(F.col("id").alias("url"), F.to_json(F.struct(F.col("stages.url_analysis.final_url").alias("url"), "stages")).alias("said"))
+    error = lambda text: F.to_json(F.struct(F.lit(text).alias("error")))
+    status = F.when(F.col("url").isNull(), 400).when(F.col("said").isNull(), 502).otherwise(200)
+    answer = F.when(F.col("url").isNull(), error("Missing 'url' field")).when(F.col("said").isNull(), error("page not fetched")).otherwise(F.col("said"))
+    return asked.join(done, "url", "left").select("request_id", status.alias("status"), answer.alias("answer"))
+
+
 def pipeline_report(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str, html_col: str, final_url_col: str | None = None) -> DataFrame:
     """(id, url, stages): what every stage made of a page, a row a row."""
     taken = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(final_url_col or url_col).alias("final_url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     pages, key = keyed(taken, "id", "url", "final_url", "html")
-    given = pages.select(key, "id", "url", "final_url", F.length("html").alias("html_bytes"), tx.title(F.col("html")).alias("title"))
+    given = pages.select(key, "id", "url", "final_url", F.length("html").alias("html_bytes"), html_features.title_of("html").alias("title"))
     rows = given.join(scored(pages, bundle, key, "html"), key)
     rated = ur.risk(F.col("final_url"))
     weights = bundle.meta.coefficients.toArray().round(4).tolist()
@@ -184,15 +231,15 @@ def pipeline_report(pages: DataFrame, bundle: Bundle, id_col: str, url_col: str,
 
 
 def diagnose(pages: DataFrame, id_col: str, url_col: str, html_col: str, final_url_col: str | None = None, head: int = 50) -> DataFrame:
-    """(id, redirected, domain_changed, challenges, parked, n_lines, head): what hints at a page that isn't the site's own; head 0 keeps all lines."""
-    last = F.col(final_url_col or url_col)
-    lines = F.split(F.col(html_col), "\r\n|\r|\n")
+    """(id, redirected, domain_changed, challenges, parked, n_lines, head): what hints at a page that isn't the site's own; head 0 keeps all lines. Null html counts as empty; without a URL nothing tells of a redirect."""
+    last, html = F.col(final_url_col or url_col), F.coalesce(F.col(html_col), F.lit(""))
+    lines = F.split(html, "\r\n|\r|\n")
     return pages.select(
         id_col,
         ur.redirected(F.col(url_col), last).alias("redirected"),
         ur.domain_changed(F.col(url_col), last).alias("domain_changed"),
-        tx.challenges(F.col(html_col)).alias("challenges"),
-        tx.parked(F.col(html_col)).alias("parked"),
+        tx.challenges(html).alias("challenges"),
+        tx.parked(html).alias("parked"),
         F.size(lines).alias("n_lines"),
         F.array_join(F.slice(lines, 1, head) if head else lines, "\n").alias("head"),
     )

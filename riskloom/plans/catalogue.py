@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
 from ..operators import boosting, dedup, explain, html_features, metrics, models, reports, splits
-from ..operators.stages import stage
+from ..operators.stages import shared_dir, stage
+from ..sources import page_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,21 +97,27 @@ def url_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH addresses AS (SELECT page_id, 'own' AS variant, url FROM pages), {_RISK_SQL},
 letters AS (SELECT page_id, ch, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, '')) AS ch FROM pages WHERE html <> '') GROUP BY 1, 2),
 bits AS (SELECT page_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM letters GROUP BY 1)
-SELECT p.page_id, p.url, length(p.html) AS raw_len, round(coalesce(b.e, 0.0), 6) AS shannon_entropy, coalesce(s.score, 0.0) AS url_score,
+SELECT p.page_id, p.url, length(coalesce(p.html, '')) AS raw_len, round(coalesce(b.e, 0.0), 6) AS shannon_entropy, coalesce(s.score, 0.0) AS url_score,
   CASE WHEN coalesce(s.score, 0.0) >= 0.5 THEN 'phishing' WHEN coalesce(s.score, 0.0) >= 0.25 THEN 'suspicious' ELSE 'safe' END AS verdict
 FROM pages p LEFT JOIN bits b ON p.page_id = b.page_id LEFT JOIN summed s ON p.page_id = s.page_id"""
 )
 def page_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     score = ur.risk(F.col("url"))["score"]
-    bits = html_features.entropy(pages, "page_id", "html")
-    return pages.select("page_id", "url", F.length("html").alias("raw_len"), score.alias("url_score"), tx.verdict(score).alias("verdict")).join(bits, "page_id").select(
-        "page_id", "url", "raw_len", F.round("shannon_entropy", 6).alias("shannon_entropy"), "url_score", "verdict"
-    )
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", "url", F.length(html).alias("raw_len"), F.round(html_features.entropy_of(html), 6).alias("shannon_entropy"), score.alias("url_score"), tx.verdict(score).alias("verdict"))
 
 
-_HREFS = r"""hrefs AS (
-  SELECT page_id, h.href FROM pages, LATERAL (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)', '\1\2', 'g'), '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)) AS href) h),
+# hrefs in double quotes, in single ones and bare, by page
+_QUOTED = """CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN regexp_replace(html, 'href="([^"]*)"', concat('href=', chr(39), '{1}', chr(39)){g}) ELSE regexp_replace(html, 'href="([^"]*)"', 'href={1}'{g}) END"""
+
+
+def quoted(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html", F.expr(_QUOTED.replace("{1}", "$1").replace("{g}", "")))
+
+
+_HREFS = "quoted AS (SELECT page_id, " + _QUOTED.replace("{1}", "\\1").replace("{g}", ", 'g'") + r""" AS html FROM pages), hrefs AS (
+  SELECT page_id, h.href FROM quoted, LATERAL (SELECT unnest(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)', '\1\2', 'g'), '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: trim(x, '"' || chr(39)))) AS href) h),
 made AS (
   SELECT page_id, href, v.variant, v.target FROM hrefs, LATERAL (VALUES ('own', href), ('empty', ' '), ('script', 'javascript:' || href), ('data', 'data:' || href), ('mail', 'mailto:a@' || href), ('anchor', '#' || href),
     ('out', 'https://x.org' || href), ('login', 'http://x.org' || href || '/LogIn'), ('upper', 'HTTP://x.org' || href)) v(variant, target))"""
@@ -119,7 +127,7 @@ def href_variants(pages: DataFrame) -> DataFrame:
     h = F.col("href")
     made = {"own": h, "empty": F.lit(" "), "script": F.concat(F.lit("javascript:"), h), "data": F.concat(F.lit("data:"), h), "mail": F.concat(F.lit("mailto:a@"), h), "anchor": F.concat(F.lit("#"), h)}
     made |= {"out": F.concat(F.lit("https://x.org"), h), "login": F.concat(F.lit("http://x.org"), h, F.lit("/LogIn")), "upper": F.concat(F.lit("HTTP://x.org"), h)}
-    rows = pages.select("page_id", F.explode(html_features.hrefs(F.col("html"))).alias("href"))
+    rows = quoted(pages).select("page_id", F.explode(html_features.hrefs(F.col("html"))).alias("href"))
     return rows.select("page_id", "href", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), c.alias("target")) for k, c in made.items()))).alias("v")).select("page_id", "href", "v.*")
 
 
@@ -177,7 +185,7 @@ SELECT p.page_id, coalesce(e, 0)::BIGINT AS count_external_links, coalesce(i, 0)
   SELECT page_id, count_if(starts_with(h, 'http://') OR starts_with(h, 'https://')) AS e, count_if(NOT (starts_with(h, 'http://') OR starts_with(h, 'https://'))) AS i FROM kept GROUP BY 1) k ON p.page_id = k.page_id"""
 )
 def html_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_features.link_counts(read(spark, sf_dir, "pages"), "page_id", "html")
+    return html_features.link_counts(quoted(read(spark, sf_dir, "pages")), "page_id", "html")
 
 
 @query()
@@ -229,18 +237,35 @@ def challenge_parked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", F.array_join(tx.challenges(F.col("html")), "; ").alias("challenges"), F.array_join(tx.parked(F.col("html")), "; ").alias("parked"))
 
 
-@query(r"SELECT page_id, substr(trim(regexp_replace(regexp_extract(substr(html, 1, 20000), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 120) AS title FROM pages")
+# every fourth title gets references and white space
+_TITLED = "CASE WHEN page_id % 4 = 0 THEN replace(html, '<title>', '<TITLE lang=x>  &lt;b&gt; &amp;lt; ') ELSE html END"
+
+
+@query(
+    rf"""WITH told AS (SELECT page_id, regexp_extract(substr({_TITLED}, 1, 20000), '(?is)<title(?:\s[^>]*)?>(.*?)</title', 1) AS t FROM pages)
+SELECT page_id, substr(trim(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), 1, 120) AS title FROM told"""
+)
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", tx.title(F.col("html")).alias("title"))
+    return read(spark, sf_dir, "pages").select("page_id", html_features.title_of(F.expr(_TITLED)).alias("title"))
+
+
+# where a page's address leads: to itself, to itself with slashes, to a subdomain or to another site
+_LANDED = "CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 4 = 1 THEN concat(url, '//') WHEN page_id % 4 = 2 THEN replace(url, '://', '://m.') ELSE concat('http://shop', page_id, '.tk/') END"
+
+
+def landed(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("final_url", F.expr(_LANDED))
 
 
 @query(
-    f"""SELECT page_id, false AS redirected, false AS domain_changed, list_filter([{', '.join("'" + x + "'" for x in fixed.CHALLENGES)}], lambda s: contains(html, s)) AS challenges,
-  list_filter([{', '.join("'" + x + "'" for x in fixed.PARKED)}], lambda s: contains(lower(html), lower(s))) AS parked,
-  len(string_split_regex(html, '\\r\\n|\\r|\\n'))::INTEGER AS n_lines, array_to_string(string_split_regex(html, '\\r\\n|\\r|\\n')[:50], chr(10)) AS head FROM pages"""
+    f"""WITH landed AS (SELECT *, {_LANDED} AS final_url, coalesce(html, '') AS h FROM pages)
+SELECT page_id, regexp_replace(url, '/+$', '') <> regexp_replace(final_url, '/+$', '') AS redirected, regexp_extract(url, '^[^/?#]*://([^/?#]*)', 1) <> regexp_extract(final_url, '^[^/?#]*://([^/?#]*)', 1) AS domain_changed,
+  list_filter([{', '.join("'" + x + "'" for x in fixed.CHALLENGES)}], lambda s: contains(h, s)) AS challenges,
+  list_filter([{', '.join("'" + x + "'" for x in fixed.PARKED)}], lambda s: contains(lower(h), lower(s))) AS parked,
+  len(string_split_regex(h, '\\r\\n|\\r|\\n'))::INTEGER AS n_lines, array_to_string(string_split_regex(h, '\\r\\n|\\r|\\n')[:50], chr(10)) AS head FROM landed"""
 )
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.diagnose(read(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return reports.diagnose(landed(read(spark, sf_dir, "pages")), "page_id", "url", "html", "final_url")
 
 
 # ---- copies, splits ----
@@ -260,14 +285,20 @@ def shingle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", told.alias("r")).select("doc_id", F.col("r.n").alias("n_shingles"), F.col("r.first").alias("first_shingle"))
 
 
+# the number of a run, a polynomial of its characters modulo the prime
+_POLYNOMIAL = "0::BIGINT"
+for _i in range(1, dedup.SHINGLE + 1):
+    _POLYNOMIAL = f"(({_POLYNOMIAL}) * {dedup.BASE} + unicode(substr(s, {_i}, 1))) % {dedup.PRIME}"
+
+
 @query(
     _SHINGLED
-    + f""", hashed AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT % {dedup.PRIME} AS h FROM runs),
+    + f""", hashed AS (SELECT DISTINCT doc_id, {_POLYNOMIAL} AS h FROM runs),
 perms AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(dedup.permutations()))}) p(perm, a, b))
 SELECT d.doc_id, p.perm, coalesce(min((h * a + b) % {dedup.PRIME}), {dedup.PRIME}) AS least FROM documents d, perms p LEFT JOIN hashed h ON d.doc_id = h.doc_id GROUP BY 1, 2"""
 )
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = dedup.signatures(dedup.hashed_shingles(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    signed = dedup.signatures(read(spark, sf_dir, "documents"), "doc_id", "text")
     return signed.select("doc_id", F.posexplode("signature").alias("perm", "least"))
 
 
@@ -436,14 +467,31 @@ def loo_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.curves(stage(left, "loo"), "quality", "loo_score").withColumnRenamed("roc_auc", "loo_auc")
 
 
-@query()
-def train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, test, found = reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label")
-    return reports.summary(test, "label", found)
+#: Where this session has saved the models of a folder's tables.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """Train with all of the search, and save the models where every executor reads them; (test rows, what training found)."""
+    bundle, test, found = reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label")
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    bundle.save(spark, path, found)
+    _SAVED[spark.sparkContext.applicationId, sf_dir] = path
+    return test, found
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> reports.Bundle:
-    return reports.train(_labelled(spark, sf_dir), "doc_id", "html", "label")[0]
+    """The saved models of the folder's tables, trained first where this application has not yet done so."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SAVED:
+        _trained(spark, sf_dir)
+    return reports.Bundle.load(spark, _SAVED[key])[0]
+
+
+@query()
+def train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, found = _trained(spark, sf_dir)
+    return reports.summary(test, "label", found)
 
 
 @query()
@@ -453,4 +501,25 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.pipeline_report(read(spark, sf_dir, "pages"), _bundle(spark, sf_dir), "page_id", "url", "html")
+    return reports.pipeline_report(landed(read(spark, sf_dir, "pages")), _bundle(spark, sf_dir), "page_id", "url", "html", "final_url")
+
+
+def requests(pages: DataFrame) -> DataFrame:
+    """A request for each page: every seventh lacks the URL, every eleventh is no JSON, every thirteenth asks for a page that isn't there."""
+    body = F.when(F.col("page_id") % 7 == 0, "{}").when(F.col("page_id") % 11 == 0, "no json").when(F.col("page_id") % 13 == 0, F.lit('{"url": "nowhere.example"}')).otherwise(F.to_json(F.struct("url")))
+    return pages.select(F.col("page_id").alias("request_id"), body.alias("body"))
+
+
+@query()
+def scan_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return reports.answered(requests(pages), landed(pages), _bundle(spark, sf_dir))
+
+
+@query("SELECT page_id, (page_id % 2)::INTEGER AS label, regexp_replace(coalesce(html, ''), '\\r\\n?', chr(10), 'g') AS html, dense_rank() OVER (ORDER BY page_id % 2, page_id::VARCHAR) - 1 AS ordinal FROM pages")
+def page_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files to class folders and read back; files sort by folder and name."""
+    root = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    page_folder.write(read(spark, sf_dir, "pages").withColumn("label", F.col("page_id") % 2), root, "page_id", "label", "html")
+    name = F.regexp_extract("path", r"([^/]+)\.html$", 1)
+    return page_folder.read(spark, root).select(name.cast("long").alias("page_id"), "label", "html", "ordinal")

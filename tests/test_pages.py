@@ -1,10 +1,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.functions import dom, fixed
 from riskloom.operators import html_features, reports
-from riskloom.sources import pages as source
+from riskloom.sources import page_folder, pages as source
 
 PAGE = (
     '<html><head><title>PayPal login</title></head><body><form action="https://x.com/login" method="post"><input name="Email"><input type="password"></form>'
@@ -71,3 +72,29 @@ def test_body_text_is_without_remarks_and_scripts():
     assert dom.body_text(page) == "a bd"
     assert dom.body_text("plain text") == "plain text"
     assert dom.body_text("") == ""
+
+
+def test_class_folders_are_sorted_and_packed(spark, tmp_path):
+    for name, data in (("Phish/a/x.html", b"a\r\nb"), ("Phish/y.htm", "é".encode()), ("NotPhish/z.html", b"\xe9\r"), ("NotPhish/no.txt", b"q"), ("loose.html", b"q"), ("other/A.html", b"")):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    rows = page_folder.read(spark, str(tmp_path), 2 * page_folder.OPENING)
+    assert rows.rdd.getNumPartitions() == 2
+    got = [(r.ordinal, os.path.relpath(r.path, tmp_path), r.label, r.html) for r in rows.orderBy("ordinal").collect()]
+    assert got == [(0, "NotPhish/z.html", 0, "é\n"), (1, "Phish/a/x.html", 1, "a\nb"), (2, "Phish/y.htm", 1, "é"), (3, "other/A.html", 0, "")]
+    with pytest.raises(Exception, match="missing"):
+        page_folder.read(spark, str(tmp_path / "missing")).count()
+    table = spark.createDataFrame([(1, 1, "x"), (2, 0, None), (3, None, "y")], "id long, label int, html string")
+    page_folder.write(table, str(tmp_path / "out"), "id", "label", "html")
+    assert [(r.label, r.html) for r in page_folder.read(spark, str(tmp_path / "out")).orderBy("ordinal").collect()] == [(0, ""), (0, "y"), (1, "x")]
+
+
+def test_titles_hrefs_and_null_pages(spark):
+    page = "<TITLE>\n A &amp; B </title><a class=x href='/one'>1</a><a href=https://x.org/2>2</a><a data-href=no>3</a><a href=\"\">4</a>"
+    rows = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    assert [r.t for r in rows.select(html_features.title_of("html").alias("t")).collect()] == ["A & B", ""]
+    assert [r.h for r in rows.select(html_features.hrefs(F.col("html")).alias("h")).collect()] == [["/one", "https://x.org/2", ""], []]
+    assert [(r.count_external_links, r.count_internal_links) for r in html_features.link_counts(rows, "page_id", "html").orderBy("page_id").collect()] == [(1, 1), (0, 0)]
+    assert html_features.tag_counts(rows, "page_id", "html").where("page_id = 2").first().count_tag__a == 0
+    assert reports.diagnose(rows.withColumn("url", F.lit("u")), "page_id", "url", "html").where("page_id = 2").first().n_lines == 1

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import models, reports
@@ -46,6 +48,15 @@ def test_training_scanning_and_saving(spark, tmp_path):
     assert about == {"features": 17}
     shown = lambda b: reports.scan(pages, b, "doc_id", "url", "html").orderBy("doc_id").collect()
     assert shown(again) == shown(bundle)
+    asked = spark.createDataFrame([(1, '{"url": " evil.tk"}'), (1, '{"url": "https://evil.tk"}'), (2, "{}"), (3, None), (None, "x"), (4, '{"url": "http://nowhere"}')], "request_id long, body string")
+    found = pages.select("url", F.lit("http://evil.tk/x").alias("final_url"), "html")
+    for report in ("scan", "pipeline"):
+        said = reports.answered(asked, found, bundle, report).collect()
+        assert sorted((str(r.request_id), r.status) for r in said) == [("1", 200), ("1", 200), ("2", 400), ("3", 400), ("4", 502), ("None", 400)]
+        told = {r.status: json.loads(r.answer) for r in said}
+        assert told[400] == {"error": "Missing 'url' field"} and set(told[502]) == {"error"}
+        assert told[200]["url"] == "http://evil.tk/x" and set(told[200]) == ({"url", "blend", "split_a", "split_b", "url_risk", "shap"} if report == "scan" else {"url", "stages"})
+        assert report == "scan" or told[200]["stages"]["url_analysis"]["redirected"] is True
     # repeated and null ids stay rows of their own
     odd = pages.unionByName(pages).unionByName(pages.withColumn("doc_id", F.lit(None).cast("long")).withColumn("html", F.lit(None).cast("string")))
     assert reports.scan(odd, bundle, "doc_id", "url", "html").count() == reports.pipeline_report(odd, bundle, "doc_id", "url", "html").count() == 9
@@ -65,3 +76,20 @@ def test_training_searches_and_takes_odd_tables(spark):
     pages = rows.limit(2).withColumn("url", F.lit("http://a.b"))
     assert {r.blend.final_score for r in reports.scan(pages, bundle, "doc_id", "url", "html").collect()} == {0.5}
     assert reports.scan(pages.limit(0), bundle, "doc_id", "url", "html").count() == 0
+
+
+def test_training_from_folders_describes_what_is_new(spark, tmp_path):
+    root = tmp_path / "pages"
+    for i in range(40):
+        for folder in ("Phishing", "benign"):
+            path = root / folder / str(i % 3) / f"{i}.html"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(f"<title>{folder} {i}</title><p>{'x ' * i}{'<form>' * (folder == 'Phishing')}</p>")
+    run = lambda: reports.train_folder(spark, str(root), (tmp_path / "bundle").as_uri(), (tmp_path / "cache").as_uri(), trees=2, width=4, draws=[])
+    _, _, first = run()
+    assert (first["n_files"], first["n_described"]) == (80, 80) and first["n_signed"] > 0
+    (root / "benign" / "new.htm").write_text("<p>a new page</p>")
+    bundle, _, second = run()
+    assert (second["n_files"], second["n_described"], second["n_signed"]) == (81, 1, 1)
+    assert reports.Bundle.load(spark, (tmp_path / "bundle").as_uri())[1]["n_files"] == 81
+    assert spark.read.json((tmp_path / "bundle" / "summary").as_uri()).count() == 3
