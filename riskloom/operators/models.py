@@ -60,10 +60,10 @@ def embedded(rows: DataFrame, text_col: str, dim: int = 256, out: str = "embeddi
 
 
 def reducer(train: DataFrame, vector_col: str, k: int = REDUCED) -> PCAModel | None:
-    """Principal components of the training rows, at most as many as the vectors have; validation and test rows are only transformed. None of no rows."""
+    """Principal components of the training rows, at most as many as the vectors have; validation and test rows are only transformed. None of fewer than two rows."""
     given = train.where(F.col(vector_col).isNotNull()).select(array_to_vector(vector_col).alias("_v"))
-    first = given.first()
-    return PCA(k=min(k, len(first["_v"])), inputCol="_v", outputCol="_r").fit(given) if first else None
+    some = given.take(2)
+    return PCA(k=min(k, len(some[0]["_v"])), inputCol="_v", outputCol="_r").fit(given) if len(some) > 1 else None
 
 
 def reduced(rows: DataFrame, model: PCAModel | None, vector_col: str, out: str = "reduced") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
-from ..operators import boosting, dedup, explain, html_features, metrics, models, reports, splits
+from ..operators import boosting, dedup, explain, html_features, metrics, models, reports, splits, umap
 from ..operators.stages import shared_dir, stage
 from ..sources import page_folder
 
@@ -414,6 +414,14 @@ def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.reduced(rows, models.reducer(rows.where("vec_id % 5 <> 0"), "v"), "v").select("vec_id", "reduced")
 
 
+@query()
+def umap_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A non-linear reduction to 8 numbers, fitted on four fifths of the vectors; the rest is placed among them."""
+    rows = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    model = umap.fit(rows.where("vec_id % 5 <> 0"), "vec_id", "v", 8)
+    return umap.transform(rows, model, "v").select("vec_id", "reduced")
+
+
 def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
     return models.assembled(html_features.features(rows, "doc_id", "html").join(rows.select("doc_id", "label"), "doc_id"), fixed.FEATURES)
