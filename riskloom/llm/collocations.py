@@ -8,16 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytehash import pair
 from .common import bounded_batches, lean, slices, stage
 
-#: Counters of words and of pairs of words; counters that travel together.
-WORDS, PAIRS, CHUNK = 1 << 20, 1 << 22, 1 << 12
+#: Counters of phrases of one length: four for each phrase that could be frequent, within these bounds (of bits that every task gets); counters that are summed together.
+SPARE, FEWEST, MOST, CHUNK = 4, 1 << 16, 1 << 28, 1 << 16
+#: Bytes of text for a word, about.
+WORD_BYTES = 6
 #: Bytes of text that are split together, and distinct windows that a task holds.
-HELD, WINDOWS = 4 << 20, 1 << 19
+HELD, WINDOWS = 4 << 20, 1 << 20
+#: Bytes of text that a task counts windows of, if there are more than two such tasks a core: a task passes a window on once, so that larger tasks pass fewer.
+TASK_BYTES = 256 << 20
 #: What ends a piece, besides a text.
 ENDS = r"[.,;:!?\n-\r]"
 
@@ -39,67 +42,93 @@ class _Words:
         self.lang = np.repeat(langs.indices.to_numpy(), np.diff(pieces.offsets.to_numpy()))[piece]
         self.next = np.append(piece[1:] == piece[:-1], False) if len(piece) else np.zeros(0, bool)
 
-    def buckets(self, n_words: int, n_pairs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counters of the words, and of the pairs of each word and the next one (of no meaning where there is none in the piece)."""
+    def buckets(self, counters: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For phrases of 1, 2, .. words: the counter of the phrase that begins at each word, and whether its piece holds one."""
         name = np.array([zlib.crc32(x.encode()) for x in self.names.to_pylist()], np.uint64)
-        lang = np.array([zlib.crc32(x.encode()) for x in self.langs.to_pylist()], np.uint64)
         word = name[self.ids]
-        first = pair(lang[self.lang], word)
-        return (first % np.uint64(n_words)).astype(np.int64), (pair(first, np.append(word[1:], word[:1])) % np.uint64(n_pairs)).astype(np.int64)
+        mixed, fits = np.array([zlib.crc32(x.encode()) for x in self.langs.to_pylist()], np.uint64)[self.lang], np.ones(len(word), bool)
+        for k in range(longest):
+            if k:
+                fits = fits & _ahead(self.next, k - 1)
+            mixed = pair(mixed, _ahead(word, k))
+            yield (mixed % np.uint64(counters)).astype(np.uint32), fits
 
 
-def _frequent(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the words, and the pairs, that share a counter come up `least` times together. Whatever a counter below it counts is no part of a phrase as frequent; the rest is only likely.
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """x, k places on; zeros at the end."""
+    return x if not k else np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
-    Counters are summed by tasks in parts; as many bits as there are counters come to the driver, at any size of the data.
+
+def _held_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _frequent(rows: DataFrame, least: int, counters: int, sizes: range, known: list[np.ndarray]) -> list[np.ndarray]:
+    """For each size of a phrase, a bit for each counter: whether the phrases that share it come up `least` times together. What a counter below it counts is no frequent phrase; the rest is only likely.
+
+    known: the bits of smaller sizes; a phrase is counted only where its parts may be frequent. Tasks send the counters that they have met, in parts of CHUNK, which are summed by many tasks; bits come to the driver,
+    as many as there are counters at any size of the data.
     """
-    kind = "u1" if least < 256 else "<u4"
-    n_words, n_pairs, chunk_size, size = WORDS, PAIRS, CHUNK, HELD
+    longest, size, chunk = sizes.stop - 1, HELD, min(CHUNK, counters)
+    told = rows.sparkSession.sparkContext.broadcast(known)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n_words + n_pairs, np.uint32)
         for some in (part for batch in batches for part in slices(batch, 1, size)):
-            words = _Words(some)
-            one, two = words.buckets(n_words, n_pairs)
-            counts[:n_words] += np.bincount(one, minlength=n_words).astype(np.uint32)
-            counts[n_words:] += np.bincount(two[words.next], minlength=n_pairs).astype(np.uint32)
-            # a counter that has reached the bound may stay there: sums below it are exact
-            np.minimum(counts, least, out=counts)
-        parts = counts.astype(kind).reshape(-1, chunk_size)
-        used = np.flatnonzero(parts.any(1))
-        for a in range(0, len(used), 256):
-            some = used[a : a + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
+            words, ok = _Words(some), []
+            for k, (at, fits) in enumerate(words.buckets(counters, longest), 1):
+                # so far as its first and its last words but one may be frequent
+                fits = fits if not ok else fits & ok[-1] & _ahead(ok[-1], 1)
+                ok.append(fits & _held_in(told.value[k - 1], at) if k <= len(told.value) else fits)
+                if k < sizes.start:
+                    continue
+                met, n = np.unique(at[fits], return_counts=True)
+                n, part = np.minimum(n, 255 if least < 256 else least).astype("u1" if least < 256 else "<u4"), met // chunk
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(met)] if len(met) else [0]
+                low = (met % chunk).astype("<u2" if chunk <= 1 << 16 else "<u4")
+                for i in range(0, len(cuts) - 1, 512):
+                    ends = list(zip(cuts[i : i + 512], cuts[i + 1 : i + 513], strict=False))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k] * len(ends), pa.int32()), pa.array([int(part[a]) for a, _ in ends], pa.int32()), pa.array([low[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([n[a:b].tobytes() for a, b in ends], pa.binary())],
+                        ["k", "chunk", "at", "n"],
+                    )
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        key, sums, out = None, np.zeros(chunk, np.uint32), []
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(counts, kind).astype(np.uint32)
-                sums[chunk] = np.minimum(sums.get(chunk, 0) + more, least)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())], ["chunk", "bits"])
-
-    told = rows.mapInArrow(lean(tally), "chunk int, counts binary").repartition("chunk").mapInArrow(lean(summed), "chunk int, bits binary")
-    bits = np.zeros(n_words + n_pairs, bool).reshape(-1, chunk_size)
-    for r in told.collect():
-        bits[r["chunk"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return bits.ravel()[:n_words], bits.ravel()[n_words:]
+            for k, part, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (k, part) != key:
+                    if key:
+                        out.append((*key, np.packbits(sums >= least).tobytes()))
+                    key, sums = (k, part), np.zeros(chunk, np.uint32)
+                at = np.frombuffer(at, "<u2" if chunk <= 1 << 16 else "<u4")
+                sums[at] = np.minimum(sums[at] + np.frombuffer(n, "u1" if least < 256 else "<u4"), least)
+        if key:
+            out.append((*key, np.packbits(sums >= least).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["k", "chunk", "bits"])
+
+    parts = rows.mapInArrow(lean(tally), "k int, chunk int, at binary, n binary").repartition("k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(lean(summed), "k int, chunk int, bits binary")
+    bits = [np.zeros(counters // 8, np.uint8) for _ in sizes]
+    for r in parts.toLocalIterator():
+        bits[r["k"] - sizes.start][r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
 
 
 def windows(rows: DataFrame, least: int, longest: int) -> DataFrame:
-    """(lang, w1 .. w<longest>, n): the windows that begin at each word, as far as their words and pairs may be frequent, padded with "", and how often a task has met them.
+    """(lang, w1 .. w<longest>, n): the windows that begin at each word, as far as their words may make a frequent phrase, padded with "", and how often a task has met them.
+
+    What may be frequent is told by counters that phrases share; they are as many as the text's bytes ask for, up to MOST. Beyond that (if `least` stays as it is) windows are longer than they need to be, which changes no count.
 
     rows are (lang, text). Words that can't be frequent are counted together, as a window of padding alone, so that a language's counts add up to its words.
     """
-    context: SparkContext = rows.sparkSession.sparkContext
-    one, two = _frequent(rows, least)
-    lengths = len(one), len(two)
-    known = context.broadcast((np.packbits(one), np.packbits(two)))  # (WORDS + PAIRS) / 8 bytes
+    context, size = rows.sparkSession.sparkContext, rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(2 * context.defaultParallelism, size // TASK_BYTES)
+    counters = 1 << (min(max(SPARE * (size // WORD_BYTES) // least, FEWEST), MOST) - 1).bit_length()
+    bits = _frequent(rows, least, counters, range(1, min(longest, 2) + 1), [])
+    bits += _frequent(rows, least, counters, range(3, longest + 1), bits) if longest > 2 else []
+    known = context.broadcast(bits)
     columns, size, most = [f"w{i + 1}" for i in range(longest)], HELD, WINDOWS
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = (np.unpackbits(x, count=n).astype(bool) for x, n in zip(known.value, lengths, strict=True))
         names, langs = pa.array([""]), pa.array([], pa.string())
         held: list[pa.Table] = []
 
@@ -122,20 +151,18 @@ def windows(rows: DataFrame, least: int, longest: int) -> DataFrame:
             words = _Words(some)
             if not len(words.ids):
                 continue
-            word, pairs = words.buckets(len(one), len(two))
-            kept = one[word]
-            goes_on = words.next & two[pairs] & kept & np.append(kept[1:], False)
+            ok: list[np.ndarray] = []
+            for bits, (at, fits) in zip(known.value, words.buckets(counters, longest), strict=True):
+                ok.append((fits & ok[-1] & _ahead(ok[-1], 1) if ok else fits) & _held_in(bits, at))
+            kept = ok[0]
             used = np.zeros(len(words.names), bool)
             used[words.ids[kept]] = True
             number = np.zeros(len(words.names), np.int32)
             number[used], names = ids(words.names.filter(pa.array(used)), names)
             lang, langs = ids(words.langs, langs)
-            at, on = number[words.ids], goes_on
-            cols = [np.where(kept, at, 0)]
-            for k in range(1, longest):
-                cols.append(np.where(on[: len(at)], np.append(at[k:], np.zeros(min(k, len(at)), np.int32)), 0).astype(np.int32))
-                on = on & np.append(goes_on[k:], np.zeros(min(k, len(at)), bool))
-            table = pa.table({"lang": lang[words.lang].astype(np.int32), **{c: x.astype(np.int32) for c, x in zip(columns, cols, strict=True)}})
+            at = number[words.ids]
+            cols = [np.where(on, _ahead(at, k), 0).astype(np.int32) for k, on in enumerate(ok)]
+            table = pa.table({"lang": lang[words.lang].astype(np.int32), **dict(zip(columns, cols, strict=True))})
             held.append(table.group_by(["lang", *columns], use_threads=False).aggregate([([], "count_all")]).rename_columns(["lang", *columns, "n"]))
             if sum(len(x) for x in held) > most:
                 held[:] = [added()]
@@ -146,7 +173,7 @@ def windows(rows: DataFrame, least: int, longest: int) -> DataFrame:
             held[:] = [added()]
             yield from out()
 
-    return rows.mapInArrow(lean(windowed), ", ".join(["lang string", *(f"{c} string" for c in columns), "n long"]))
+    return rows.coalesce(tasks).mapInArrow(lean(windowed), ", ".join(["lang string", *(f"{c} string" for c in columns), "n long"]))
 
 
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

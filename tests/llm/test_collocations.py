@@ -61,7 +61,7 @@ def table(spark, rows):
     return spark.createDataFrame([(i, *r, "x", 1) for i, r in enumerate(rows)], "doc_id long, lang string, text string, phrase string, n int").repartition(3)
 
 
-@pytest.mark.parametrize(("seed", "least", "longest", "top", "small"), [(0, 3, 5, 2000, {}), (1, 300, 5, 2000, {}), (2, 2, 3, 7, {"HELD": 300, "WINDOWS": 40}), (3, 4, 5, 2000, {"HELD": 300, "WORDS": 64, "PAIRS": 64, "CHUNK": 16})])
+@pytest.mark.parametrize(("seed", "least", "longest", "top", "small"), [(0, 3, 5, 2000, {}), (1, 300, 5, 2000, {}), (2, 2, 3, 7, {"HELD": 300, "WINDOWS": 40}), (3, 4, 5, 2000, {"HELD": 300, "FEWEST": 64, "MOST": 64, "CHUNK": 16})])
 def test_phrases_are_the_plain_ones(spark, monkeypatch, seed, least, longest, top, small):
     for name, value in small.items():
         monkeypatch.setattr(collocations, name, value)
