@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # Elements without content, and elements that end an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+# Elements that end open ones of these kinds, up to the elements that keep them apart.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "body")),
+    "dt": (("dt", "dd"), ("dl", "body")),
+    "dd": (("dt", "dd"), ("dl", "body")),
+    "tr": (("tr", "td", "th"), ("table", "body")),
+    "td": (("td", "th"), ("tr", "table", "body")),
+    "th": (("td", "th"), ("tr", "table", "body")),
+    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table", "body")),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table", "body")),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table", "body")),
+    "option": (("option",), ("select", "body")),
+}
+_P_BOUNDS = ("div", "td", "th", "article", "section", "li", "form", "body")
 _HEAD_ONLY = frozenset("title meta link base style script".split())
+#: Characters of one element's text that a form's part or a link may be told by; those that are longer are dropped or cut at less.
+LONGEST_PART = 2_000
 _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("attrs", "children", "name", "parent")
+    __slots__ = ("attrs", "children", "first", "last", "name", "parent")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Element | None):
         self.name, self.attrs, self.parent = name, attrs, parent
         self.children: list[Element | str] = []
+        self.first = self.last = 0
 
     def all(self, *names: str) -> list[Element]:
         """Elements below this one in document order, by name where names are given."""
@@ -59,6 +78,16 @@ class _Builder(HTMLParser):
         self.head: Element | None = None
         self.body: Element | None = None
         self.at = self.root
+        # open elements by name, so that nothing is looked for in vain through a deep page
+        self.opened: Counter[str] = Counter()
+
+    def _up_to(self, e: Element) -> None:
+        """Close all open elements up to e and e itself."""
+        while self.at is not e:
+            self.opened[self.at.name] -= 1
+            self.at = self.at.parent
+        self.opened[e.name] -= 1
+        self.at = e.parent
 
     def _add(self, e: Element) -> Element:
         e.parent.children.append(e)
@@ -90,25 +119,30 @@ class _Builder(HTMLParser):
             return
         self._place(tag)
         if tag in _ENDS_P:
-            self._close("p", {"div", "td", "th", "article", "section", "li", "form", "body"})
-        if tag == "li":
-            self._close("li", {"ul", "ol", "body"})
+            self._close(("p",), _P_BOUNDS)
+        if tag in _ENDS:
+            self._close(*_ENDS[tag])
         e = self._add(Element(tag, given, self.at))
         if tag not in _VOID:
             self.at = e
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and self.at.name == tag:
-            self.at = self.at.parent
+            self._up_to(self.at)
 
-    def _close(self, tag: str, bounds: set[str]) -> None:
-        e = self.at
+    def _close(self, names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        """End the outermost open element of these names below the nearest bound."""
+        if not any(self.opened[x] for x in names):
+            return
+        e, found = self.at, None
         while e.parent is not None and e.name not in bounds:
-            if e.name == tag:
-                self.at = e.parent
-                return
+            if e.name in names:
+                found = e
             e = e.parent
+        if found is not None:
+            self._up_to(found)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -116,10 +150,12 @@ class _Builder(HTMLParser):
         if tag == "head":
             self.at = self.root
             return
+        if not self.opened[tag]:
+            return
         e = self.at
         while e.parent is not None and e.name not in ("body", "html"):
             if e.name == tag:
-                self.at = e.parent
+                self._up_to(e)
                 return
             e = e.parent
 
@@ -144,6 +180,38 @@ def parse(page: str) -> Element:
     return builder.document
 
 
+class Texts:
+    """Texts of all elements of a document: its strings in order, of which each element has a run. Nested elements share theirs."""
+
+    def __init__(self, document: Element):
+        self.strings: list[str] = []
+        self.ends = [0]
+        todo: list[tuple[Element | str, bool]] = [(document, False)]
+        while todo:
+            node, done = todo.pop()
+            if isinstance(node, str):
+                said = node.strip()
+                if said:
+                    self.strings.append(said)
+                    self.ends.append(self.ends[-1] + len(said) + 1)
+            elif done:
+                node.last = len(self.strings)
+            else:
+                node.first = len(self.strings)
+                todo.append((node, True))
+                todo += [(c, False) for c in reversed(node.children)]
+
+    def of(self, e: Element) -> str:
+        return " ".join(self.strings[e.first : e.last])
+
+    def short(self, e: Element, most: int) -> str:
+        """The text if it has at most so many characters; else as much of it as tells that it has more."""
+        last = e.last
+        if self.ends[last] - self.ends[e.first] > 2 * most:
+            last = bisect.bisect_right(self.ends, self.ends[e.first] + 2 * most)
+        return " ".join(self.strings[e.first : min(last, e.last)])
+
+
 def depth(document: Element) -> int:
     most, todo = 0, [(document, 0)]
     while todo:
@@ -184,6 +252,7 @@ def counts(page: str, tags: list[str]) -> dict[str, int]:
 def pieces(page: str) -> dict:
     """The raw text pieces that the two text channels are put together from."""
     document = parse(page)
+    texts = Texts(document)
     title, first = document.all("title"), lambda xs: xs[0] if xs else None
     metas = document.all("meta")
     described = first([m for m in metas if "description" in m.attrs.get("name", "").lower()])
@@ -192,17 +261,17 @@ def pieces(page: str) -> dict:
         around = form.parent if form.parent.name not in ("body", "html", "[document]") else form
         said = []
         for e in around.all("label", "input", "button", "select", "textarea", "a", "p", "span"):
-            said.append({"kind": "text", "text": squeezed(e.text())})
+            said.append({"kind": "text", "text": squeezed(texts.short(e, LONGEST_PART))})
             said += [{"kind": "attr", "text": e.attrs.get(k, "")} for k in ("placeholder", "value", "name", "aria-label")]
     else:
-        said = [{"kind": "plain", "text": squeezed(e.text())} for e in document.all("a", "button")]
+        said = [{"kind": "plain", "text": squeezed(texts.short(e, LONGEST_PART))} for e in document.all("a", "button")]
     foot = first(document.all("footer")) or first([e for e in document.all() if re.search("footer|legal|disclaimer|copyright", e.attrs.get("class", ""), re.I)])
     return {
-        "title": title[0].text() if title else None,
+        "title": texts.of(title[0]) if title else None,
         "description": described.attrs.get("content") if described is not None else None,
-        "headings": [h.text() for h in document.all("h1", "h2", "h3")],
+        "headings": [texts.of(h) for h in document.all("h1", "h2", "h3")],
         "form_parts": said,
-        "footer": [foot.text()] if foot is not None else [squeezed(p.text()) for p in document.all("p")[-5:]],
+        "footer": [texts.of(foot)] if foot is not None else [squeezed(texts.of(p)) for p in document.all("p")[-5:]],
         "metas": [{"name": (m.attrs.get("name") or m.attrs.get("property") or "").lower(), "content": m.attrs.get("content", "")} for m in metas],
         "forms": [
             {
@@ -213,6 +282,6 @@ def pieces(page: str) -> dict:
             }
             for f in document.all("form")
         ],
-        "links": [{"href": a.attrs["href"], "text": a.text()} for a in document.all("a") if "href" in a.attrs],
+        "links": [{"href": a.attrs["href"], "text": texts.short(a, LONGEST_PART)} for a in document.all("a") if "href" in a.attrs],
         "images": [{"src": i.attrs.get("src", ""), "alt": i.attrs.get("alt", "")} for i in document.all("img")],
     }

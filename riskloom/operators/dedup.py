@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 from ..functions import text as tx
 from .cache import ContentCache
 from .graph import components
-from .rows import keyed
+from .rows import bounded_batches, keyed
 from .stages import stage
 
 #: 31-bit prime field of the permutations a * h + b, and of the numbers of shingles, polynomials of their characters in BASE.
@@ -125,7 +125,7 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), column], names)
 
     kinds = dict(rows.dtypes)
-    given = rows.select(id_col, *more, tx.packed(F.col(text_col)).alias("_packed"))
+    given = bounded_batches(rows).select(id_col, *more, tx.packed(F.col(text_col)).alias("_packed"))
     return given.mapInArrow(signed, ", ".join(f"{c} {kinds[c]}" for c in (id_col, *more)) + ", n long, signature array<long>")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import dom, fixed, text as tx, url as ur
+from .rows import bounded_batches
 
 _TITLE = re.compile(r"<title(?:\s[^>]*)?>(.*?)</title", re.I | re.S)
 
@@ -103,7 +104,7 @@ def features(rows: DataFrame, id_col: str, html_col: str) -> DataFrame:
                 got.append({"raw_len": len(page), "shannon_entropy": bits(page)} | dom.counts(page, fixed.COUNTED_TAGS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[c] for g in got], pa.float64() if kind == "double" else pa.int64()) for c, kind in kinds)], [id_col, *fixed.FEATURES])
 
-    given = rows.select(id_col, F.coalesce(F.col(html_col), F.lit("")).alias(html_col))
+    given = bounded_batches(rows).select(id_col, F.coalesce(F.col(html_col), F.lit("")).alias(html_col))
     return given.mapInArrow(described, f"{id_col} {dict(rows.dtypes)[id_col]}, " + ", ".join(f"{c} {kind}" for c, kind in kinds))
 
 
@@ -115,7 +116,7 @@ _PIECES = (
 
 def text_channels(rows: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, visible_text, structural_core): the pieces come from the tree, the channels are put together by expressions."""
-    given = rows.select(id_col, tx.without_scripts(F.coalesce(F.col(html_col), F.lit(""))).alias("html"))
+    given = bounded_batches(rows).select(id_col, tx.without_scripts(F.coalesce(F.col(html_col), F.lit(""))).alias("html"))
 
     def pieced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed, text as tx, url as ur
 from ..sources import page_folder
 from ..sources.pages import write_summary
-from . import boosting, dedup, explain, html_features, metrics, models, splits
+from . import boosting, dedup, embedding, explain, html_features, metrics, models, splits
 from .boosting import Trees
 from .cache import ContentCache
 from .rows import keyed
@@ -34,13 +34,14 @@ class Bundle:
     meta: LogisticRegressionModel
     platt: LogisticRegressionModel
     means: dict[str, tuple[float, float]]
+    encoder: str | None = None
 
     def save(self, spark: SparkSession, path: str, about: dict | None = None) -> None:
         """Write the models below one folder, with scaling, trees and what else is told about them as JSON; what was there is replaced."""
         for name in ("reduction", "meta", "platt"):
             if (model := getattr(self, name)) is not None:
                 model.write().overwrite().save(f"{path}/{name}")
-        said = {"numeric": self.numeric.to_json(), "text": self.text.to_json(), "means": self.means, "reduced": self.reduction is not None, "about": about or {}}
+        said = {"numeric": self.numeric.to_json(), "text": self.text.to_json(), "means": self.means, "reduced": self.reduction is not None, "encoder": self.encoder, "about": about or {}}
         spark.createDataFrame([(json.dumps(said),)], "said string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
 
     @classmethod
@@ -50,22 +51,24 @@ class Bundle:
         meta, platt = (LogisticRegressionModel.load(f"{path}/{name}") for name in ("meta", "platt"))
         reduction = PCAModel.load(f"{path}/reduction") if said["reduced"] else None
         means = {k: (m, s) for k, (m, s) in said["means"].items()}
-        return cls(Trees.from_json(said["numeric"]), Trees.from_json(said["text"]), reduction, meta, platt, means), said["about"]
+        return cls(Trees.from_json(said["numeric"]), Trees.from_json(said["text"]), reduction, meta, platt, means, said["encoder"]), said["about"]
 
 
-def _described(pages: DataFrame, key: str, html_col: str) -> DataFrame:
+def _described(pages: DataFrame, key: str, html_col: str, encoder: str | None = None) -> DataFrame:
     rows = html_features.features(pages, key, html_col).join(html_features.text_channels(pages, key, html_col), key)
+    if encoder:
+        return embedding.channels(rows, "visible_text", "structural_core", "embedding", encoder)
     both = models.embedded(models.embedded(rows, "visible_text", CHANNEL, "_a"), "structural_core", CHANNEL, "_b")
     return both.withColumn("embedding", models.joined_channels(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def described(pages: DataFrame, key: str, html_col: str, cache: ContentCache | None = None) -> DataFrame:
-    """Numeric features, channels and the two channels' embedding of each page, by a key that is unique, written once. Null html counts as empty. With a cache, only contents that it lacks are described."""
+def described(pages: DataFrame, key: str, html_col: str, cache: ContentCache | None = None, encoder: str | None = None) -> DataFrame:
+    """Numeric features, channels and the two channels' embedding of each page, by a key that is unique, written once. Null html counts as empty. With a cache, only contents that it lacks are described. encoder: the model of the embedding, "module:function"; hashed words without one."""
     if cache is None:
-        return stage(_described(pages, key, html_col), "described")
+        return stage(_described(pages, key, html_col, encoder), "described")
     html = F.coalesce(F.col(html_col), F.lit(""))
     named = pages.select(F.col(key).alias("_page"), dedup.content_key(html).alias("key"), html.alias("html"))
-    known = cache.get(named.select("key", "html"), lambda missing: _described(missing, "key", "html"))
+    known = cache.get(named.select("key", "html"), lambda missing: _described(missing, "key", "html", encoder))
     return stage(named.select("_page", "key").join(known, "key").drop("key").withColumnRenamed("_page", key), "described")
 
 
@@ -76,21 +79,21 @@ def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reducti
     return models.reduced(numeric, reduction, "embedding").withColumn("x_text", array_to_vector("reduced"))
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None, cache_dir: str | None = None) -> tuple[Bundle, DataFrame, dict]:
+def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None, cache_dir: str | None = None, encoder: str | None = None) -> tuple[Bundle, DataFrame, dict]:
     """(models, test rows with scores, what the training found). Copies never cross the split; scaling and reduction see train alone, the blend out-of-fold scores alone, the calibration val alone.
 
     draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; 20 of the grid unless others are given. Without any ([]) both voters have `trees` trees of the default
     parameters. width: of the reduced embedding, at most the embedding's own. Rows keep their ids, repeated and null ones too; rows without a label train nothing. Of an empty table come models without trees and no test rows.
-    cache_dir: where descriptions and signatures of contents are kept, so that training over a table that has grown works out what is new.
+    cache_dir: where descriptions and signatures of contents are kept, so that training over a table that has grown works out what is new. encoder: see described(); the bundle names it.
     """
     draws = models.drawn() if draws is None else draws
     spark = pages.sparkSession
-    kept = [ContentCache(spark, f"{cache_dir}/{name}", version) if cache_dir else None for name, version in (("described", DESCRIBED_VERSION), ("signatures", dedup.SIGNATURE_VERSION))]
+    kept = [ContentCache(spark, f"{cache_dir}/{name}", version) if cache_dir else None for name, version in (("described", f"{DESCRIBED_VERSION}-{(encoder or 'hashed').replace(':', '.')}"), ("signatures", dedup.SIGNATURE_VERSION))]
     pages, key = keyed(pages.where(F.col(label_col).isNotNull()).select(id_col, html_col, label_col), id_col, html_col, label_col)
     bodies = pages.select(key, html_col, label_col, html_features.body_of(F.col(html_col)).alias("_body"))
     groups = dedup.near_groups(bodies, key, html_col, label_col, shingled_col="_body", cache=kept[1])
     split = splits.group_split(groups, "group_id").select(key, "split")
-    rows = stage(described(pages, key, html_col, kept[0]).join(pages.select(key, *({id_col, label_col} - {key})), key).join(split, key), "rows")
+    rows = stage(described(pages, key, html_col, kept[0], encoder).join(pages.select(key, *({id_col, label_col} - {key})), key).join(split, key), "rows")
     fit = rows.where("split = 'train'")
     stats = fit.agg(*(F.avg(c).alias(f"m_{c}") for c in fixed.FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in fixed.FEATURES)).first()
     means = {c: (float(stats[f"m_{c}"] or 0.0), float(stats[f"s_{c}"] or 1.0)) for c in fixed.FEATURES}
@@ -123,7 +126,7 @@ def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: i
     found |= {"splits": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}, "decision_threshold": fixed.PHISHING_FROM, "params": params, "cv_auc": aucs}
     found |= {"n_described": kept[0].computed, "n_signed": kept[1].computed} if cache_dir else {}
     found |= {"n_trees": {"p_numeric": len(numeric), "p_text": len(text)}, "reduced_width": reduction.getK() if reduction else 0, "meta_lr_coef": meta.coefficients.toArray().tolist(), "meta_lr_intercept": float(meta.intercept), "numeric_columns": fixed.FEATURES}
-    return Bundle(numeric, text, reduction, meta, platt, means), test, found
+    return Bundle(numeric, text, reduction, meta, platt, means, encoder), test, found
 
 
 def train_folder(spark: SparkSession, root: str, bundle_dir: str, cache_dir: str | None = None, **settings) -> tuple[Bundle, DataFrame, dict]:
@@ -150,7 +153,7 @@ def summary(test: DataFrame, label_col: str, found: dict | None = None) -> DataF
 
 def scored(pages: DataFrame, bundle: Bundle, key: str, html_col: str) -> DataFrame:
     """Features, votes, the blend and what they come from, by a key that is unique."""
-    rows = ready(described(pages, key, html_col), bundle.means, bundle.reduction)
+    rows = ready(described(pages, key, html_col, encoder=bundle.encoder), bundle.means, bundle.reduction)
     done = voted(rows, bundle.numeric, bundle.text, bundle.meta).withColumn("p_final", F.round(models.logistic_score(bundle.platt, "p_blend"), 4))
     attributed = explain.tree_attributions(done, bundle.numeric, fixed.FEATURES, key, "x_numeric", F.array(*(F.col(c).cast("double") for c in fixed.FEATURES))).select(key, "attributions")
     parts = explain.blend_contributions(bundle.meta, numeric=F.col("p_numeric"), text=F.col("p_text"))

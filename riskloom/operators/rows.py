@@ -22,3 +22,11 @@ def keyed(rows: DataFrame, id_col: str, *then: str) -> tuple[DataFrame, str]:
     if dict(rows.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") and rows.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).isEmpty():
         return rows.withColumn(key, F.col(id_col).cast("long")), key
     return stage(rows.orderBy(*(F.col(c).asc_nulls_last() for c in (id_col, *then))).withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def bounded_batches(rows: DataFrame, most: str = "4m") -> DataFrame:
+    """rows, whose session from now on sends whole texts to Python a few MB at a time, unless it was given a size itself."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", rows.sparkSession.conf
+    if conf.get(name, most) == most:
+        conf.set(name, most)
+    return rows

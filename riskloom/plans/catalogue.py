@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text as tx, url as ur
-from ..operators import boosting, dedup, explain, html_features, metrics, models, reports, splits, umap
+from ..operators import boosting, dedup, embedding, explain, html_features, metrics, models, reports, splits, umap
 from ..operators.stages import shared_dir, stage
 from ..sources import page_folder
 
@@ -408,6 +408,13 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.embedded(read(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
 
 
+@query()
+def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both text channels of each page under a small encoder of fixed weights, in batches, as one vector."""
+    both = html_features.text_channels(read(spark, sf_dir, "pages"), "page_id", "html")
+    return embedding.channels(both, "visible_text", "structural_core", "embedding").select("page_id", "embedding")
+
+
 @query()
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,34 @@ def test_titles_hrefs_and_null_pages(spark):
     assert [(r.count_external_links, r.count_internal_links) for r in html_features.link_counts(rows, "page_id", "html").orderBy("page_id").collect()] == [(1, 1), (0, 0)]
     assert html_features.tag_counts(rows, "page_id", "html").where("page_id = 2").first().count_tag__a == 0
     assert reports.diagnose(rows.withColumn("url", F.lit("u")), "page_id", "url", "html").where("page_id = 2").first().n_lines == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table><tr><td>1<td>2<tr><th>3</table>", "table(tr(td td) tr(th))"),
+        ("<table><thead><tr><td>1<tbody><tr><td>2</table>x", "table(thead(tr(td)) tbody(tr(td)))"),
+        ("<dl><dt>a<dd>b<dt>c</dl><select><option>1<option>2</select>", "dl(dt dd dt) select(option option)"),
+        ("<p>a<b>c</p>d</b></i>", "p(b)"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "ul(li(ul(li)) li)"),
+        ("<table><tr><td><table><tr><td>in</table><td>out</table>", "table(tr(td(table(tr(td))) td))"),
+    ],
+)
+def test_elements_end_as_the_rules_say(page, want):
+    shape = lambda e: e.name + ("(" + " ".join(map(shape, kids)) + ")" if (kids := [c for c in e.children if isinstance(c, dom.Element)]) else "")
+    (body,) = dom.parse(page).all("body")
+    assert " ".join(shape(c) for c in body.children if isinstance(c, dom.Element)) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</span></p></td>" * 40_000, "<form>" + "<span>" * 20_000 + "x", "<li>" * 100_000, "<td>a" * 100_000, "<a href=x>" * 30_000, "<p><b>" * 50_000])
+def test_deep_pages_take_no_more_than_their_length(page):
+    began = time.process_time()
+    dom.counts(page, fixed.COUNTED_TAGS), dom.pieces(page)
+    assert time.process_time() - began < 8
+
+
+def test_texts_of_nested_elements():
+    document = dom.parse("<p>a<b> c <i>d</i></b></p><p></p>")
+    texts = dom.Texts(document)
+    assert [texts.of(e) for e in document.all("p", "b", "i")] == ["a c d", "c d", "d", ""] == [e.text() for e in document.all("p", "b", "i")]
+    assert [len(texts.short(e, 1)) > 1 for e in document.all("p", "i")] == [True, False, False]
