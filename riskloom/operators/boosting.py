@@ -269,7 +269,8 @@ def grow(rows: _Held | _Spread, width: int, cuts: list[np.ndarray], base: float,
             for node, found in zip(nodes, _best_splits(sums, p), strict=True):
                 if found:
                     _, c, b, left, right = found
-                    active += tree.split(node, int(columns[c]), b, left, right)
+                    # a node with less than two children's least Hessian can't be split
+                    active += [x for x in tree.split(node, int(columns[c]), b, left, right) if tree.sums[x][1] >= 2 * p["min_child_weight"]]
             if not active:
                 break
         rows.add(tree, p)
