@@ -55,7 +55,7 @@ def nodes(frame):
 def made(seed):
     """Branching talks with many copies, chains of common turns, and some long ones."""
     rng, rows = random.Random(seed), []
-    for c in range(-120, 420):
+    for c in range(-60, 240):
         if rng.random() < 0.1:
             continue
         kind = rng.random()
@@ -69,7 +69,7 @@ def made(seed):
     return rows + [(1000, i, "u", f"long {i}") for i in range(150)]
 
 
-@pytest.mark.parametrize(("seed", "most", "held"), [(0, 1, 1), (1, 12, 100), (2, 2048, 4 << 20)])
+@pytest.mark.parametrize(("seed", "most", "held"), [(0, 4, 1), (1, 60, 100), (2, 2048, 4 << 20)])
 def test_nodes_are_the_plain_ones(spark, monkeypatch, seed, most, held):
     monkeypatch.setattr(conversation_trie, "HELD", held)
     rows = made(seed)
@@ -78,7 +78,7 @@ def test_nodes_are_the_plain_ones(spark, monkeypatch, seed, most, held):
 
 def test_odd_rows(spark):
     rows = [(1, None, None, None), (1, None, None, None), (1, 0, "a", None), (2, 5, None, "b"), (2, 5, "b", None), (3, 1, "12", "x"), (4, 1, "1", "2x"), (100, None, "", ""), (199, 3, "z", "z"), (-1, 0, "z", "z"), (None, 0, "lost", "lost"), (2**62, 1, "a", "t" * 100_000)]
-    for most in (1, 2048):
+    for most in (3, 2048):
         assert nodes(conversation_trie.prefix_nodes(table(spark, rows), most)) == plain(rows)
 
 
