@@ -43,10 +43,11 @@ _OUT_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice newsletter subscribe signup popup modal overlay menu nav navbar "
     "navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies related recommended share sharing social widget toolbar pagination pager skip login".split()
 )
-#: Words that may stand beside those in a class or id without changing what it marks; with any other word (share-price, social-history) it is a name of the page's own.
+#: Of these, words that mean other things as well, and words that may stand beside them without changing what they mark; with any other word (share-price, social-history) it is a name of the page's own.
+_DOUBTFUL = frozenset("share sharing social related recommended notice promotion sponsor comment respond replies consent menu skip login search subscribe widget toolbar overlay footer".split())
 _PLAIN_WORDS = frozenset(
-    "area bar block body bottom box btn button buttons col column container content desktop first fixed footer form group header icon icons inner item items js last layout left link links list main middle mobile module "
-    "no outer page panel post primary right row section secondary site sticky text thread title top unit user wrap wrapper global local".split()
+    "also area articles bar block body bottom box btn button buttons col column container content count desktop email facebook first fixed footer form group header icon icons inner item items js last layout left link links list main middle mobile module "
+    "more news no outer page panel policy post posts print primary read reply right row section secondary site slot sticky stories text thread title tools top twitter unit user wrap wrapper global local".split()
 )
 #: Heads of pages by these words too, but not inside an article.
 _HEAD_WORDS = frozenset(["header"])
@@ -78,7 +79,8 @@ def _dropped(tag: str, attributes: str, level: int) -> bool:
             for one in value.split():
                 words = {x.lower() for x in _PARTS.split(one) if x}
                 marks = words & _OUT_WORDS or not level and words & _HEAD_WORDS
-                if tag not in ("html", "body", "article", "main") and marks and words <= _OUT_WORDS | _PLAIN_WORDS or tag == "article" and words & {"comment", "comments"}:
+                sure = words & (_OUT_WORDS - _DOUBTFUL) or words <= _OUT_WORDS | _PLAIN_WORDS | _HEAD_WORDS
+                if tag not in ("html", "body", "article", "main") and marks and sure or tag == "article" and words & {"comment", "comments"}:
                     return True
         elif name == "role" and value.lower() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True

@@ -270,7 +270,7 @@ def keep_all(_):
         ("<div>say <i>it</i><!-- no > no --> now &lt;b&gt; &#233; 1 < 2</div>", ["say it now <b> é 1 < 2"]),
         ("<article><p>x<style>p{}", ["x"]),
         ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
-        ("<body><div class='post share-price'><p>Shares of the firm rose</p></div><div class='share-buttons top'>x</div><div class='ad_box-2'>y</div>", ["Shares of the firm rose"]),
+        ("<body><div class='post share-price'><p>Shares of the firm rose</p></div><div class='share-buttons top'>x</div><div class='ad_box-2'>y</div><div class='cookie-law-xy'>z</div><div id='relatedPosts'>r</div>", ["Shares of the firm rose"]),
         ("<p><a href=x>All of it is a link</a></p><ul><li><a href=y>menu</a><li>entry</ul>", ["All of it is a link", "entry"]),
         ("<article class='comment'><p>c</article><div class='post'><p>t</div><div id='post-comments'>c</div>", ["t"]),
     ],
