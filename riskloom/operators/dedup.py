@@ -172,7 +172,7 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
 def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, threshold: float = 0.98, shingled_col: str | None = None, cache: ContentCache | None = None) -> DataFrame:
     """(id, group_id): exact copies join across labels, near copies of `threshold` or more within a label; all rows are kept, numbered densely from 0 by their smallest id. shingled_col: what near copies are told by, where that isn't the text itself; rows of equal text must have equal ones.
 
-    Repeated and null ids stay rows of their own, null ones last in the order; a null label is a label. Work is per distinct text and label. Sketches, of a cache as far as it has them, place texts in buckets; texts that buckets join are a family.
+    Repeated and null ids stay rows of their own, null ones last in the order; a null label is a label. Links are sought between distinct texts of a label. Sketches, of a cache as far as it has them, place texts in buckets; texts that buckets join are a family.
     A family has a centre, the runs of more than half of a few of its members, and a member is told by its difference from the centre, which two members that differ in little share but for as little:
     |x ^ y| = |(x ^ c) ^ (y ^ c)|. So members whose differences have no run in common link only if both are near the centre, and then both link with the member nearest to it; all others that link share one of their rarest differences.
     Many copies that are near each other, but not so near as to link, thus don't meet pair by pair. Sets are compared whole, by 64-bit names.
@@ -181,13 +181,14 @@ def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, thr
     taken = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.col(label_col).alias("label")).alias("label"), F.col(shingled).alias("shingled"))
     taken, key = keyed(taken, "id", "text", "label")
     named = stage(taken.select("id", F.col(key).alias("key"), "label", content_key(F.col("text")).alias("md5"), content_key(F.col("shingled")).alias("sketched"), F.col("shingled").alias("text")), "named")
-    kinds = stage(named.groupBy("md5", "label").agg(F.min("key").alias("rep"), F.first("sketched").alias("sketched"), F.first("text").alias("text")), "kinds")
     if cache is None:
-        signed = sketches(kinds, "rep", "text", "label")
+        signed = sketches(named, "key", "text", "md5", "label")
     else:
-        known = cache.get(kinds.select(F.col("sketched").alias("key"), "text"), lambda missing: sketches(missing, "key", "text"))
-        signed = kinds.select("rep", "label", F.col("sketched").alias("key")).join(known, "key").select("rep", "label", "n", "bands")
-    links = _links(kinds, stage(signed, "sketches"), threshold)
+        known = cache.get(named.select(F.col("sketched").alias("key"), "text"), lambda missing: sketches(missing, "key", "text")).withColumnRenamed("key", "sketched")
+        signed = named.select("key", "md5", "label", "sketched").join(known, "sketched").select("key", "md5", "label", "n", "bands")
+    # digests and sketches meet by content; texts stay where they are but for those of families
+    kinds = stage(signed.groupBy("md5", "label").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "kinds")
+    links = _links(named.select(F.col("key").alias("rep"), "text"), kinds, threshold)
     first = named.groupBy("md5").agg(F.min("key").alias("b"))
     across = named.join(first, "md5").select(F.col("key").alias("a"), "b").where("a <> b")
     to_rep = named.join(kinds.select("md5", "label", F.col("rep").alias("b")), ["md5", "label"]).select(F.col("key").alias("a"), "b").where("a <> b")
@@ -196,7 +197,7 @@ def near_groups(rows: DataFrame, id_col: str, text_col: str, label_col: str, thr
     return groups.join(dense(groups.select("root").distinct(), "root", "group_id"), "root").select(F.col("id").alias(id_col), "group_id")
 
 
-def _links(kinds: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def _links(texts: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of `threshold` or more, so many that they join what all such pairs join."""
     bucket = ["label", "band", "bucket"]
     placed = signed.select("rep", "label", F.posexplode("bands").alias("band", "bucket"))
@@ -206,7 +207,7 @@ def _links(kinds: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     members = families.join(parts, "root").select(F.col("root").alias("family"), F.col("node").alias("rep"), "parts")
     telling = members.groupBy("family", F.pmod(F.xxhash64("rep"), F.lit(TELLING))).agg(F.min("rep").alias("rep")).select("rep", F.lit(True).alias("tells"))
     members = stage(members.join(telling, "rep", "left").withColumn("tells", F.coalesce("tells", F.lit(False))), "members")
-    held = stage(_differences(kinds, members, threshold), "differences")
+    held = stage(_differences(texts, members, threshold), "differences")
 
     about = held.select("family", "rep", "n", F.size("differs").alias("d"), "least")
     weight = F.round(F.col("d") * (1 + threshold) - F.col("n") * (1 - threshold), 6)
@@ -241,15 +242,15 @@ def _alike(held: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(both >= F.lit(threshold) * (F.col("n") + F.col("m") - both)).select("a", "b")
 
 
-def _differences(kinds: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+def _differences(texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(family, rep, n, differs, least): the runs in which a member differs from the centre of its family, and so many of the rarest of them that members which link and have any in common have one of these in common.
 
-    Large families come in slices, each with the members that tell the centre; these are the only texts held at once.
+    Large families come in slices, each with the members that tell the centre; these are the only texts held at once. Members grow with the table and are never broadcast.
     """
     slot = F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int")
     own = members.select("family", slot.alias("slot"), (F.col("tells") & (F.col("parts") == 1)).alias("tells"), F.lit(True).alias("counts"), "rep")
     lent = members.where("tells and parts > 1").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"), "tells", F.lit(False).alias("counts"), "rep")
-    rows = own.unionByName(lent).join(kinds.select("rep", tx.packed(F.col("text")).alias("text")), "rep").select("family", "slot", "tells", "counts", "rep", "text")
+    rows = own.unionByName(lent).hint("merge").join(texts.select("rep", tx.packed(F.col("text")).alias("text")), "rep").select("family", "slot", "tells", "counts", "rep", "text")
     sliced = bounded_batches(rows).repartition("family", "slot").sortWithinPartitions("family", "slot", F.desc("tells"), "rep")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
