@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed, text as tx, url as ur
 from ..sources import page_folder
 from ..sources.pages import write_summary
-from . import boosting, dedup, embedding, explain, html_features, metrics, models, splits
+from . import boosting, dedup, embedding, explain, html_features, metrics, models, splits, umap
 from .boosting import Trees
 from .cache import ContentCache
 from .rows import keyed
@@ -30,7 +30,7 @@ class Bundle:
 
     numeric: Trees
     text: Trees
-    reduction: PCAModel | None
+    reduction: PCAModel | umap.Reduction | None
     meta: LogisticRegressionModel
     platt: LogisticRegressionModel
     means: dict[str, tuple[float, float]]
@@ -38,10 +38,12 @@ class Bundle:
 
     def save(self, spark: SparkSession, path: str, about: dict | None = None) -> None:
         """Write the models below one folder, with scaling, trees and what else is told about them as JSON; what was there is replaced."""
-        for name in ("reduction", "meta", "platt"):
-            if (model := getattr(self, name)) is not None:
-                model.write().overwrite().save(f"{path}/{name}")
-        said = {"numeric": self.numeric.to_json(), "text": self.text.to_json(), "means": self.means, "reduced": self.reduction is not None, "encoder": self.encoder, "about": about or {}}
+        laid = isinstance(self.reduction, umap.Reduction)
+        for name in ("meta", "platt", *(("reduction",) if self.reduction is not None and not laid else ())):
+            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        if laid:
+            self.reduction.save(spark, f"{path}/reduction")
+        said = {"numeric": self.numeric.to_json(), "text": self.text.to_json(), "means": self.means, "reduced": "umap" if laid else "pca" if self.reduction is not None else None, "encoder": self.encoder, "about": about or {}}
         spark.createDataFrame([(json.dumps(said),)], "said string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
 
     @classmethod
@@ -49,7 +51,8 @@ class Bundle:
         """(bundle, what was told about it)."""
         said = json.loads(spark.read.text(f"{path}/bundle").first()[0])
         meta, platt = (LogisticRegressionModel.load(f"{path}/{name}") for name in ("meta", "platt"))
-        reduction = PCAModel.load(f"{path}/reduction") if said["reduced"] else None
+        kind = {"umap": lambda x: umap.Reduction.load(spark, x), "pca": PCAModel.load, None: lambda _: None}[said["reduced"]]
+        reduction = kind(f"{path}/reduction")
         means = {k: (m, s) for k, (m, s) in said["means"].items()}
         return cls(Trees.from_json(said["numeric"]), Trees.from_json(said["text"]), reduction, meta, platt, means, said["encoder"]), said["about"]
 
@@ -72,20 +75,24 @@ def described(pages: DataFrame, key: str, html_col: str, cache: ContentCache | N
     return stage(named.select("_page", "key").join(known, "key").drop("key").withColumnRenamed("_page", key), "described")
 
 
-def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reduction: PCAModel | None) -> DataFrame:
+def ready(rows: DataFrame, bundle_means: dict[str, tuple[float, float]], reduction: PCAModel | umap.Reduction | None) -> DataFrame:
     """Scaled numeric features and the reduced embedding as the two voters' inputs."""
     scaled = rows.withColumns({f"s_{c}": (F.col(c).cast("double") - m) / s for c, (m, s) in bundle_means.items()})
     numeric = models.assembled(scaled, [f"s_{c}" for c in bundle_means], "x_numeric")
-    return models.reduced(numeric, reduction, "embedding").withColumn("x_text", array_to_vector("reduced"))
+    done = umap.transform(numeric, reduction, "embedding") if isinstance(reduction, umap.Reduction) else models.reduced(numeric, reduction, "embedding")
+    return done.withColumn("x_text", array_to_vector("reduced"))
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None, cache_dir: str | None = None, encoder: str | None = None) -> tuple[Bundle, DataFrame, dict]:
+def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: int = models.MOST_TREES, patience: int = models.PATIENCE, width: int = models.REDUCED, draws: list[dict] | None = None, cache_dir: str | None = None, encoder: str | None = None, reducer: str = "pca") -> tuple[Bundle, DataFrame, dict]:
     """(models, test rows with scores, what the training found). Copies never cross the split; scaling and reduction see train alone, the blend out-of-fold scores alone, the calibration val alone.
 
     draws: parameters to search for each voter over folds, which then settle its number of trees, at most `trees`; 20 of the grid unless others are given. Without any ([]) both voters have `trees` trees of the default
-    parameters. width: of the reduced embedding, at most the embedding's own. Rows keep their ids, repeated and null ones too; rows without a label train nothing. Of an empty table come models without trees and no test rows.
+    parameters. width: of the reduced embedding, with principal components at most the embedding's own. Rows keep their ids, repeated and null ones too; rows without a label train nothing. Of an empty table come models without trees and no test rows.
     cache_dir: where descriptions and signatures of contents are kept, so that training over a table that has grown works out what is new. encoder: see described(); the bundle names it.
+    reducer: "pca", or "umap" for the layout of near neighbours, whose training rows have to fit umap.HELD_BYTES (an error says so).
     """
+    if reducer not in ("pca", "umap"):
+        raise ValueError(f"no reducer {reducer!r}")
     draws = models.drawn() if draws is None else draws
     spark = pages.sparkSession
     kept = [ContentCache(spark, f"{cache_dir}/{name}", version) if cache_dir else None for name, version in (("described", f"{DESCRIBED_VERSION}-{(encoder or 'hashed').replace(':', '.')}"), ("signatures", dedup.SIGNATURE_VERSION))]
@@ -97,7 +104,7 @@ def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: i
     fit = rows.where("split = 'train'")
     stats = fit.agg(*(F.avg(c).alias(f"m_{c}") for c in fixed.FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in fixed.FEATURES)).first()
     means = {c: (float(stats[f"m_{c}"] or 0.0), float(stats[f"s_{c}"] or 1.0)) for c in fixed.FEATURES}
-    reduction = models.reducer(fit, "embedding", width)
+    reduction = models.reducer(fit, "embedding", width) if reducer == "pca" else umap.fit(fit, key, "embedding", width).some()
     rows = stage(ready(rows, means, reduction), "ready")
     fit, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     voters, params, sizes, aucs = {"p_numeric": "x_numeric", "p_text": "x_text"}, {}, dict.fromkeys(("p_numeric", "p_text"), trees), {}
@@ -125,7 +132,7 @@ def train(pages: DataFrame, id_col: str, html_col: str, label_col: str, trees: i
     found |= {"warnings": warned, "n_files": sum(count.values()), "n_phishing": count.get(1, 0), "n_benign": count.get(0, 0)}
     found |= {"splits": {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}, "decision_threshold": fixed.PHISHING_FROM, "params": params, "cv_auc": aucs}
     found |= {"n_described": kept[0].computed, "n_signed": kept[1].computed} if cache_dir else {}
-    found |= {"n_trees": {"p_numeric": len(numeric), "p_text": len(text)}, "reduced_width": reduction.getK() if reduction else 0, "meta_lr_coef": meta.coefficients.toArray().tolist(), "meta_lr_intercept": float(meta.intercept), "numeric_columns": fixed.FEATURES}
+    found |= {"n_trees": {"p_numeric": len(numeric), "p_text": len(text)}, "reducer": reducer, "reduced_width": reduction.places.shape[1] if isinstance(reduction, umap.Reduction) else reduction.getK() if reduction else 0, "meta_lr_coef": meta.coefficients.toArray().tolist(), "meta_lr_intercept": float(meta.intercept), "numeric_columns": fixed.FEATURES}
     return Bundle(numeric, text, reduction, meta, platt, means, encoder), test, found
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .models import reduced, reducer
 from .stages import stage
@@ -124,6 +124,22 @@ class Reduction:
     places: np.ndarray
     k: int
 
+    def some(self) -> Reduction | None:
+        """Itself, None if no row was fitted."""
+        return self if len(self.ids) else None
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A row a fitted row; HELD_BYTES bounds them."""
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (self.vectors, self.places)]
+        rows = pa.table([pa.array(self.ids, pa.int64()), *lists, pa.array(np.full(len(self.ids), self.k))], ["id", "vector", "place", "k"])
+        spark.createDataFrame(rows).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Reduction:
+        rows = spark.read.parquet(path).orderBy("id").toArrow().combine_chunks()
+        vectors, places = (_vectors(pa.concat_arrays(rows.column(c).chunks)) for c in ("vector", "place"))
+        return cls(rows.column("id").to_numpy(), vectors, places, rows.column("k")[0].as_py())
+
 
 def _moved(places: np.ndarray, own: np.ndarray, head: np.ndarray, tail: np.ndarray, weight: np.ndarray, begin: int, epochs: int, total: int, seed: int) -> np.ndarray:
     """own after some epochs: edges are drawn by their weights, each pulls its row to the other end, and PUSHES rows drawn by chance push it away."""

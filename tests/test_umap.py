@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import umap
+from riskloom.operators import reports, umap
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,21 @@ def test_odd_tables(spark, rolled):
             umap.fit(rows, "id", "v")
         finally:
             umap.HELD_BYTES = saved
+
+
+def test_training_on_the_layout_and_its_saved_models(spark, tmp_path):
+    said = F.concat(F.lit("<p>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.substring(F.sha2(F.concat_ws("/", (F.col("id") * 37 + i) % 90), 256), 1, 6)), " "), F.lit("</p>"))
+    rows = spark.range(90).select("id", (F.col("id") % 2).cast("int").alias("label"), said.alias("html"))
+    bundle, test, found = reports.train(rows, "id", "html", "label", trees=3, width=8, draws=[], reducer="umap")
+    assert found["reducer"] == "umap" and found["reduced_width"] == 8 and test.count() == found["splits"]["test"]
+    assert len(bundle.reduction.ids) == found["splits"]["train"]  # fitted on training rows alone
+    bundle.save(spark, (tmp_path / "b").as_uri())
+    again, _ = reports.Bundle.load(spark, (tmp_path / "b").as_uri())
+    assert all(np.array_equal(getattr(again.reduction, x), getattr(bundle.reduction, x)) for x in ("ids", "vectors", "places", "k"))
+    pages = rows.withColumn("url", F.lit("http://a.example"))
+    shown = lambda b: reports.scan(pages, b, "id", "url", "html").orderBy("id").collect()
+    assert shown(again) == shown(bundle)
+    none, test, found = reports.train(rows.limit(0), "id", "html", "label", trees=3, width=8, draws=[], reducer="umap")
+    assert none.reduction is None and test.count() == 0
+    with pytest.raises(ValueError, match="reducer"):
+        reports.train(rows, "id", "html", "label", reducer="other")
