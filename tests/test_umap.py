@@ -86,3 +86,33 @@ def test_training_on_the_layout_and_its_saved_models(spark, tmp_path):
     assert none.reduction is None and test.count() == 0
     with pytest.raises(ValueError, match="reducer"):
         reports.train(rows, "id", "html", "label", reducer="other")
+
+
+def test_distances_are_in_memory_in_parts_and_ties_go_to_the_smaller_place(spark, rolled, monkeypatch):
+    x, _, rows = rolled
+    x = np.round(x)
+    x[100:180] = x[7]
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0.0))
+    want = np.argsort(d, 1, kind="stable")[:, :15]
+    monkeypatch.setattr(umap, "AT_ONCE", 1500)
+    seen, cut = [], np.partition
+    monkeypatch.setattr(umap.np, "partition", lambda d, *a: seen.append(d.size) or cut(d, *a))
+    near, far = umap._nearest(x, x, 15, False)
+    assert np.array_equal(near, want) and np.array_equal(far, np.take_along_axis(d, want, 1))
+    assert max(seen) <= 1500  # not rows by rows
+    near, _ = umap._nearest(x, x, 15, True)
+    assert not (near == np.arange(600)[:, None]).any()
+    model = umap.Reduction(np.arange(600), x, np.random.default_rng(3).random((600, 2)), 15)
+    mean, (names, place) = umap._own(model)
+    at = np.searchsorted(names, umap._names(x[[7, 300]]))
+    assert np.allclose(mean[at], [model.places[[7, *range(100, 114)]].mean(0), model.places[300]])
+
+
+def test_a_row_s_place_is_its_own_whatever_is_beside_it(spark, rolled):
+    _, _, rows = rolled
+    model = umap.fit(rows.where("id % 4 <> 0"), "id", "v", 2, epochs=10)
+    far = rows.withColumn("v", F.transform("v", lambda v: v * 1000))
+    alone = {r.id: r.reduced for r in umap.transform(rows.coalesce(1), model, "v").collect()}
+    mixed = {r.id: r.reduced for r in umap.transform(far.withColumn("id", F.col("id") + 1000).unionByName(rows).coalesce(1), model, "v").collect()}
+    assert all(np.allclose(mixed[i], alone[i], atol=1e-9) for i in range(600))
+    assert all(alone[int(i)] == p for i, p in zip(model.ids, model.places.tolist()))  # exactly
