@@ -114,3 +114,22 @@ def test_leaving_one_out_is_refitting(numbers, balanced, c):
 def test_pooling_takes_the_mask(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [3.0, 4.0], 1), (1, [9.0, 9.0], 0)], "id long, v array<double>, m int")
     assert models.pooled(rows, "id", "v", "m").first().pooled == [2.0, 3.0]
+
+
+def test_leaving_one_out_where_probabilities_are_0_or_1_to_the_last_bit(spark):
+    rows = spark.createDataFrame([(i, i % 2, (i % 2) * 2.0 - 1.0 + 0.01 * (i % 5)) for i in range(60)] + [(60, 1, 900.0), (61, 0, -900.0)], "id long, y int, a double")
+    whole = models.logistic(rows, "y", ["a"], False, 1e10)
+    assert {0.0, 1.0} <= {r.p for r in rows.select(models.logistic_score(whole, "a").alias("p")).collect()}
+    got = {r.id: r.loo_score for r in models.left_out(rows, whole, "y", ["a"], False, 1e10, most=10).collect()}
+    assert len(got) == 62 and all((s > 0.5) == (i == 60 or i < 60 and i % 2 == 1) for i, s in got.items())
+
+
+def test_the_curve_of_left_out_scores_compiles_where_rows_are_many(spark, numbers):
+    whole = models.logistic(numbers, "y", ["a", "b"])
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # what doesn't compile is an error
+    try:
+        left = models.left_out(numbers, whole, "y", ["a", "b"], most=10)
+        assert metrics.curves(left, "y", "loo_score").first().roc_auc > 0.5
+        assert "EXP" not in left._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
