@@ -130,3 +130,8 @@ def test_texts_of_nested_elements():
     texts = dom.Texts(document)
     assert [texts.of(e) for e in document.all("p", "b", "i")] == ["a c d", "c d", "d", ""] == [e.text() for e in document.all("p", "b", "i")]
     assert [len(texts.short(e, 1)) > 1 for e in document.all("p", "i")] == [True, False, False]
+
+
+def test_a_reference_cut_short_stays_in_a_title(spark):
+    rows = spark.createDataFrame([("<title>a&amp;&amp;&amp</title>",), ("<title>&lt;b&gt; &amp;lt; &#65;&copy x&copy;</title>",)], "html string")
+    assert [r.t for r in rows.select(html_features.title_of("html").alias("t")).collect()] == ["a&&&amp", "<b> &lt; A&copy x©"]
