@@ -144,3 +144,23 @@ def test_no_rows_and_one_class(spark, table):
     assert boosting.probability(model, empty, "p").count() == 0
     alone = models.boosted(table.where("y = 1"), "y", "id", trees=2)
     assert all(r.p > 0.99 for r in boosting.probability(alone, table, "p").select("p").collect())
+
+
+def test_a_level_counts_the_smaller_child_only(monkeypatch):
+    rng = np.random.default_rng(5)
+    bins, n = rng.integers(0, 16, (4000, 3)).astype(np.uint8), 4000
+    y = ((bins[:, 0] > 5) ^ (bins[:, 1] > 9)).astype(int)
+    seen, counted = [], boosting._Held._counted
+    monkeypatch.setattr(boosting._Held, "_counted", lambda self, rows, columns: seen.append(len(rows)) or counted(self, rows, columns))
+    m = boosting.Matrix(np.arange(n), y, np.ones(n), np.zeros(n, bool), bins, {})
+    model = boosting.fit_held(m, m.marked, ~m.marked, m.weight, [np.arange(15.0)] * 3, 1, 5, {"subsample": 1.0})
+    assert len(model) == 1 and seen[0] == n and sum(seen) <= n + 3 * n // 2
+
+
+def test_queries_that_fit_read_the_texts_once(spark, sf001, monkeypatch):
+    from riskloom.plans import catalogue
+
+    staged, stage = [], catalogue.stage
+    monkeypatch.setattr(catalogue, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    assert len(catalogue._numeric(spark, sf001).inputFiles()) > 0 and staged == ["numeric"]
+    assert not any("documents" in f for f in catalogue._numeric(spark, sf001).inputFiles())
