@@ -124,6 +124,22 @@ def test_leaving_one_out_where_probabilities_are_0_or_1_to_the_last_bit(spark):
     assert len(got) == 62 and all((s > 0.5) == (i == 60 or i < 60 and i % 2 == 1) for i, s in got.items())
 
 
+def test_parts_of_sets_are_those_worked_out_for_each_row(numbers, monkeypatch):
+    x = np.array([[r.a, r.b] for r in numbers.select("a", "b").limit(80).collect()])
+    rows = numbers.withColumn("features", F.array("a", "b"))
+    model = models.boosted(rows, "y", "id", trees=4)
+    told = explain.shapley(x, explain.paths(model), model.base)
+    monkeypatch.setattr(explain, "TOLD", 0)
+    found = explain.paths(model)
+    assert all(p.told is None for p in found)
+    plain = explain.shapley(x, found, model.base)
+    assert told[1] == plain[1] and np.abs(told[0] - plain[0]).max() < 1e-12
+    monkeypatch.setattr(explain, "TOLD", 8)
+    found = explain.paths(model)
+    monkeypatch.setattr(explain, "_parts", None)  # nothing is worked out by row
+    assert np.array_equal(explain.shapley(x, found, model.base)[0], told[0])
+
+
 def test_the_curve_of_left_out_scores_compiles_where_rows_are_many(spark, numbers):
     whole = models.logistic(numbers, "y", ["a", "b"])
     spark.conf.set("spark.sql.codegen.fallback", "false")  # what doesn't compile is an error
