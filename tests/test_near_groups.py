@@ -81,3 +81,13 @@ def test_sketches_tell_ranges():
     assert len(set(dedup.sketch_of(np.zeros(0, np.uint64)).tolist())) == 1
     other = dedup.sketch_of(names[1:])
     assert (other != dedup.sketch_of(names)).sum() == 1
+
+
+def test_a_signature_is_that_of_plain_arithmetic_and_counts_only_if_asked(spark, monkeypatch):
+    numbers = np.array([0, 1, 2, dedup.PRIME - 1, dedup.PRIME - 2, 12345, *range(7, 2_000_000_000, 9_999_991)])
+    want = [min((int(h) * a + b) % dedup.PRIME for h in numbers) for a, b in dedup.permutations()]
+    assert dedup.least_of(numbers).tolist() == want
+    assert all(dedup.least_of(np.array([(-b * pow(a, -1, dedup.PRIME)) % dedup.PRIME]))[i] == 0 for i, (a, b) in enumerate(dedup.permutations()[:9]))
+    rows = spark.createDataFrame([(1, "a text of some words"), (2, None)], "id long, t string")
+    assert [r.n for r in dedup.signatures(rows, "id", "t", counted=False).orderBy("id").collect()] == [None, None]
+    assert [r.n for r in dedup.signatures(rows, "id", "t").orderBy("id").collect()] == [12, 0]
