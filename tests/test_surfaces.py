@@ -93,3 +93,17 @@ def test_training_from_folders_describes_what_is_new(spark, tmp_path):
     assert (second["n_files"], second["n_described"], second["n_signed"]) == (81, 1, 1)
     assert reports.Bundle.load(spark, (tmp_path / "bundle").as_uri())[1]["n_files"] == 81
     assert spark.read.json((tmp_path / "bundle" / "summary").as_uri()).count() == 3
+
+
+def test_wide_rows_are_never_told_to_the_driver_whole(spark, monkeypatch):
+    plans, stage = {}, reports.stage
+    monkeypatch.setattr(reports, "stage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and stage(df, name))
+    # texts without elements have vectors of zeros, whose written rows are a few bytes each
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"), F.sha2(F.col("id").cast("string"), 256).alias("html"))
+    bundle, _, _ = reports.train(rows, "doc_id", "html", "label", trees=2, width=16, draws=[])
+    pages = stage(rows.withColumn("url", F.concat(F.lit("http://a.example/"), "doc_id")), "pages")
+    plans["scan"] = reports.scan(pages, bundle, "doc_id", "url", "html")._jdf.queryExecution().executedPlan().toString()
+    plans["report"] = reports.pipeline_report(pages, bundle, "doc_id", "url", "html")._jdf.queryExecution().executedPlan().toString()
+    assert {"described", "rows", "scan", "report"} <= set(plans)
+    for name in ("described", "rows", "scan", "report"):
+        assert "SortMergeJoin [row_key#" in plans[name] and "BroadcastHashJoin [row_key#" not in plans[name], name
