@@ -149,3 +149,25 @@ def test_the_curve_of_left_out_scores_compiles_where_rows_are_many(spark, number
         assert "EXP" not in left._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+@pytest.mark.parametrize(("balanced", "c"), [(True, 1.0), (False, 1e10)])
+def test_left_out_scores_are_refits_however_many_rows_there_are(spark, balanced, c, monkeypatch):
+    rng = np.random.default_rng(4)
+    a = rng.random(3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-9 * (a - 0.4)))).astype(int)
+    a[:3], y[:3] = [0.999, 0.001, 1.5], [0, 1, 0]  # far from what the others tell
+    rows = spark.createDataFrame([(i, float(a[i]), float(a[i] ** 2), int(y[i])) for i in range(3000)], "id long, a double, b double, y int").repartition(3).cache()
+    whole, far, refits = models.logistic(rows, "y", ["a", "b"], balanced, c), [], models._far_refits
+    monkeypatch.setattr(models, "_far_refits", lambda given, y, *more: far.append(len(y)) or refits(given, y, *more))
+    got = {r.id: r.loo_score for r in models.left_out(rows, whole, "y", ["a", "b"], balanced, c, most=500).collect()}
+    assert len(got) == 3000 and 0 < sum(far) < 60  # the rest are told by one pass
+    x = np.stack([np.ones(3000), a, a**2], 1)
+    for i in (0, 1, 2, 700, 2999):
+        keep, beta = np.arange(3000) != i, np.array([whole.intercept, *whole.coefficients.toArray()])
+        weight = np.where(y[keep] == 1, *(2999 / (2 * (y[keep] == k).sum()) for k in (1, 0))) if balanced else np.ones(2999)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x[keep] @ beta))
+            curve = (x[keep].T * (weight * p * (1 - p))) @ x[keep] + np.diag([1e-12, 1 / c, 1 / c])
+            beta = beta - np.linalg.solve(curve, x[keep].T @ (weight * (p - y[keep])) + np.diag([1e-12, 1 / c, 1 / c]) @ beta)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-x[i] @ beta)), abs=1e-8), i
