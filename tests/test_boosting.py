@@ -164,3 +164,26 @@ def test_queries_that_fit_read_the_texts_once(spark, sf001, monkeypatch):
     monkeypatch.setattr(catalogue, "stage", lambda df, name: staged.append(name) or stage(df, name))
     assert len(catalogue._numeric(spark, sf001).inputFiles()) > 0 and staged == ["numeric"]
     assert not any("documents" in f for f in catalogue._numeric(spark, sf001).inputFiles())
+
+
+def test_rows_that_are_alike_are_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, cuts = 6000, [np.arange(7.0), np.arange(0.0), np.arange(3.0)]
+    bins = np.stack([rng.integers(0, 8, n), np.zeros(n), rng.integers(0, 4, n)], 1).astype(np.uint8)
+    y = (bins[:, 0] + bins[:, 2] + rng.integers(0, 6, n) > 8).astype(int)
+    keys, fold, seen, counted = rng.integers(0, 1 << 60, n), np.arange(n) % 5, [], boosting._Held._counted
+    monkeypatch.setattr(boosting._Held, "_counted", lambda self, rows, columns: seen.append(len(rows)) or counted(self, rows, columns))
+    for params in ({"subsample": 1.0}, {"subsample": 0.7, "colsample_bytree": 0.7}):
+        said = []
+        for alike in (True, False):
+            m = boosting.Matrix(keys, y, np.ones(n), np.zeros(n, bool), bins, {})
+            assert m.cells is not None and len(np.unique(m.cells)) <= 32
+            if not alike:
+                m.cells = None
+            seen.clear()
+            model = boosting.fit_held(m, fold == 1, fold != 0, np.where(y == 1, 1.7, 1.0), cuts, 20, 5, params)
+            said.append((model.to_json(), m.margin(model, cuts, fold == 0).tolist()))
+            assert (max(seen) <= 64) == alike
+        assert said[0] == said[1]
+    few = boosting.Matrix(np.arange(4), np.zeros(4), np.ones(4), np.zeros(4, bool), np.arange(4, dtype=np.uint8)[:, None], {})
+    assert few.cells is None
