@@ -116,3 +116,24 @@ def test_a_row_s_place_is_its_own_whatever_is_beside_it(spark, rolled):
     mixed = {r.id: r.reduced for r in umap.transform(far.withColumn("id", F.col("id") + 1000).unionByName(rows).coalesce(1), model, "v").collect()}
     assert all(np.allclose(mixed[i], alone[i], atol=1e-9) for i in range(600))
     assert all(alone[int(i)] == p for i, p in zip(model.ids, model.places.tolist()))  # exactly
+
+
+def test_a_table_of_places_gives_what_a_held_one_does(spark, rolled, monkeypatch):
+    _, _, rows = rolled
+    train = rows.where("id % 4 <> 0").unionByName(rows.where("id = 1").withColumn("id", F.lit(2000).cast("long")))  # equal vectors
+    asked = rows.unionByName(rows.limit(1).withColumn("v", F.lit(None).cast("array<double>")).withColumn("id", F.lit(None).cast("long")))
+    model = umap.fit(train, "id", "v", 2, epochs=20)
+    want = {r.id: r.reduced for r in umap.transform(asked, model, "v").collect()}
+    monkeypatch.setattr(umap, "HELD_BYTES", 10)  # of which a table takes no note
+    monkeypatch.setattr(umap, "PART_BYTES", 20 * 12 * 8)
+    seen, near = [], umap._nearest_of_parts
+    monkeypatch.setattr(umap, "_nearest_of_parts", lambda fitted, asked, k: seen.append(asked.count()) or near(fitted, asked, k))
+    fitted = umap.laid(train, "id", "v", 2, epochs=20)
+    assert np.allclose([r.place for r in fitted.orderBy("id").collect()], model.places, atol=1e-6)
+    got = {r.id: r.reduced for r in umap.placed(asked, fitted, "v").collect()}
+    assert seen == [150] and set(got) == set(want) and got[None] is None is want[None]
+    assert all(np.allclose(got[i], want[i], atol=1e-6) for i in want if i is not None)
+    plan = umap.placed(asked, fitted, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    none = umap.laid(train.limit(0), "id", "v", 2)
+    assert {r.reduced for r in umap.placed(asked.limit(3), none, "v").collect()} == {None}
